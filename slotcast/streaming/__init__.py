@@ -1,0 +1 @@
+"""No streaming operator: the reference is batch only, its 08:00 cutoff is an availability rule."""
