@@ -52,11 +52,9 @@ def holiday(
     ranges=LUNAR_HOLIDAYS,
 ) -> Column:
     """Calendar flag, fixed date, or inside one of the (start, end) ranges."""
-    d = F.col(date)
-    hit = F.date_format(d, "MM-dd").isin(*fixed)
-    for start, end in ranges:
-        hit = hit | d.between(F.lit(start).cast("date"), F.lit(end).cast("date"))
-    own = hit.cast("int")
+    tests = [f"date_format({date}, 'MM-dd') in ({', '.join(repr(d) for d in fixed)})"]
+    tests += [f"{date} between date'{start}' and date'{end}'" for start, end in ranges]
+    own = F.expr(" or ".join(tests)).cast("int")
     return own if flag is None else F.greatest(F.coalesce(F.col(flag).cast("int"), F.lit(0)), own)
 
 

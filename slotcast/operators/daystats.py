@@ -72,8 +72,10 @@ def half_days(
 
 def morning_features(days: DataFrame, y: str = "y", load: str = "load", shift: int = 1) -> dict[str, Column]:
     """Morning of the origin day (``shift`` = 1: the day before the target), levels against the day before."""
+    w = across_days()
+
     def at(name: str, k: int = shift) -> Column:
-        return F.lag(name, k).over(across_days())
+        return F.lag(name, k).over(w)
 
     out = {}
     for tag, label in (("y", y), ("load", load)):
@@ -95,9 +97,10 @@ def morning_features(days: DataFrame, y: str = "y", load: str = "load", shift: i
 
 def full_day_features(y: str = "y", shift: int = 2) -> dict[str, Column]:
     """The newest complete day at the origin: two days before the target."""
+    w = across_days()
     return {
-        **{f"prev_full_{y}_{k}": F.lag(f"d_y_{k}", shift).over(across_days()) for k in ("mean", "max", "min")},
-        "prev_full_low_share": F.lag("d_low_share", shift).over(across_days()),
+        **{f"prev_full_{y}_{k}": F.lag(f"d_y_{k}", shift).over(w) for k in ("mean", "max", "min")},
+        "prev_full_low_share": F.lag("d_low_share", shift).over(w),
     }
 
 

@@ -3,7 +3,6 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotcast.functions.clock import before_cutoff
 from slotcast.limits import CUTOFF_SLOT
 from slotcast.operators.frames import by_day, by_slot
 
@@ -11,16 +10,23 @@ from slotcast.operators.frames import by_day, by_slot
 LAG_DAYS = (1, 2, 3, 7, 14, 28)
 
 
+def lag_days(col: str, days: int) -> Column:
+    """Same slot, ``days`` days back."""
+    return F.expr(_lag_sql(col, days))
+
+
 def origin_safe_lag(col: str, cutoff: int = CUTOFF_SLOT) -> Column:
     """Newest same-slot value known at the origin: yesterday's up to the cutoff slot, else the day before's."""
-    return F.when(before_cutoff(cutoff), F.lag(col, 1).over(by_slot())).otherwise(F.lag(col, 2).over(by_slot()))
+    return F.expr(f"if(cycle <= {cutoff}, {_lag_sql(col, 1)}, {_lag_sql(col, 2)})")
+
+
+def _lag_sql(col: str, days: int) -> str:
+    return f"lag(`{col}`, {days}) over (partition by series_id, cycle order by date)"
 
 
 def slot_lags(col: str, prefix: str, days=LAG_DAYS, cutoff: int = CUTOFF_SLOT) -> dict[str, Column]:
     """``<prefix>_<k>d`` for each k; the one-day lag is the origin-safe one."""
-    return {
-        f"{prefix}_{k}d": origin_safe_lag(col, cutoff) if k == 1 else F.lag(col, k).over(by_slot()) for k in days
-    }
+    return {f"{prefix}_{k}d": origin_safe_lag(col, cutoff) if k == 1 else lag_days(col, k) for k in days}
 
 
 def add_lags(df: DataFrame, prefixes: dict[str, str], days=LAG_DAYS, cutoff: int = CUTOFF_SLOT) -> DataFrame:

@@ -10,7 +10,6 @@ from slotcast.functions import proxies as px
 from slotcast.functions.numeric import finite_columns, row_median, row_sum
 from slotcast.limits import CUTOFF_SLOT, Limits
 from slotcast.operators import daystats, lags
-from slotcast.operators.frames import by_slot
 
 
 @dataclass(frozen=True)
@@ -86,8 +85,8 @@ def _time_shifted(df: DataFrame, spec: FeatureSpec) -> DataFrame:
     for col, prefix in lag_prefixes(df.columns, spec).items():
         out.update(lags.slot_lags(col, prefix, spec.lag_days, spec.cutoff))
     for c in fuel:
-        out[f"{c}_lag"] = F.lag(c, 2).over(by_slot())
-        out[f"{c}_momentum"] = F.lag(c, 2).over(by_slot()) - F.lag(c, 9).over(by_slot())
+        out[f"{c}_lag"] = lags.lag_days(c, 2)
+        out[f"{c}_momentum"] = lags.lag_days(c, 2) - lags.lag_days(c, 9)
     for name, (c, days, shift, least) in means.items():
         out[name] = lags.rolling_mean(c, days, shift, least)
     return lags.drop_parts(df.withColumns(out))
