@@ -12,7 +12,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotcast.functions.regime import gate_blend, gate_weight, is_clean, is_low, soft_mixture
@@ -121,17 +121,16 @@ def score_all(models: dict[str, PipelineModel], df: DataFrame) -> DataFrame:
 def day_folds(df: DataFrame, n: int = 5) -> DataFrame:
     """``fold``: 1..n for the n equal validation blocks of last days, 0 for the days before them.
 
-    Fold k is validated on ``fold = k`` and trained on ``fold < k``. Days are ranked over
-    the distinct dates of all series, which are few; the panel is not sorted.
+    Fold k is validated on ``fold = k`` and trained on ``fold < k``. The distinct dates of
+    all series fit one row, as the calendar bounds them; the panel is not sorted.
     """
-    dates = df.select("date").distinct()
-    pos = F.row_number().over(Window.orderBy("date")) - 1
-    total = dates.count()
-    size = total // (n + 1)
-    if size == 0:
-        raise ValueError(f"{n} folds need at least {n + 1} days")
-    fold = F.greatest(F.lit(0), F.floor((F.col("__pos") - (total - n * size)) / size) + 1).cast("int")
-    ranked = dates.withColumn("__pos", pos).select("date", fold.alias("fold"))
+    dates = df.agg(F.array_sort(F.collect_set("date")).alias("all")).select(
+        F.size("all").alias("total"), F.posexplode("all").alias("pos", "date")
+    )
+    size = F.floor(F.col("total") / (n + 1))
+    few = F.raise_error(F.lit(f"{n} folds need at least {n + 1} days"))
+    fold = F.greatest(F.lit(0), F.floor((F.col("pos") - (F.col("total") - n * size)) / size) + 1)
+    ranked = dates.select("date", F.when(size >= 1, fold).otherwise(few).cast("int").alias("fold"))
     return df.join(ranked, "date")
 
 

@@ -11,6 +11,7 @@ from slotcast.limits import Limits
 from slotcast.operators import calibrate
 from slotcast.operators.models import TreeConfig, TwoRegime, WINDOW_DAYS, fit_windows, score_all
 from slotcast.operators.slotlinear import SlotLinear, fit_panel, predict_panel
+from slotcast.sources.shared import settle
 from slotcast.sources.writers import load_table, save_table
 
 GATED = "gated_"
@@ -42,6 +43,11 @@ class Adaptive:
     slot_linear: SlotLinear | None = None
     regime: TwoRegime | None = None
 
+    @property
+    def inputs(self) -> list[str]:
+        """Every feature column a forecast reads."""
+        return list(dict.fromkeys([*self.features, *self.profile, *self.scalar]))
+
     @property
     def gated(self) -> bool:
         return self.candidate.startswith(GATED)
@@ -51,7 +57,12 @@ class Adaptive:
         return self.candidate.removeprefix(GATED)
 
     def fit(self, df: DataFrame, regime: TwoRegime | None = None, min_rows: int = 256) -> "Adaptive":
-        """Fit every part on rows that have target and features; a regime with too few rows is left out."""
+        """Fit every part on rows that have target and features; a regime with too few rows is left out.
+
+        The rows are written once and every fit reads the columns it needs from there.
+        """
+        used = dict.fromkeys(["series_id", "ts", "date", "cycle", self.y, *self.features, *self.profile, *self.scalar])
+        df = settle(df.select(*used), "train")
         start = df.agg((F.max("ts") + F.expr("interval 30 minutes")).alias("t")).first()["t"]
         self.trees = fit_windows(df, self.features, start, self.windows, self.y, self.config, min_rows, self.limits)
         if not self.trees:

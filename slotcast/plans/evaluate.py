@@ -7,6 +7,7 @@ from slotcast.functions.regime import publishable
 from slotcast.limits import Limits
 from slotcast.operators import metrics
 from slotcast.sources import writers
+from slotcast.sources.shared import settle
 
 
 def evaluate(
@@ -21,7 +22,7 @@ def evaluate(
     rows = df.withColumn(pred, publishable(pred, limits))
     full = metrics.report(rows, y, pred, weight, limits)
     if out:
-        full = _materialised(full, f"{out}/metrics_all_levels")
+        full = settle(full, "metrics")
     summary = metrics.with_target_met(full.where("level = 'all'").drop("level", "cycle", "year", "month"))
     if lag:
         base = metrics.baseline(rows, lag, ["series_id"], y, limits).drop("clean_samples")
@@ -46,12 +47,6 @@ def evaluate(
     return tables
 
 
-def _materialised(df: DataFrame, path: str) -> DataFrame:
-    """Written once and read back, so the levels do not each score the forecasts again."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def manifest_row(summary: DataFrame, **settings) -> DataFrame:
     """Settings as one nested ``settings`` column beside each summary row."""
     lits = [F.lit(v).alias(k) for k, v in settings.items()]

@@ -13,6 +13,7 @@ from slotcast.operators import calibrate, metrics
 from slotcast.operators.models import TreeConfig, TwoRegime, WINDOW_DAYS, fit_windows, score_all
 from slotcast.operators.policy import training_rows
 from slotcast.operators.slotlinear import fit_panel, predict_panel
+from slotcast.sources.shared import settle
 
 # fixed values: (bias days, cap days, cap ratio)
 CONFIGS = (
@@ -160,16 +161,19 @@ def run_pretest(
 ) -> tuple[DataFrame, DataFrame]:
     """(summary, metrics): fit before each year, sweep the year, choose one candidate per series over all years."""
     years = guard_years(years, test_year)
+    used = dict.fromkeys(["series_id", "ts", "date", "cycle", y, *features, *profile, *scalar])
+    rows = settle(training_rows(df, features, f"{first_year}-01-01", f"{max(years) + 1}-01-01", y).select(*used), "pretest")
     parts = []
     for year in years:
         start = f"{year}-01-01"
-        history = training_rows(df, features, f"{first_year}-01-01", start, y)
-        rows = training_rows(df, features, start, f"{year + 1}-01-01", y)
-        if rows.isEmpty():
+        history = rows.where(F.col("date") < F.lit(start).cast("date"))
+        tested = rows.where(F.year("date") == year)
+        if tested.isEmpty():
             raise ValueError(f"no pretest rows for {year}")
         preds, names = base_predictions(
-            history, rows, features, start, profile, scalar, windows, y, reveal_lag_days=reveal_lag_days, limits=limits, **kw
+            history, tested, features, start, profile, scalar, windows, y, reveal_lag_days=reveal_lag_days, limits=limits, **kw
         )
+        preds = settle(preds.select("series_id", "ts", "date", "cycle", y, *names), "pretest-preds")
         parts.append(sweep(preds, names, configs, history, y, reveal_lag_days, limits=limits))
     all_years = reduce(DataFrame.unionByName, parts)
     return select_candidate(scoreboard(all_years, len(years))), all_years

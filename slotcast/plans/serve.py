@@ -7,6 +7,7 @@ from slotcast.limits import SLOTS
 from slotcast.operators import policy
 from slotcast.operators.panel import attach_daily
 from slotcast.plans.features import FeatureSpec, add_features
+from slotcast.sources.shared import settle
 
 HISTORY_DAYS = 70
 
@@ -61,6 +62,8 @@ def forecast_day(
     if check:
         policy.require_fresh(panel, origin_ts(origin_date, spec.cutoff), spec.y)
     full = add_features(future_frame(panel, origin_date, calendar, y=spec.y, cutoff=spec.cutoff), spec)
+    recent = F.col("date") >= F.date_sub(F.lit(str(origin_date)).cast("date"), HISTORY_DAYS)
+    full = settle(full.where(recent).select("series_id", "ts", "date", "cycle", spec.y, *model.inputs), "day-ahead")
     target, history = split_day(full, model.features, origin_date, spec.y)
     if check:
         policy.require_complete(target, model.features)

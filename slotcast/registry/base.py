@@ -4,8 +4,6 @@ Numbers are compared after rounding to 4 digits. Averages of two-decimal values
 end exactly in a 5 there, so both sides first add the same tiny offset.
 """
 
-import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -71,14 +69,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared directory the cluster names; local only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return os.path.join(shared, next(tempfile._get_candidate_names()))
-    return tempfile.mkdtemp(prefix="slotcast-")
-
-
 def cents(col: str):
     """Mean of two-decimal values through whole cents: equal to the last bit in any order."""
     return F.sum(F.round(F.col(col) * 100)) / F.count(col) / 100

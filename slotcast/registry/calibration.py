@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from slotcast.functions.weights import class_balance, recency_weight
+from slotcast.functions.weights import class_balance
 from slotcast.operators import calibrate, metrics, models
 from slotcast.registry.base import (
     GATED, LIMITS, ROWS, big, errors_sql, event_panel, event_rows, gated_rows, num, nums, query, read, text, with_ctes,
@@ -154,13 +154,13 @@ def component_weights(spark, sf_dir):
 
 
 @query(lambda: f"""SELECT o_orderstatus, {num('sum(w)', 'total_weight')}, {num('sum(w * o_totalprice) / sum(w)', 'weighted_price')} FROM (
-    SELECT *, pow(0.5, date_diff('second', o_orderdate, max(o_orderdate) OVER ()) / 86400 / 730) AS w FROM orders) GROUP BY 1""")
+    SELECT *, pow(0.5, date_diff('second', o_orderdate, max(o_orderdate) OVER (PARTITION BY o_orderstatus)) / 86400 / 730) AS w FROM orders) GROUP BY 1""")
 def recency_weights(spark, sf_dir):
-    """Weights that halve every two years before the newest row."""
-    orders = read(spark, sf_dir, "orders")
-    newest = orders.agg(F.max("o_orderdate").alias("newest"))
-    w = orders.join(F.broadcast(newest)).withColumn("w", recency_weight("o_orderdate", "newest", 730))
-    return w.groupBy("o_orderstatus").agg(
+    """Weights that halve every two years before the newest row of a group."""
+    rows = read(spark, sf_dir, "orders").select(
+        F.col("o_orderstatus").alias("series_id"), F.col("o_orderdate").alias("ts"), "o_totalprice"
+    )
+    return models.with_recency(rows, 730, "w").groupBy(F.col("series_id").alias("o_orderstatus")).agg(
         F.sum("w").alias("total_weight"), (F.sum(F.col("w") * F.col("o_totalprice")) / F.sum("w")).alias("weighted_price")
     )
 

@@ -5,7 +5,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from slotcast.operators import blend, models, policy, slotlinear
-from slotcast.plans import adaptive, serve
+from slotcast.plans import adaptive, serve, stacking
 from slotcast.plans.features import FeatureSpec, add_features
 from slotcast.registry.base import LIMITS, event_panel, event_rows, query
 
@@ -109,3 +109,17 @@ def day_ahead(spark, sf_dir):
 def _blank(names):
     return adaptive.Adaptive(names, "adaptive_median", windows=(7, 14), bias_days=3, cap_days=7, cap_ratio=0.95, config=SMALL, limits=L)
 
+
+
+@query()
+def stacked_forecast(spark, sf_dir):
+    """Out-of-fold base forecasts, blend, slot bias, gate, guard and projection, then a forecast of the newest days."""
+    train, test = _train(spark, sf_dir)
+    model = stacking.Stack(
+        FEATURES, ["b_1d", "b_7d"], trees={"shallow": SMALL, "deeper": replace(SMALL, depth=4)}, regime_config=SMALL,
+        n_folds=2, neighbours=5, limits=L, min_regime_rows=20,
+        linear={"windows": (12, None), "min_days": 4, "holdout": (1, 2), "alphas": (0.01, 0.1)},
+        thresholds=(0.3, 0.5, 0.7), lower_cuts=(24.0, 28.0, 32.0), cap_cuts=(80.0, 100.0, 120.0),
+        levels={"lower": (20.0, 40.0), "cap": 90.0, "min_rows": 30}, bounds={"min_rows": 10, "normal_floor": 5.0, "gate_floor": 20.0},
+    )
+    return model.fit(train).transform(test).select("series_id", "ts", "y", "normal", "prob", "weight", "pred")

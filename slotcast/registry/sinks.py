@@ -6,9 +6,10 @@ from slotcast.functions.regime import gate_weight
 from slotcast.operators import metrics, panel
 from slotcast.plans.evaluate import evaluate, manifest_row
 from slotcast.registry.base import (
-    GATED, LIMITS, ROWS, big, cents, errors_sql, event_rows, gated_rows, num, nums, query, read, scratch, text, with_ctes,
+    GATED, LIMITS, ROWS, big, cents, errors_sql, event_rows, gated_rows, num, nums, query, read, text, with_ctes,
 )
 from slotcast.sources import readers, writers
+from slotcast.sources.shared import new_path
 
 L = LIMITS
 
@@ -18,7 +19,7 @@ L = LIMITS
     FROM (SELECT *, greatest(least((prob - 0.3) / 0.2, 1), 0) AS w FROM gated)"""))
 def regime_events(spark, sf_dir):
     """Actual and called low-regime events, written as parquet and read back."""
-    path = f"{scratch(spark)}/events"
+    path = f"{new_path(spark)}/events"
     df = gated_rows(spark, sf_dir).withColumns({"w": gate_weight("prob", 0.4, 0.1)})
     writers.write_regime_events(df, path, actual="y", pred="normal", prob="prob", weight="w", limits=L)
     return spark.read.parquet(path).drop("year")
@@ -27,7 +28,7 @@ def regime_events(spark, sf_dir):
 @query(lambda: with_ctes(ROWS, f"SELECT series_id, {text('ts')}, {num('y', 'actual')}, {num('b_1d', 'predicted')} FROM rows"))
 def predictions_sink(spark, sf_dir):
     """Predictions written by year as CSV and read back with a schema."""
-    path = f"{scratch(spark)}/predictions"
+    path = f"{new_path(spark)}/predictions"
     writers.write_predictions(event_rows(spark, sf_dir), path, "y", "b_1d", "csv")
     schema = "series_id string, ts timestamp_ntz, actual double, predicted double, year int"
     return spark.read.schema(schema).csv(path, header=True).drop("year")
@@ -36,7 +37,7 @@ def predictions_sink(spark, sf_dir):
 @query(lambda: with_ctes(ROWS, f"SELECT series_id, {errors_sql(p='least(b_1d, 180.0)')}, {big('false', 'target_met')}, {num('7', 'bias_days')} FROM rows GROUP BY 1"))
 def metrics_manifest(spark, sf_dir):
     """Metrics and nested settings as JSON, read back."""
-    path = f"{scratch(spark)}/manifest"
+    path = f"{new_path(spark)}/manifest"
     rows = event_rows(spark, sf_dir).withColumn("p", F.least("b_1d", F.lit(180.0)))
     m = metrics.with_target_met(metrics.metrics(rows, ["series_id"], "y", "p", limits=L), 1.0, 1.0)
     full = manifest_row(m, bias_days=7.0)
@@ -48,7 +49,7 @@ def metrics_manifest(spark, sf_dir):
 @query(lambda: with_ctes(ROWS, f"""SELECT series_id, {big('cycle', 'cycle')}, {big('count(*)', 'samples')}, {num('avg(abs(y - b_1d))', 'mae')} FROM rows GROUP BY 1, cycle"""))
 def evaluation_by_slot(spark, sf_dir):
     """The evaluation run with all its sinks; the table by slot read back from CSV."""
-    path = f"{scratch(spark)}/evaluation"
+    path = f"{new_path(spark)}/evaluation"
     rows = event_rows(spark, sf_dir)
     wide = L.__class__(low=L.low, high=L.high, floor=-1e9, ceiling=1e9)
     evaluate(rows, "y", "b_1d", lag="b_7d", out=path, limits=wide)
@@ -59,7 +60,7 @@ def evaluation_by_slot(spark, sf_dir):
 @query(lambda: with_ctes(("bucket",), f"""SELECT series_id, {text('ts')}, {nums('y', 'load')} FROM bucket"""))
 def csv_series(spark, sf_dir):
     """Half-hourly values written as CSV with a repeated row per time, read back without the repeats."""
-    path = scratch(spark)
+    path = new_path(spark)
     ev = read(spark, sf_dir, "events")
     slots = panel.to_slots(ev, "event_type", "ts", y=cents("value"), load=F.count("*").cast("double"))
     slots = slots.withColumn("y", F.col("y").cast("double"))
@@ -78,7 +79,7 @@ def csv_series(spark, sf_dir):
     SELECT l_returnflag, l_shipdate, sum(l_quantity) AS q, sum(l_extendedprice) AS p, avg(l_discount) AS d FROM lineitem GROUP BY 1, 2) GROUP BY 1)""")
 def csv_files_rollup(spark, sf_dir):
     """One CSV scan over several files, rows grouped by the file they came from."""
-    path = scratch(spark)
+    path = new_path(spark)
     li = read(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_shipdate").cast("string").alias("datetime"), "l_quantity", "l_extendedprice", "l_discount")
     li.write.partitionBy("l_returnflag").option("header", True).csv(f"{path}/files")
     schema = "datetime timestamp_ntz, q double, p double, d double"
