@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from slotcast.functions.regime import is_clean
 from slotcast.limits import Limits
+from slotcast.sources.shared import settle
 
 # fixed values: 20 penalties, log-spaced from 1e-2 to 1e5
 ALPHAS = tuple(float(a) for a in np.logspace(-2, 5, 20))
@@ -102,7 +103,7 @@ def choose_models(
     """
     span = df.groupBy("series_id").agg(F.min(order).alias("a"), F.max(order).alias("b"))
     pos = F.datediff(F.col(order), F.col("a")) / F.greatest(F.datediff("b", "a") + 1, F.lit(1))
-    placed = df.join(span, "series_id").withColumn("__pos", pos)
+    placed = settle(df.join(span, "series_id").withColumn("__pos", pos), "blend")
     clean = placed.where(is_clean(y, limits))
     train = clean.where(F.col("__pos") < share).withColumn(
         "fold", F.floor(F.col("__pos") / share * (n_folds + 1)).cast("int")

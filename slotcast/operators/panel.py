@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from slotcast.functions.clock import floor_slot, slot_ts, with_clock
 from slotcast.functions.numeric import finite
 from slotcast.limits import SLOTS
-from slotcast.operators.frames import by_day, by_slot
+from slotcast.operators.frames import across_days, by_day, by_slot
 
 KEY = ["series_id", "ts"]
 
@@ -73,7 +73,7 @@ def make_grid(df: DataFrame, series: str = "series_id", ts: str = "ts", whole_da
 def attach(grid: DataFrame, source: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Left join of a slot-level source; ``source`` must be unique on the key."""
     on = [k for k in KEY if k in source.columns]
-    cols = cols or [c for c in source.columns if c not in on]
+    cols = cols or [c for c in source.columns if c not in grid.columns]
     return grid.join(source.select(*on, *cols), on, "left")
 
 
@@ -166,11 +166,57 @@ def impute(
     return forward_fill(season_fill(clean, cols, season_days), cols, whole_days)
 
 
-def build_panel(raw: DataFrame, series: str, ts: str, season_days: int = 7, impute_cols: list[str] = ["y"], **aggs: Column) -> DataFrame:
-    """Grid, slot aggregates and imputation of one event-like source."""
-    grid = make_grid(raw, series, ts, whole_days=True)
-    joined = attach(grid, to_slots(raw, series, ts, **aggs))
-    return impute(joined, impute_cols, season_days, whole_days=True).where("in_span").drop("in_span")
+def build_panel(
+    raw: DataFrame, series: str, ts: str, season_days: int = 7, impute_cols=("y",), observed: str = "y", **aggs: Column
+) -> DataFrame:
+    """Grid, slot aggregates and imputation of one event-like source, on day rows.
+
+    Equal to ``make_grid``, ``to_slots``, ``attach`` and ``impute`` in turn, but the raw
+    rows are read once and shuffled as slots, days and series: the grid comes from the gap
+    to a series' next day instead of a join, and both fills work on 48-slot arrays, so the
+    panel is sorted as one row per day. The result stays partitioned by series, which
+    later windows and groupings on the series and more reuse.
+    """
+    slots = with_clock(to_slots(raw.dropna(subset=[series, ts]), series, ts, **aggs))
+    days = slots.groupBy("series_id", "date").agg(
+        F.map_from_entries(F.collect_list(F.struct("cycle", F.struct(*aggs)))).alias("m"),
+        F.min("ts").alias("lo"), F.max("ts").alias("hi"),
+    )
+    w = across_days()
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    spans = days.select(
+        "series_id", "date", "m", F.min("lo").over(whole).alias("lo"), F.max("hi").over(whole).alias("hi"),
+        F.coalesce(F.date_sub(F.lead("date").over(w), 1), F.col("date")).alias("until"),
+    )
+    dense = spans.select("*", F.explode(F.sequence("date", "until")).alias("day")).select(
+        "series_id", F.col("day").alias("date"), "lo", "hi",
+        *[F.expr(f"transform(sequence(0, {SLOTS - 1}), s -> if(day = date, m[s].`{c}`, null))").alias(c) for c in aggs],
+    )
+    if observed in aggs:
+        dense = dense.withColumn(f"{observed}_observed", F.transform(observed, lambda v: v.isNotNull()))
+    dense = dense.withColumns({
+        c: F.expr(f"transform(`{c}`, v -> case when not isnan(double(v)) and abs(v) != double('Infinity') then v end)")
+        for c in impute_cols
+    })
+    seasoned = dense.withColumns({
+        c: F.expr(f"""zip_with(`{c}`, coalesce(lag(`{c}`, {season_days}) over (partition by series_id order by date),
+            array_repeat(null, {SLOTS})), (v, s) -> coalesce(v, s))""") for c in impute_cols
+    })
+    known = "filter({0}, v -> v is not null)"
+    closed = seasoned.withColumns({f"__{c}": F.expr(f"get(reverse({known.format(f'`{c}`')}), 0)") for c in impute_cols})
+    carried = closed.withColumns({
+        f"__{c}": F.last(f"__{c}", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)) for c in impute_cols
+    })
+    filled = carried.withColumns({
+        c: F.expr(f"""transform(`{c}`, (v, i) -> coalesce(
+            v, get(reverse({known.format(f'slice(`{c}`, 1, i + 1)')}), 0), `__{c}`))""") for c in impute_cols
+    })
+    cols = [*aggs, *([f"{observed}_observed"] if observed in aggs else [])]
+    fields = ", ".join(f"`{c}`[s] as `{c}`" for c in cols)
+    rows = filled.select(
+        "series_id", "date", "lo", "hi", F.inline(F.expr(f"transform(sequence(0, {SLOTS - 1}), s -> struct(s as cycle, {fields}))"))
+    ).withColumn("ts", slot_ts("date", "cycle"))
+    return rows.where(F.col("ts").between(F.col("lo"), F.col("hi"))).select("series_id", "ts", "date", "cycle", *cols)
 
 
 __all__ = [

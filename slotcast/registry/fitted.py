@@ -8,6 +8,7 @@ from slotcast.operators import blend, models, policy, slotlinear
 from slotcast.plans import adaptive, serve, stacking
 from slotcast.plans.features import FeatureSpec, add_features
 from slotcast.registry.base import LIMITS, event_panel, event_rows, query
+from slotcast.sources.shared import settle
 
 L = LIMITS
 SMALL = models.TreeConfig(trees=5, depth=3, min_leaf=5)
@@ -16,7 +17,7 @@ CUT = "2024-01-24"
 
 
 def _train(spark, sf_dir):
-    rows = event_rows(spark, sf_dir)
+    rows = settle(event_rows(spark, sf_dir))
     cut = F.lit(CUT).cast("date")
     return rows.where(F.col("date") < cut), rows.where(F.col("date") >= cut)
 
@@ -49,7 +50,7 @@ def two_regimes(spark, sf_dir):
 @query()
 def out_of_fold(spark, sf_dir):
     """Chronological out-of-fold forecasts of two learners."""
-    folded = models.day_folds(event_rows(spark, sf_dir), 2)
+    folded = settle(models.day_folds(event_rows(spark, sf_dir), 2))
     configs = {"shallow": SMALL, "deeper": replace(SMALL, depth=4)}
     return models.out_of_fold(folded, FEATURES, configs, "y").select("series_id", "ts", "fold", "y", *configs)
 
