@@ -78,9 +78,9 @@ def ridge_blend(df: DataFrame, models: list[str], y: str = "y", alphas=ALPHAS) -
     by_fold = grid.groupBy("series_id", "fold").agg(
         F.array_sort(F.collect_list(F.struct("alpha", "coef"))).alias("cands")
     )
-    point = " + ".join(["c.coef[0]", *[f"c.coef[{i + 1}] * `{m}`" for i, m in enumerate(models)]])
+    point = " + ".join(["__c.coef[0]", *[f"__c.coef[{i + 1}] * `{m}`" for i, m in enumerate(models)]])
     errors = df.join(by_fold.where("fold > 0"), ["series_id", "fold"]).withColumn(
-        "__e", F.expr(f"transform(cands, c -> abs(`{y}` - ({point})))")
+        "__e", F.expr(f"transform(cands, __c -> abs(`{y}` - ({point})))")
     )
     maes = F.array(*[F.avg(F.get("__e", F.lit(i))) for i in range(len(alphas))])
     per_fold = errors.groupBy("series_id", "fold").agg(maes.alias("m")).select(

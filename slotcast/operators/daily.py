@@ -11,21 +11,20 @@ def slot_array(entries: str, field: str) -> Column:
 
     A day with all its rows is read off directly; only an incomplete one is looked up.
     """
-    whole = f"transform({entries}, e -> double(e.`{field}`))"
+    whole = f"transform({entries}, __e -> double(__e.`{field}`))"
     lookup = (
         f"transform(sequence(0, {SLOTS - 1}), "
-        f"s -> double(get(filter({entries}, e -> e.cycle = s), 0).`{field}`))"
+        f"__s -> double(get(filter({entries}, __e -> __e.cycle = __s), 0).`{field}`))"
     )
     return F.expr(f"if(size({entries}) = {SLOTS}, {whole}, {lookup})")
 
 
 def fill_slots(array: str) -> Column:
     """Missing slots take the last value of the day, else the next one, else 0."""
-    return F.expr(f"""transform({array}, (x, i) -> coalesce(
-        x,
-        element_at(reverse(filter(slice({array}, 1, i + 1), v -> v is not null)) || array(double(null)), 1),
-        element_at(filter(slice({array}, i + 1, {SLOTS}), v -> v is not null) || array(double(null)), 1),
-        double(0)))""")
+    known = "filter({}, __v -> __v is not null)"
+    before, after = (known.format(f"slice({array}, {part})") for part in ("1, __i + 1", f"__i + 1, {SLOTS}"))
+    return F.expr(f"""transform({array}, (__x, __i) -> coalesce(
+        __x, get(reverse({before}), 0), get({after}, 0), double(0)))""")
 
 
 def day_profiles(df: DataFrame, profile: list[str], scalar: list[str] = [], fill: bool = True) -> DataFrame:

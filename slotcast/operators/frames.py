@@ -16,3 +16,8 @@ def by_day() -> WindowSpec:
 def across_days(*keys: str) -> WindowSpec:
     """Day rows of a series, or of a series and further keys."""
     return Window.partitionBy("series_id", *keys).orderBy("date")
+
+
+def along() -> WindowSpec:
+    """All slots of a series in time order: 48 rows a day, so its length is that of the calendar."""
+    return Window.partitionBy("series_id").orderBy("ts")

@@ -1,10 +1,10 @@
-"""Same-slot lags and long rolling means, all on windows of one row per day."""
+"""Same-slot lags and long rolling means."""
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotcast.limits import CUTOFF_SLOT
-from slotcast.operators.frames import by_day, by_slot
+from slotcast.limits import CUTOFF_SLOT, SLOTS
+from slotcast.operators.frames import along
 
 # fixed values
 LAG_DAYS = (1, 2, 3, 7, 14, 28)
@@ -39,33 +39,28 @@ def add_lags(df: DataFrame, prefixes: dict[str, str], days=LAG_DAYS, cutoff: int
 
 
 def running_parts(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Per row: sum and count of the day so far and of the whole day, for ``rolling_mean``."""
+    """Running sum and count of each column along its series, for ``rolling_mean``."""
+    so_far = along().rowsBetween(Window.unboundedPreceding, 0)
     out = {}
     for c in cols:
-        so_far = by_day().rowsBetween(Window.unboundedPreceding, 0)
-        day = by_day().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        value = F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-        out[f"__{c}_s"], out[f"__{c}_n"] = F.sum(value).over(so_far), F.count(c).over(so_far)
-        out[f"__{c}_ds"], out[f"__{c}_dn"] = F.sum(value).over(day), F.count(c).over(day)
+        out[f"__{c}_s"] = F.sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).over(so_far)
+        out[f"__{c}_n"] = F.count(c).over(so_far)
     return df.withColumns(out)
 
 
 def rolling_mean(col: str, days: int, shift_days: int, min_count: int) -> Column:
     """Mean of the ``days * 48`` rows that end ``shift_days`` days before the row.
 
-    Built from day totals: the head of the newest day, the full days between and the
-    tail of the oldest. That is ``days + 1`` additions per row instead of ``days * 48``,
-    over a window per slot. Needs ``running_parts`` and complete days.
+    The difference of two running sums: two look-backs per row instead of a frame of
+    ``days * 48`` rows. Needs ``running_parts`` on a gap-free panel.
     """
-    def total(part: str, whole: str) -> Column:
-        head = F.lag(f"__{col}_{part}", shift_days).over(by_slot())
-        full = F.sum(f"__{col}_{whole}").over(by_slot().rowsBetween(-(shift_days + days - 1), -(shift_days + 1)))
-        oldest = shift_days + days
-        tail = F.lag(F.col(f"__{col}_{whole}") - F.col(f"__{col}_{part}"), oldest).over(by_slot())
-        return F.coalesce(head, F.lit(0)) + F.coalesce(full, F.lit(0)) + F.coalesce(tail, F.lit(0))
-
-    n = total("n", "dn")
-    return F.when(n >= min_count, total("s", "ds") / n)
+    def total(part: str) -> Column:
+        newest = F.lag(f"__{col}_{part}", shift_days * SLOTS).over(along())
+        before = F.lag(f"__{col}_{part}", (shift_days + days) * SLOTS).over(along())
+        return newest - F.coalesce(before, F.lit(0))
+
+    n = total("n")
+    return F.when(n >= min_count, total("s") / n)
 
 
 def drop_parts(df: DataFrame) -> DataFrame:

@@ -190,31 +190,31 @@ def build_panel(
     )
     dense = spans.select("*", F.explode(F.sequence("date", "until")).alias("day")).select(
         "series_id", F.col("day").alias("date"), "lo", "hi",
-        *[F.expr(f"transform(sequence(0, {SLOTS - 1}), s -> if(day = date, m[s].`{c}`, null))").alias(c) for c in aggs],
+        *[F.expr(f"transform(sequence(0, {SLOTS - 1}), __s -> if(day = date, m[__s].`{c}`, null))").alias(c) for c in aggs],
     )
     if observed in aggs:
         dense = dense.withColumn(f"{observed}_observed", F.transform(observed, lambda v: v.isNotNull()))
     dense = dense.withColumns({
-        c: F.expr(f"transform(`{c}`, v -> case when not isnan(double(v)) and abs(v) != double('Infinity') then v end)")
+        c: F.expr(f"transform(`{c}`, __v -> case when not isnan(double(__v)) and abs(__v) != double('Infinity') then __v end)")
         for c in impute_cols
     })
     seasoned = dense.withColumns({
         c: F.expr(f"""zip_with(`{c}`, coalesce(lag(`{c}`, {season_days}) over (partition by series_id order by date),
-            array_repeat(null, {SLOTS})), (v, s) -> coalesce(v, s))""") for c in impute_cols
+            array_repeat(null, {SLOTS})), (__v, __s) -> coalesce(__v, __s))""") for c in impute_cols
     })
-    known = "filter({0}, v -> v is not null)"
-    closed = seasoned.withColumns({f"__{c}": F.expr(f"get(reverse({known.format(f'`{c}`')}), 0)") for c in impute_cols})
+    known = "filter({0}, __v -> __v is not null)"
+    closed = seasoned.withColumns({f"__last_{c}": F.expr(f"get(reverse({known.format(f'`{c}`')}), 0)") for c in impute_cols})
     carried = closed.withColumns({
-        f"__{c}": F.last(f"__{c}", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)) for c in impute_cols
+        f"__last_{c}": F.last(f"__last_{c}", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)) for c in impute_cols
     })
     filled = carried.withColumns({
-        c: F.expr(f"""transform(`{c}`, (v, i) -> coalesce(
-            v, get(reverse({known.format(f'slice(`{c}`, 1, i + 1)')}), 0), `__{c}`))""") for c in impute_cols
+        c: F.expr(f"""transform(`{c}`, (__v, __i) -> coalesce(
+            __v, get(reverse({known.format(f'slice(`{c}`, 1, __i + 1)')}), 0), `__last_{c}`))""") for c in impute_cols
     })
     cols = [*aggs, *([f"{observed}_observed"] if observed in aggs else [])]
-    fields = ", ".join(f"`{c}`[s] as `{c}`" for c in cols)
+    fields = ", ".join(f"`{c}`[__s] as `{c}`" for c in cols)
     rows = filled.select(
-        "series_id", "date", "lo", "hi", F.inline(F.expr(f"transform(sequence(0, {SLOTS - 1}), s -> struct(s as cycle, {fields}))"))
+        "series_id", "date", "lo", "hi", F.inline(F.expr(f"transform(sequence(0, {SLOTS - 1}), __s -> struct(__s as cycle, {fields}))"))
     ).withColumn("ts", slot_ts("date", "cycle"))
     return rows.where(F.col("ts").between(F.col("lo"), F.col("hi"))).select("series_id", "ts", "date", "cycle", *cols)
 

@@ -84,20 +84,20 @@ def step_guard(df: DataFrame, bounds: DataFrame, pred: str = "pred", weight: str
     j = df.join(bounds, ["series_id", "cycle"], "left")
     rest = [c for c in cols if c not in ("series_id", "date", "cycle")]
     packed = j.groupBy("series_id", "date").agg(
-        F.array_sort(F.collect_list(F.struct("cycle", *rest, "normal_lo", "normal_hi", "gate_lo", "gate_hi"))).alias("rows")
+        F.array_sort(F.collect_list(F.struct("cycle", *rest, "normal_lo", "normal_hi", "gate_lo", "gate_hi"))).alias("__rows")
     )
-    gate = f"(greatest(r.`{weight}`, a.w) >= {jump} or abs(r.`{weight}` - a.w) >= {jump})"
-    lo, hi = f"if({gate}, r.gate_lo, r.normal_lo)", f"if({gate}, r.gate_hi, r.normal_hi)"
-    step = f"a.v + greatest(least(r.`{pred}` - a.v, {hi}), {lo})"
+    gate = f"(greatest(__r.`{weight}`, __a.w) >= {jump} or abs(__r.`{weight}` - __a.w) >= {jump})"
+    lo, hi = f"if({gate}, __r.gate_lo, __r.normal_lo)", f"if({gate}, __r.gate_hi, __r.normal_hi)"
+    step = f"__a.v + greatest(least(__r.`{pred}` - __a.v, {hi}), {lo})"
     folded = F.expr(f"""aggregate(
-        rows,
+        __rows,
         struct(double(null) as v, double(null) as w, array_repeat(double(null), 0) as held),
-        (a, r) -> transform(array(if(a.v is null, double(r.`{pred}`), {step})),
-            x -> struct(x as v, double(r.`{weight}`) as w, array_append(a.held, x) as held))[0],
-        a -> a.held)""")
-    carried = ", ".join(f"r.`{c}` as `{c}`" for c in ["cycle", *rest])
-    zipped = F.expr(f"transform(rows, (r, i) -> struct({carried}, held[i] as `{out}`))")
-    return packed.withColumn("held", folded).select("series_id", "date", F.inline(zipped)).select(*cols, out)
+        (__a, __r) -> transform(array(if(__a.v is null, double(__r.`{pred}`), {step})),
+            __x -> struct(__x as v, double(__r.`{weight}`) as w, array_append(__a.held, __x) as held))[0],
+        __a -> __a.held)""")
+    carried = ", ".join(f"__r.`{c}` as `{c}`" for c in ["cycle", *rest])
+    zipped = F.expr(f"transform(__rows, (__r, __i) -> struct({carried}, __held[__i] as `{out}`))")
+    return packed.withColumn("__held", folded).select("series_id", "date", F.inline(zipped)).select(*cols, out)
 
 
 def guard_helps(df: DataFrame, y: str = "y", raw: str = "pred", guarded: str = "guarded", slack: float = 1.0, limits: Limits = Limits()) -> DataFrame:

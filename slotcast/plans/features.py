@@ -61,9 +61,9 @@ def lag_prefixes(columns, spec: FeatureSpec) -> dict[str, str]:
 def add_features(df: DataFrame, spec: FeatureSpec = FeatureSpec()) -> DataFrame:
     """All features on a gap-free panel. Rows and keys are unchanged.
 
-    Shuffles of the wide panel: one by (series, day) for day-so-far sums when fuel or
-    rain is present, one by (series, slot) for every lag and long mean, one to meet
-    the day table. The day table itself is 1/48 of the panel.
+    A panel that arrives partitioned by series is shuffled once, to meet the day table,
+    which is 1/48 of it; lags and long means are windows inside a series. ``df`` is read
+    twice, so hand over a written table when it is costly to compute.
     """
     staged = _time_shifted(df, spec)
     joined = daystats.attach_day_features(staged, _day_table(df, spec))

@@ -123,7 +123,7 @@ def rolling_snapshot(spark, sf_dir):
     g AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 383 PRECEDING AND 48 PRECEDING),
     h AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 1487 PRECEDING AND 48 PRECEDING)"""))
 def shifted_rolling_means(spark, sf_dir):
-    """Week-long and month-long means that end one or two days back, from day totals."""
+    """Week-long and month-long means that end one or two days back, from running sums."""
     df = lags.running_parts(event_panel(spark, sf_dir), ["load", "y"])
     return df.select(
         "series_id", "ts", lags.lag_days("load", 2).alias("load_lag"),
