@@ -1,7 +1,8 @@
 """Corrections that walk forward day by day: trailing blend, bias and cap.
 
-Everything a day may use is reduced to one row per series and day first. The walk is
-then a window over day rows, so it needs no loop and no state.
+What a day may use is a range of earlier days of its series, so the walk is a window
+ordered by day number and needs no loop and no state. Spark evaluates such a frame once
+per day, as its rows share it, and a panel partitioned by series is not shuffled for it.
 
 ``reveal_lag_days`` is the age in days of the newest day whose actuals may be used.
 2 is safe at an origin inside the day before the target; 1 assumes that the whole
@@ -60,12 +61,31 @@ def blend_weights(
     )
 
 
-def trailing_blend(df: DataFrame, models: list[str], out: str = "blend", **kw) -> DataFrame:
-    """Models mixed each day with the weights earned on the days before it."""
-    weights = blend_weights(df, models, **kw)
-    joined = df.join(weights, ["series_id", "date"], "left")
-    names = [f"w_{m}" for m in models]
-    return joined.withColumn(out, dot(models, names)).drop(*names)
+def trailing_blend(
+    df: DataFrame,
+    models: list[str],
+    out: str = "blend",
+    y: str = "y",
+    lookback_days: int = 28,
+    reveal_lag_days: int = 2,
+    min_rows: int = SLOTS,
+    limits: Limits = Limits(),
+) -> DataFrame:
+    """Models mixed each day with the weights earned on the days before it.
+
+    The weights of ``blend_weights``, taken over the panel rows themselves: no day table
+    and no join.
+    """
+    clean = is_clean(y, limits)
+    w = calendar_days(lookback_days, reveal_lag_days)
+    errors = {f"__e_{m}": F.avg(F.when(clean, F.abs(F.col(y) - F.col(m)))).over(w) for m in models}
+    staged = df.withColumns({**errors, "__n": F.count_if(clean).over(w)})
+    inverse = {m: inverse_error(f"__e_{m}") for m in models}
+    total = reduce(lambda a, b: a + b, inverse.values())
+    mixed = reduce(lambda a, b: a + b, [F.col(m) * inverse[m] for m in models]) / total
+    equal = dot(models, [F.lit(1.0 / len(models))] * len(models))
+    enough = F.coalesce(F.col("__n"), F.lit(0)) >= min_rows
+    return staged.withColumn(out, F.when(enough, mixed).otherwise(equal)).drop("__n", *errors)
 
 
 def component_weights(df: DataFrame, models: list[str], y: str = "y", limits: Limits = Limits(), min_rows: int = SLOTS) -> DataFrame:
@@ -133,24 +153,36 @@ def walk_forward_adjust(
 ) -> DataFrame:
     """Bias shift, then snap to the trailing cap, then clip; each day from earlier days only.
 
-    ``history`` adds actuals from before ``df`` to the cap. Bias and cap live on day rows
-    and meet the panel in one join.
+    ``history`` adds actuals from before ``df`` to the cap. Equal to ``trailing_bias`` and
+    ``trailing_cap`` on day rows, but taken over the panel rows: windows inside a series,
+    no join.
     """
-    dates = None
+    rows, capped = df.withColumn("__target", F.lit(True)), bool(cap_days and cap_ratio is not None)
+    if capped and history is not None:
+        older = history.select("series_id", "ts", "date", y).withColumn("__target", F.lit(False))
+        both = rows.unionByName(older, allowMissingColumns=True)
+        next_ts = F.lead("ts").over(Window.partitionBy("series_id").orderBy("ts", "__target"))
+        rows = both.withColumn("__next", next_ts).where(F.col("__next").isNull() | (F.col("__next") != F.col("ts")))
+    shifted = F.col(base)
     if bias_days:
-        dates = trailing_bias(daily_residual(df, y, base, limits), bias_days, reveal_lag_days, min_bias_days)
-        dates = dates.select("series_id", "date", "bias")
-    if cap_days and cap_ratio is not None:
-        actuals = df.select("series_id", "ts", "date", y)
-        if history is not None:
-            actuals = merge_revealed(history.select("series_id", "ts", "date", y), actuals)
-        caps = trailing_cap(day_values(actuals, y), cap_days, cap_quantile, reveal_lag_days, min_cap_rows)
-        caps = caps.select("series_id", "date", "cap")
-        dates = caps if dates is None else dates.join(caps, ["series_id", "date"], "left")
-    joined = df if dates is None else df.join(dates, ["series_id", "date"], "left")
-    shifted = F.col(base) + F.coalesce(F.col("bias"), F.lit(0.0)) if bias_days else F.col(base)
-    snapped = cap_snap(shifted, F.col("cap"), cap_ratio) if cap_days and cap_ratio is not None else shifted
-    return joined.withColumn(out, publishable(snapped, limits)).drop("bias", "cap")
+        day = Window.partitionBy("series_id", "date")
+        residual = F.when(is_clean(y, limits) & F.col("__target"), F.col(y) - F.col(base))
+        rows = rows.withColumn("__resid", residual).withColumns({
+            "__r": F.expr("percentile(__resid, 0.5)").over(day),
+            "__i": F.row_number().over(day.orderBy("ts")),
+            "__d": F.dense_rank().over(across_days()),
+        })
+        w = Window.partitionBy("series_id").orderBy("__d").rangeBetween(-(bias_days + reveal_lag_days - 1), -reveal_lag_days)
+        once = rows.withColumn("__r", F.when(F.col("__i") == 1, F.col("__r")))
+        enough = F.count("__r").over(w) >= min_bias_days
+        rows = once.withColumn("__bias", F.when(enough, F.expr("percentile(__r, 0.5)").over(w)))
+        shifted = shifted + F.coalesce(F.col("__bias"), F.lit(0.0))
+    if capped:
+        w = calendar_days(cap_days, reveal_lag_days)
+        enough = F.count(y).over(w) >= min_cap_rows
+        rows = rows.withColumn("__cap", F.when(enough, F.percentile(y, F.lit(cap_quantile)).over(w)))
+        shifted = cap_snap(shifted, F.col("__cap"), cap_ratio)
+    return rows.where("__target").withColumn(out, publishable(shifted, limits)).select(*df.columns, out)
 
 
 def require_whole_day(target: DataFrame, slots: int = SLOTS) -> None:
