@@ -128,18 +128,26 @@ def _parts(n: int, shift: int) -> Column:
     return F.filter(F.concat(am, pm), lambda p: p["n"] > 0)
 
 
-def _fold(parts: Column, term) -> Column:
-    return F.aggregate(parts, F.lit(0.0), lambda acc, p: acc + term(p))
-
-
-def trailing_moments(n: int, min_count: int, shift: int = 1) -> tuple[Column, Column]:
-    """(mean, sample std) of n days of rows ending at the cutoff, merged from half-day moments."""
-    parts = _parts(n, shift)
-    count = _fold(parts, lambda p: p["n"].cast("double"))
-    mean = _fold(parts, lambda p: p["n"] * p["mean"]) / F.when(count > 0, count)
-    spread = _fold(parts, lambda p: p["n"] * (p["var"] + (p["mean"] - mean) * (p["mean"] - mean)))
-    enough = count >= min_count
-    return F.when(enough, mean), F.when(enough & (count > 1), F.sqrt(spread / F.nullif(count - 1, F.lit(0.0))))
+def trailing_moments(df: DataFrame, windows: dict[str, tuple[int, int]], shift: int = 1) -> DataFrame:
+    """``<name>_mean`` and ``<name>_std`` per (days, least count), over rows that end at the cutoff.
+
+    Half-day moments are merged in two passes, the mean first: no difference of large
+    sums, so a constant stretch has a spread of exactly 0.
+    """
+    def fold(name: str, term: str):
+        return F.expr(f"aggregate(`__p_{name}`, double(0), (__t, __p) -> __t + {term})")
+
+    parts = df.withColumns({f"__p_{k}": _parts(n, shift) for k, (n, _) in windows.items()})
+    counted = parts.withColumns({f"__n_{k}": fold(k, "__p.n") for k in windows})
+    total = {k: fold(k, "__p.n * __p.mean") / F.when(F.col(f"__n_{k}") > 0, F.col(f"__n_{k}")) for k in windows}
+    means = counted.withColumns({f"{k}_mean": F.when(F.col(f"__n_{k}") >= least, total[k]) for k, (_, least) in windows.items()})
+    gap = "(__p.mean - `{0}_mean`)"
+    out = means.withColumns({
+        f"{k}_std": F.sqrt(
+            fold(k, f"__p.n * (__p.var + {gap.format(k)} * {gap.format(k)})") / F.when(F.col(f"__n_{k}") > 1, F.col(f"__n_{k}") - 1)
+        ) for k in windows
+    })
+    return out.drop(*[f"__{t}_{k}" for t in "pn" for k in windows])
 
 
 def trailing_values(n: int, shift: int = 1) -> Column:
@@ -156,13 +164,12 @@ def trailing_low_rate(n: int, min_rows: int, shift: int = 1) -> Column:
 
 def snapshot_features(days: DataFrame, y: str = "y", quantile_days: int = 28, shift: int = 1) -> DataFrame:
     """Trailing statistics at the origin's cutoff, one row per target day, next to ``days``' columns."""
-    _, std1 = trailing_moments(1, 24, shift)
-    mean7, std7 = trailing_moments(7, 168, shift)
-    staged = days.withColumns({
-        f"{y}_rolling_std_1d": std1, f"{y}_rolling_std_7d": std7, f"{y}_rolling_mean_7d": mean7,
+    moments = trailing_moments(days, {"__1d": (1, 24), "__7d": (7, 168)}, shift)
+    staged = moments.withColumns({
+        f"{y}_rolling_std_1d": F.col("__1d_std"), f"{y}_rolling_std_7d": F.col("__7d_std"), f"{y}_rolling_mean_7d": F.col("__7d_mean"),
         "low_rate_7d": trailing_low_rate(7, 336 // 2, shift), "low_rate_30d": trailing_low_rate(30, 1440 // 2, shift),
         "__sorted": trailing_values(quantile_days, shift),
-    })
+    }).drop("__1d_mean", "__1d_std", "__7d_mean", "__7d_std")
     enough = F.size("__sorted") >= quantile_days * 12
     return staged.withColumns({
         f"{y}_rolling_{name}_{quantile_days}d": F.when(enough, sorted_quantile(F.col("__sorted"), q))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from slotcast.functions.clock import floor_slot, slot_ts, with_clock
 from slotcast.functions.numeric import finite
-from slotcast.limits import SLOTS
+from slotcast.limits import SLOTS, STEP_MINUTES
 from slotcast.operators.frames import across_days, by_day, by_slot
 
 KEY = ["series_id", "ts"]
@@ -44,8 +44,9 @@ def _dedup(df: DataFrame, keys: list[str], order: list[str], pick) -> DataFrame:
 
 def to_slots(df: DataFrame, series: str, ts: str, **aggs: Column) -> DataFrame:
     """Irregular rows to one row per series and half hour."""
-    slotted = df.withColumns({"series_id": F.col(series), "ts": floor_slot(F.col(ts))})
-    return slotted.groupBy("series_id", "ts").agg(*[a.alias(n) for n, a in aggs.items()])
+    slotted = df.withColumn("__slot", F.window(ts, f"{STEP_MINUTES} minutes")["start"])
+    keys = [F.col(series).alias("series_id"), F.col("__slot").alias("ts")]
+    return slotted.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()])
 
 
 def make_grid(df: DataFrame, series: str = "series_id", ts: str = "ts", whole_days: bool = False) -> DataFrame:
@@ -178,9 +179,9 @@ def build_panel(
     later windows and groupings on the series and more reuse.
     """
     slots = with_clock(to_slots(raw.dropna(subset=[series, ts]), series, ts, **aggs))
+    values = F.struct(*[finite(c).alias(c) if c in impute_cols else F.col(c) for c in aggs])
     days = slots.groupBy("series_id", "date").agg(
-        F.map_from_entries(F.collect_list(F.struct("cycle", F.struct(*aggs)))).alias("m"),
-        F.min("ts").alias("lo"), F.max("ts").alias("hi"),
+        F.map_from_entries(F.collect_list(F.struct("cycle", values))).alias("m"), F.min("ts").alias("lo"), F.max("ts").alias("hi")
     )
     w = across_days()
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -188,35 +189,31 @@ def build_panel(
         "series_id", "date", "m", F.min("lo").over(whole).alias("lo"), F.max("hi").over(whole).alias("hi"),
         F.coalesce(F.date_sub(F.lead("date").over(w), 1), F.col("date")).alias("until"),
     )
-    dense = spans.select("*", F.explode(F.sequence("date", "until")).alias("day")).select(
-        "series_id", F.col("day").alias("date"), "lo", "hi",
-        *[F.expr(f"transform(sequence(0, {SLOTS - 1}), __s -> if(day = date, m[__s].`{c}`, null))").alias(c) for c in aggs],
-    )
+    dense = spans.select("*", F.explode(F.sequence("date", "until")).alias("day"))
+    dense = dense.withColumn("__rows", F.expr(f"transform(sequence(0, {SLOTS - 1}), __s -> if(day = date, m[__s], null))"))
+    dense = dense.select("series_id", F.col("day").alias("date"), "lo", "hi", *[F.col(f"__rows.{c}").alias(c) for c in aggs])
     if observed in aggs:
-        dense = dense.withColumn(f"{observed}_observed", F.transform(observed, lambda v: v.isNotNull()))
-    dense = dense.withColumns({
-        c: F.expr(f"transform(`{c}`, __v -> case when not isnan(double(__v)) and abs(__v) != double('Infinity') then __v end)")
-        for c in impute_cols
-    })
+        dense = dense.withColumn("__seen", F.col(observed))
     seasoned = dense.withColumns({
         c: F.expr(f"""zip_with(`{c}`, coalesce(lag(`{c}`, {season_days}) over (partition by series_id order by date),
             array_repeat(null, {SLOTS})), (__v, __s) -> coalesce(__v, __s))""") for c in impute_cols
     })
-    known = "filter({0}, __v -> __v is not null)"
-    closed = seasoned.withColumns({f"__last_{c}": F.expr(f"get(reverse({known.format(f'`{c}`')}), 0)") for c in impute_cols})
-    carried = closed.withColumns({
-        f"__last_{c}": F.last(f"__last_{c}", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)) for c in impute_cols
+    known = seasoned.withColumns({f"__k_{c}": F.expr(f"filter(`{c}`, __v -> __v is not null)") for c in impute_cols})
+    carried = known.withColumns({
+        f"__last_{c}": F.last(F.get(f"__k_{c}", F.size(f"__k_{c}") - 1), ignorenulls=True).over(
+            w.rowsBetween(Window.unboundedPreceding, -1)
+        ) for c in impute_cols
     })
     filled = carried.withColumns({
-        c: F.expr(f"""transform(`{c}`, (__v, __i) -> coalesce(
-            __v, get(reverse({known.format(f'slice(`{c}`, 1, __i + 1)')}), 0), `__last_{c}`))""") for c in impute_cols
+        c: F.expr(f"""if(size(`__k_{c}`) = {SLOTS}, `{c}`, transform(`{c}`, (__v, __i) -> coalesce(
+            __v, get(reverse(filter(slice(`{c}`, 1, __i + 1), __u -> __u is not null)), 0), `__last_{c}`)))""") for c in impute_cols
     })
-    cols = [*aggs, *([f"{observed}_observed"] if observed in aggs else [])]
-    fields = ", ".join(f"`{c}`[__s] as `{c}`" for c in cols)
-    rows = filled.select(
-        "series_id", "date", "lo", "hi", F.inline(F.expr(f"transform(sequence(0, {SLOTS - 1}), __s -> struct(__s as cycle, {fields}))"))
-    ).withColumn("ts", slot_ts("date", "cycle"))
-    return rows.where(F.col("ts").between(F.col("lo"), F.col("hi"))).select("series_id", "ts", "date", "cycle", *cols)
+    seen = ["__seen"] if observed in aggs else []
+    zipped = filled.withColumn("cycle", F.sequence(F.lit(0), F.lit(SLOTS - 1)))
+    rows = zipped.select("series_id", "date", "lo", "hi", F.inline(F.arrays_zip("cycle", *aggs, *seen)))
+    rows = rows.withColumn("ts", slot_ts("date", "cycle")).where(F.col("ts").between(F.col("lo"), F.col("hi")))
+    flags = [F.col("__seen").isNotNull().alias(f"{observed}_observed")] if seen else []
+    return rows.select("series_id", "ts", "date", "cycle", *aggs, *flags)
 
 
 __all__ = [

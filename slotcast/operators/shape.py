@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from slotcast.functions.numeric import clip
 from slotcast.functions.regime import is_clean
-from slotcast.limits import Limits
+from slotcast.limits import SLOTS, Limits
 from slotcast.operators.frames import by_day
 
 
@@ -86,15 +86,17 @@ def step_guard(df: DataFrame, bounds: DataFrame, pred: str = "pred", weight: str
     packed = j.groupBy("series_id", "date").agg(
         F.array_sort(F.collect_list(F.struct("cycle", *rest, "normal_lo", "normal_hi", "gate_lo", "gate_hi"))).alias("__rows")
     )
-    gate = f"(greatest(__r.`{weight}`, __a.w) >= {jump} or abs(__r.`{weight}` - __a.w) >= {jump})"
+    before = "element_at(__a, -1)"
+    gate = f"(greatest(__r.`{weight}`, {before}.w) >= {jump} or abs(__r.`{weight}` - {before}.w) >= {jump})"
     lo, hi = f"if({gate}, __r.gate_lo, __r.normal_lo)", f"if({gate}, __r.gate_hi, __r.normal_hi)"
-    step = f"__a.v + greatest(least(__r.`{pred}` - __a.v, {hi}), {lo})"
+    step = f"{before}.v + greatest(least(__r.`{pred}` - {before}.v, {hi}), {lo})"
+    # an empty entry stands before the day's first slot, which has no step to hold
     folded = F.expr(f"""aggregate(
         __rows,
-        struct(double(null) as v, double(null) as w, array_repeat(double(null), 0) as held),
-        (__a, __r) -> transform(array(if(__a.v is null, double(__r.`{pred}`), {step})),
-            __x -> struct(__x as v, double(__r.`{weight}`) as w, array_append(__a.held, __x) as held))[0],
-        __a -> __a.held)""")
+        array(struct(double(null) as v, double(null) as w)),
+        (__a, __r) -> array_append(__a, struct(
+            if({before}.v is null, double(__r.`{pred}`), {step}) as v, double(__r.`{weight}`) as w)),
+        __a -> slice(__a.v, 2, {SLOTS}))""")
     carried = ", ".join(f"__r.`{c}` as `{c}`" for c in ["cycle", *rest])
     zipped = F.expr(f"transform(__rows, (__r, __i) -> struct({carried}, __held[__i] as `{out}`))")
     return packed.withColumn("__held", folded).select("series_id", "date", F.inline(zipped)).select(*cols, out)
