@@ -58,6 +58,19 @@ def lag_prefixes(columns, spec: FeatureSpec) -> dict[str, str]:
     return out
 
 
+def daily_inputs(features: list[str], spec: FeatureSpec = FeatureSpec()) -> tuple[list[str], list[str]]:
+    """(profile, scalar) columns of the daily models among ``features``.
+
+    Profile columns differ by slot: lags of the target and the load, load forecasts and
+    the newest weather lags. Scalar columns are one value per day.
+    """
+    lagged = (f"{spec.y_stem}_same_cycle_", f"{spec.load_stem}_same_cycle_", "load_forecast_")
+    weather = tuple(p for p in spec.lagged_prefixes if p != "disp_")
+    daily = ("morning_", "prev_full_", f"{spec.y_stem}_rolling_", "low_rate_", "is_")
+    profile = [c for c in features if c.startswith(lagged) or (c.startswith(weather) and c.endswith("_same_cycle_1d"))]
+    return profile, [c for c in features if c.startswith(daily) or c == "season"]
+
+
 def add_features(df: DataFrame, spec: FeatureSpec = FeatureSpec()) -> DataFrame:
     """All features on a gap-free panel. Rows and keys are unchanged.
 

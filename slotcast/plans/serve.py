@@ -63,7 +63,8 @@ def forecast_day(
         policy.require_fresh(panel, origin_ts(origin_date, spec.cutoff), spec.y)
     full = add_features(future_frame(panel, origin_date, calendar, y=spec.y, cutoff=spec.cutoff), spec)
     recent = F.col("date") >= F.date_sub(F.lit(str(origin_date)).cast("date"), HISTORY_DAYS)
-    full = settle(full.where(recent).select("series_id", "ts", "date", "cycle", spec.y, *model.inputs), "day-ahead")
+    used = dict.fromkeys(["series_id", "ts", "date", "cycle", spec.y, *model.inputs])
+    full = settle(full.where(recent).select(*used), "day-ahead")
     target, history = split_day(full, model.features, origin_date, spec.y)
     if check:
         policy.require_complete(target, model.features)
