@@ -6,8 +6,6 @@ Every reader takes a path or glob, so a source split over many files is one scan
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotcast.functions.clock import with_clock
-from slotcast.functions.numeric import finite_columns
 from slotcast.operators import panel
 from slotcast.operators.policy import numeric_columns
 
@@ -89,7 +87,3 @@ def load_sources(spark: SparkSession, root: str, season_days: int = 7) -> DataFr
     filled = panel.impute(df, cols, season_days, observed="smp_system_price", whole_days=True)
     return filled.where("in_span").drop("in_span")
 
-
-__all__ = [
-    "finite_columns", "load_sources", "read_capacity", "read_daily", "read_hydro", "read_series", "read_weather", "with_clock",
-]
