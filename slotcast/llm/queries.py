@@ -4,17 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotcast.llm import decontam
+from slotcast.llm import decontam, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_contained_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op8_contained_items": op8_contained_items}
+QUERIES = {
+    "op7_secret_spans": op7_secret_spans,
+    "op8_contained_items": op8_contained_items,
+}
 
-SQL = {"op8_contained_items": decontam.ORACLE}
+SQL = {
+    "op7_secret_spans": secrets.ORACLE,
+    "op8_contained_items": decontam.ORACLE,
+}
