@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotcast.llm import decontam, secrets
+from slotcast.llm import decontam, secrets, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,9 +19,14 @@ def op8_contained_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_repeated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op7_secret_spans": op7_secret_spans,
     "op8_contained_items": op8_contained_items,
+    "op9_repeated_words": op9_repeated_words,
 }
 
 SQL = {
