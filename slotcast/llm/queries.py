@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotcast.llm import bpe, decontam, secrets, substrings
+from slotcast.llm import bpe, decontam, ordinal, secrets, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,11 +34,17 @@ def op9_repeated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return ordinal.rate(docs, ordinal.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op5_bpe_digests": op5_bpe_digests,
     "op7_secret_spans": op7_secret_spans,
     "op8_contained_items": op8_contained_items,
     "op9_repeated_words": op9_repeated_words,
+    "op10_quality_grades": op10_quality_grades,
 }
 
 SQL = {

@@ -82,6 +82,19 @@ class Chunk:
         return out, valid
 
 
+def head_hashes(chunk: Chunk, size: int) -> np.ndarray:
+    """Hashes of the first `size` bytes of the words that are longer, by word; 0 for the others."""
+    out = np.zeros(len(chunk.starts), dtype=np.uint64)
+    long = np.flatnonzero(chunk.ends - chunk.starts > size)
+    at = chunk.starts[long]
+    total = np.full(len(at), np.uint64(size), dtype=np.uint64)
+    for j in range(size):
+        total *= _ODD
+        total += _BYTE_VALUES[chunk.data[at + j]]
+    out[long] = mix(total)
+    return out
+
+
 def sequence_hash(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hash of every k consecutive values."""
     n = len(hashes) - k + 1
@@ -102,31 +115,33 @@ def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def chunks(column: pa.Array, lower: bool = False, size: int = CHUNK_BYTES) -> Iterator[Chunk]:
+def chunks(column: pa.Array, lower: bool = False, size: int = CHUNK_BYTES, blanks: bytes = b"") -> Iterator[Chunk]:
     """Words of a string column, in chunks of about `size` bytes of whole texts.
 
-    `lower` folds A-Z only. Every row of the column belongs to exactly one chunk.
+    `lower` folds A-Z only; `blanks` are further ASCII characters between words. Every row of the column belongs to exactly one chunk.
     """
     if len(column) == 0:
         return
     data, offsets = _buffers(column)
+    blank = _BLANK.copy()
+    blank[list(blanks)] = True
     first = 0
     while first < len(column):
         last = int(np.searchsorted(offsets, offsets[first] + size, side="right")) - 1
         last = min(max(last, first + 1), len(column))
         rows = offsets[first : last + 1] - offsets[first]
-        yield _chunk(first, data[offsets[first] : offsets[last]], rows, lower)
+        yield _chunk(first, data[offsets[first] : offsets[last]], rows, lower, blank)
         first = last
 
 
-def _chunk(first: int, data: np.ndarray, offsets: np.ndarray, lower: bool) -> Chunk:
+def _chunk(first: int, data: np.ndarray, offsets: np.ndarray, lower: bool, blank: np.ndarray) -> Chunk:
     n = len(data)
     if lower:
         data = _LOWER[data]
     if n == 0:
         none = np.zeros(0, dtype=np.int64)
         return Chunk(first, data, offsets, none, none, np.zeros(len(offsets), np.int64), none.astype(np.uint64))
-    word = ~_BLANK[data]
+    word = ~blank[data]
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True
     starts = np.flatnonzero(word & (edge[:n] | ~np.concatenate(([False], word[:-1]))))
