@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotcast.llm import bpe, decontam, ordinal, secrets, substrings
+from slotcast.llm import bpe, decontam, ordinal, secrets, sharding, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+SHARDS = 40
+
+
+def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.fixed_number(table(spark, sf_dir, "documents"), SHARDS)
+
+
 def vocabulary() -> str:
     """Path of the public vocabulary file, as installed on every machine."""
     import public_tokenizers
@@ -40,6 +47,7 @@ def op10_quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_shards": op1_shards,
     "op5_bpe_digests": op5_bpe_digests,
     "op7_secret_spans": op7_secret_spans,
     "op8_contained_items": op8_contained_items,
