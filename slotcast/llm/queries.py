@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotcast.llm import bpe, decontam, ordinal, secrets, sharding, substrings
+from slotcast.llm import bpe, decontam, ordinal, secrets, sharding, substrings, wacz
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.fixed_number(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op4_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wacz.round_trip(table(spark, sf_dir, "pages"))
+
+
 def vocabulary() -> str:
     """Path of the public vocabulary file, as installed on every machine."""
     import public_tokenizers
@@ -48,6 +52,7 @@ def op10_quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_shards": op1_shards,
+    "op4_warc_records": op4_warc_records,
     "op5_bpe_digests": op5_bpe_digests,
     "op7_secret_spans": op7_secret_spans,
     "op8_contained_items": op8_contained_items,
