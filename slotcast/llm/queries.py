@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotcast.llm import bpe, decontam, ordinal, secrets, sharding, substrings, wacz
+from slotcast.llm import bpe, decontam, imatch, ordinal, secrets, sharding, substrings, wacz
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_bpe_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.neighbours(table(spark, sf_dir, "documents"))
+
+
 def op7_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES = {
     "op1_shards": op1_shards,
     "op4_warc_records": op4_warc_records,
     "op5_bpe_digests": op5_bpe_digests,
+    "op6_fingerprints": op6_fingerprints,
     "op7_secret_spans": op7_secret_spans,
     "op8_contained_items": op8_contained_items,
     "op9_repeated_words": op9_repeated_words,
