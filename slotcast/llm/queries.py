@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotcast.llm import bpe, decontam, imatch, ordinal, secrets, sharding, substrings, wacz
+from slotcast.llm import bpe, decontam, imatch, jaccard, ordinal, secrets, sharding, substrings, wacz
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.fixed_number(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op2_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(table(spark, sf_dir, "documents"))
+
+
 def op4_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wacz.round_trip(table(spark, sf_dir, "pages"))
 
@@ -56,6 +60,7 @@ def op10_quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_shards": op1_shards,
+    "op2_components": op2_components,
     "op4_warc_records": op4_warc_records,
     "op5_bpe_digests": op5_bpe_digests,
     "op6_fingerprints": op6_fingerprints,
@@ -66,6 +71,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_components": jaccard.ORACLE,
     "op7_secret_spans": secrets.ORACLE,
     "op8_contained_items": decontam.ORACLE,
 }
