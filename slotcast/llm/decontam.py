@@ -148,17 +148,19 @@ def _pairs(index: Index):
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, text="text", item_id="item_id", item_text="text", threshold=THRESHOLD) -> DataFrame:
     """`docs` without the rows that contain an item; all columns stay as they are."""
     for ids, texts in _blocks(items, item_id, item_text):
-        index = Index(ids, texts, threshold)
+        docs = docs.where(~F.arrow_udf(_contaminated(Index(ids, texts, threshold)), "boolean")(F.col(text)))
+    return docs
 
-        def contaminated(column: pa.Array, index: Index = index) -> pa.Array:
-            mask = np.zeros(len(column), dtype=bool)
-            for chunk in chunks(column, lower=True):
-                for row, _, _ in index.search(chunk):
-                    mask[chunk.first + row] = True
-            return pa.array(mask)
 
-        docs = docs.where(~F.arrow_udf(contaminated, "boolean")(F.col(text)))
-    return docs
+def _contaminated(index: Index):
+    def run(column: pa.Array) -> pa.Array:
+        mask = np.zeros(len(column), dtype=bool)
+        for chunk in chunks(column, lower=True):
+            for row, _, _ in index.search(chunk):
+                mask[chunk.first + row] = True
+        return pa.array(mask)
+
+    return run
 
 
 ORACLE = """
