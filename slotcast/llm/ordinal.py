@@ -119,28 +119,25 @@ class Model:
         return out
 
 
-def _clear(bounds: np.ndarray, places: np.ndarray, grades: np.ndarray, least: int) -> np.ndarray:
-    """Features of enough rows whose rows have a clearly other share of some tail."""
-    row = np.repeat(np.arange(len(grades)), np.diff(bounds))
-    seen = np.bincount(places, minlength=1 << BITS)
-    clear = np.zeros(1 << BITS, dtype=bool)
+def clear_places(counts: np.ndarray, rows: np.ndarray, *, least=LEAST, clear=CLEAR) -> np.ndarray:
+    """Features of enough rows whose rows have a clearly other share of some tail.
+
+    `counts`: rows that have a feature, by place and grade. `rows`: all rows by grade.
+    """
+    seen, total = counts.sum(axis=1), max(rows.sum(), 1)
+    out = np.zeros(len(counts), dtype=bool)
     for k in GRADES[1:]:
-        high = grades >= k
-        share = high.mean()
-        found = np.bincount(places, high[row], minlength=1 << BITS)
-        error = np.sqrt(np.maximum(seen * share * (1 - share) * (1 - seen / len(grades)), 1e-9))
-        clear |= np.abs(found - seen * share) > CLEAR * error
-    return clear & (seen >= least)
+        share = rows[k:].sum() / total
+        error = np.sqrt(np.maximum(seen * share * (1 - share) * (1 - seen / total), 1e-9))
+        out |= np.abs(counts[:, k:].sum(axis=1) - seen * share) > clear * error
+    return out & (seen >= least)
 
 
-def fit_model(bounds: np.ndarray, places: np.ndarray, grades: np.ndarray, *, epochs=EPOCHS, rate=0.3, penalty=1e-5, least=LEAST) -> Model:
+def fit_model(bounds: np.ndarray, places: np.ndarray, grades: np.ndarray, *, epochs=EPOCHS, rate=0.3, penalty=1e-5) -> Model:
     """Maximum likelihood of the cumulative logit by AdaGrad over blocks of rows.
 
     The thresholds are a first cut plus exponentials, so they stay in order.
     """
-    keep = _clear(bounds, places, grades, least)[places]
-    bounds = np.concatenate(([0], np.cumsum(keep)))[bounds]
-    places = places[keep]
     weights = np.zeros(1 << BITS)
     speed = np.full(1 << BITS, 1e-6)
     levels = len(GRADES) - 1
@@ -188,27 +185,53 @@ def rated_ids(labels: DataFrame, *, doc_id="doc_id", quality="quality", toxic="t
     return one.select("id", "grade").orderBy(F.xxhash64("id"), "id").limit(sample)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, doc_id="doc_id", text="text", sample=SAMPLE) -> Model:
-    """Fit on at most `sample` labelled documents."""
-    rated = rated_ids(labels, sample=sample)
-    source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(rated), "id")
+def _tally(batches):
+    """Rows of every grade that have a feature, by place; place -1 counts all rows."""
+    for batch in batches:
+        grades = batch.column(2).to_numpy(zero_copy_only=False)
+        for first, bounds, places in features(batch.column(1)):
+            grade = grades[first : first + len(bounds) - 1]
+            of_place = np.repeat(grade, np.diff(bounds))
+            found, at = np.unique(places, return_inverse=True)
+            n = np.stack([np.bincount(at[of_place == g], minlength=len(found)) for g in GRADES], axis=1)
+            found = np.concatenate(([-1], found))
+            n = np.concatenate((np.bincount(grade, minlength=len(GRADES))[None, :], n))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), *(pa.array(n[:, g], pa.int64()) for g in GRADES)], names=["place", "n0", "n1", "n2"])
+
 
-    def extract(batches):
+def _extract(keep: np.ndarray):
+    def run(batches):
         for batch in batches:
             for first, bounds, places in features(batch.column(1)):
+                kept = keep[places]
+                bounds, places = np.concatenate(([0], np.cumsum(kept)))[bounds], places[kept]
                 rows = [places[bounds[i] : bounds[i + 1]].tobytes() for i in range(len(bounds) - 1)]
                 part = batch.slice(first, len(rows))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(rows, pa.binary())], names=["id", "grade", "places"])
 
-    # a document that is there twice counts once
-    table = source.select("id", "text", "grade").mapInArrow(extract, "id long, grade int, places binary").toArrow().sort_by([("id", "ascending"), ("places", "ascending")])
-    ids = table["id"].to_numpy()
-    table = table.take(pa.array(np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else np.zeros(0, np.int64)))
-    grades = table["grade"].to_numpy().astype(np.int64)
-    if len(np.unique(grades)) < 2:
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, doc_id="doc_id", text="text", sample=SAMPLE) -> Model:
+    """Fit on at most `sample` labelled documents. The driver sees counts per place and the clear features only."""
+    rated = rated_ids(labels, sample=sample)
+    source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(rated), "id").select("id", "text", "grade")
+    tally = source.mapInArrow(_tally, "place int, n0 long, n1 long, n2 long").groupBy("place").agg(*[F.sum(f"n{g}").alias(f"n{g}") for g in GRADES])
+    tally = tally.where(" + ".join(f"n{g}" for g in GRADES) + f" >= {LEAST} OR place = -1").toArrow()
+    place = tally["place"].to_numpy()
+    n = np.stack([tally[f"n{g}"].to_numpy() for g in GRADES], axis=1).astype(np.float64)
+    rows = n[place == -1].sum(axis=0) if len(place) else np.zeros(len(GRADES))
+    if (rows > 0).sum() < 2:
         raise ValueError("the labelled documents have fewer than two grades")
-    places = [np.frombuffer(b.as_py(), dtype=np.int32) for b in table["places"]]
-    return fit_model(np.concatenate(([0], np.cumsum([len(p) for p in places]))), np.concatenate(places), grades)
+    counts = np.zeros((1 << BITS, len(GRADES)))
+    counts[place[place >= 0]] = n[place >= 0]
+    keep = clear_places(counts, rows)
+    table = source.mapInArrow(_extract(keep), "id long, grade int, places binary").toArrow()
+    table = table.sort_by([("id", "ascending"), ("places", "ascending")])
+    ids = table["id"].to_numpy()
+    table = table.take(pa.array(np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))))  # a document that is there twice counts once
+    found = [np.frombuffer(b.as_py(), dtype=np.int32) for b in table["places"]]
+    return fit_model(np.concatenate(([0], np.cumsum([len(p) for p in found]))), np.concatenate(found), table["grade"].to_numpy().astype(np.int64))
 
 
 def rate(docs: DataFrame, model: Model, *, doc_id="doc_id", text="text", select=SELECT) -> DataFrame:
