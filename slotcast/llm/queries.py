@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotcast.llm import bpe, decontam, imatch, jaccard, ordinal, secrets, sharding, substrings, wacz
+from slotcast.llm import bpe, decontam, html_blocks, imatch, jaccard, ordinal, secrets, sharding, substrings, wacz
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op2_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(table(spark, sf_dir, "documents"))
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_blocks.extract(pages, html_blocks.fit(pages))
+
+
 def op4_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wacz.round_trip(table(spark, sf_dir, "pages"))
 
@@ -61,6 +66,7 @@ def op10_quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_shards": op1_shards,
     "op2_components": op2_components,
+    "op3_main_text": op3_main_text,
     "op4_warc_records": op4_warc_records,
     "op5_bpe_digests": op5_bpe_digests,
     "op6_fingerprints": op6_fingerprints,
