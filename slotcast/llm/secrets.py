@@ -15,7 +15,7 @@ All work is a projection: no shuffle, no Python. Positions come from the lengths
 
 A null or empty text has no spans: zero counts, empty `spans`, and the hash of the empty string.
 Repeated rows each give a row, an empty table gives none, other columns are ignored by `scan` and
-kept by `redact`, which needs no name of its own.
+kept by `redact`.
 """
 
 from __future__ import annotations
@@ -153,12 +153,12 @@ def _with_spans(docs: DataFrame, text: str) -> DataFrame:
     access = F.filter(_matches(content, ACCESS), lambda m: F.char_length(m["m"]) >= 18)
     found = {"assign": _spans(assign, "assign"), "access": _spans(access, "access"), "hex": _spans(_matches(content, HEX), "hex")}
     found |= {kind: _entropy_spans(_matches(content, CLASSES[kind][1]), kind) for kind in CLASSES}
-    return docs.withColumn(span_column(docs), F.struct(*[c.alias(k) for k, c in found.items()]))
+    return docs.withColumn(free_name(docs, "spans"), F.struct(*[c.alias(k) for k, c in found.items()]))
 
 
-def span_column(docs: DataFrame) -> str:
+def free_name(docs: DataFrame, name: str) -> str:
+    """`name`, with underscores added until no column of `docs` has it."""
     taken = {c.lower() for c in docs.columns}
-    name = "spans"
     while name in taken:
         name += "_"
     return name
@@ -183,7 +183,7 @@ def redact(docs: DataFrame, *, text="text", n_chars: str | None = "n_chars", mar
 
     `n_chars`, where it names a column, follows the new text in changed rows.
     """
-    name = span_column(docs)
+    name = free_name(docs, "spans")
     content = F.col(f"`{text}`")
     spans = F.array_sort(F.concat(*[F.col(f"`{name}`.{k}") for k in KINDS]))
 
@@ -196,14 +196,15 @@ def redact(docs: DataFrame, *, text="text", n_chars: str | None = "n_chars", mar
     cleaned = F.aggregate(
         spans, start, step, lambda acc: F.concat(acc["out"], F.substring(content, acc["at"] + 1, F.char_length(content)))
     )
-    hit = F.size(spans) > 0
-    changed = _with_spans(docs, text)
+    # of its own step: an expression beside the new text would read that one
+    new = free_name(docs, "cleaned")
+    changed = _with_spans(docs, text).withColumn(new, F.when(F.size(spans) > 0, cleaned))
     columns = []
     for c in docs.columns:
         if c == text:
-            columns.append(F.when(hit, cleaned).otherwise(content).alias(c))
+            columns.append(F.coalesce(F.col(new), content).alias(c))
         elif c == n_chars:
-            columns.append(F.when(hit, F.char_length(cleaned).cast(docs.schema[c].dataType)).otherwise(F.col(f"`{c}`")).alias(c))
+            columns.append(F.coalesce(F.char_length(new).cast(docs.schema[c].dataType), F.col(f"`{c}`")).alias(c))
         else:
             columns.append(F.col(f"`{c}`"))
     return changed.select(*columns)
