@@ -43,7 +43,8 @@ from pyspark.sql import functions as F
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SLICE = 1 << 16
 KEPT = 64
-TABLE = 300_000
+TABLE = 800_000
+SEAMS = 500_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -107,7 +108,7 @@ class Transducer:
                 limit, right = made_r + 1, self.parts[right][0]
             else:
                 break
-        if len(self.seams) >= 4 * TABLE:
+        if len(self.seams) >= SEAMS:
             self.seams.clear()
         self.seams[key] = answer
         return answer
