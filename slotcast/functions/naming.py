@@ -22,7 +22,7 @@ def candidate_name(base, bias_days, cap_days, cap_ratio) -> Column:
 def parse_candidate(name) -> dict[str, Column]:
     """The four fields of a candidate name."""
     parts = F.split(as_col(name), r"\|")
-    tail = [F.substring(parts[i], 2, 20) for i in (1, 2, 3)]
+    tail = [F.regexp_extract(parts[i], r"(?s)^.(.*)$", 1) for i in (1, 2, 3)]
     return {
         "base_candidate": parts[0],
         "bias_days": tail[0].cast("int"),

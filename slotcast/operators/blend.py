@@ -62,12 +62,21 @@ def fit_grid(folds: DataFrame, alphas=ALPHAS) -> DataFrame:
 
 
 def apply_blend(df: DataFrame, coef: str, models: list[str], out: str) -> DataFrame:
+    """A model without weight does not matter, also where it has no forecast."""
     value = F.get(coef, F.lit(0))
     for i, m in enumerate(models):
-        value = value + F.get(coef, F.lit(i + 1)) * F.col(m)
+        weight = F.get(coef, F.lit(i + 1))
+        value = value + F.when(weight == 0, 0.0).otherwise(weight * F.col(m))
     return df.withColumn(out, value)
 
 
+def fresh_folds(df: DataFrame, n: int = 5, order: str = "date") -> DataFrame:
+    """``fold``: the days of each series cut into n + 1 equal stretches, 0 the first, which only trains."""
+    span = df.groupBy("series_id").agg(F.min(order).alias("__a"), F.max(order).alias("__b"))
+    pos = F.datediff(F.col(order), F.col("__a")) / (F.datediff("__b", "__a") + 1)
+    return df.drop("fold").join(span, "series_id").withColumn("fold", F.floor(pos * (n + 1)).cast("int")).drop("__a", "__b")
+
+
 def ridge_blend(df: DataFrame, models: list[str], y: str = "y", alphas=ALPHAS) -> DataFrame:
     """Per series: the penalty of least absolute error over the folds, and its weights on all rows.
 

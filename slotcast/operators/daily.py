@@ -7,9 +7,9 @@ from slotcast.limits import SLOTS
 
 
 def slot_array(entries: str, field: str) -> Column:
-    """Values of ``field`` by slot from slot-sorted entries; a slot without a row is NULL.
+    """Values of ``field`` by slot from one entry per slot, sorted; a slot without a row is NULL.
 
-    A day with all its rows is read off directly; only an incomplete one is looked up.
+    A day with all its slots is read off directly; only an incomplete one is looked up.
     """
     whole = f"transform({entries}, __e -> double(__e.`{field}`))"
     lookup = (
@@ -19,6 +19,13 @@ def slot_array(entries: str, field: str) -> Column:
     return F.expr(f"if(size({entries}) = {SLOTS}, {whole}, {lookup})")
 
 
+def last_per_slot(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per series, day and slot: of repeated ones the last by ``ts``, where there is one, and by values."""
+    order = [c for c in ("ts",) if c in df.columns] + list(dict.fromkeys(columns))
+    kept = F.max_by(F.struct(*dict.fromkeys(columns)), F.struct(*order)).alias("__row")
+    return df.where(F.col("cycle").between(0, SLOTS - 1)).groupBy("series_id", "date", "cycle").agg(kept).select("series_id", "date", "cycle", "__row.*")
+
+
 def fill_slots(array: str) -> Column:
     """Missing slots take the last value of the day, else the next one, else 0."""
     known = "filter({}, __v -> __v is not null)"
@@ -30,6 +37,7 @@ def fill_slots(array: str) -> Column:
 def day_profiles(df: DataFrame, profile: list[str], scalar: list[str] = [], fill: bool = True) -> DataFrame:
     """One row per series and day: a 48-slot array per profile column, the first value of each scalar one."""
     firsts = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col("cycle"))).cast("double").alias(c) for c in scalar]
+    df = last_per_slot(df, [c for c in dict.fromkeys([*profile, *scalar]) if c not in ("cycle", "date", "series_id")])
     days = df.groupBy("series_id", "date").agg(
         F.array_sort(F.collect_list(F.struct("cycle", *profile))).alias("__rows"), *firsts
     )

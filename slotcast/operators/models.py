@@ -9,7 +9,7 @@ from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +49,10 @@ STACK_TREES = {
 }
 
 
+class TooFewRows(ValueError):
+    """A model has too few rows to be fitted; callers may go on without it."""
+
+
 def with_recency(df: DataFrame, half_life_days: float, out: str = "weight") -> DataFrame:
     """Weight of each row by its age against the newest row of its series."""
     newest = df.groupBy("series_id").agg(F.max("ts").alias("__newest"))
@@ -56,9 +60,9 @@ def with_recency(df: DataFrame, half_life_days: float, out: str = "weight") -> D
     return weighted.drop("__newest")
 
 
-def _stages(features: list[str], estimator) -> Pipeline:
+def _stages(features: list[str], *estimators) -> Pipeline:
     assembler = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="keep")
-    return Pipeline(stages=[assembler, estimator.setFeaturesCol("__x")])
+    return Pipeline(stages=[assembler, estimators[0].setFeaturesCol("__x"), *estimators[1:]])
 
 
 def _gbt(kind, c: TreeConfig, label: str, validation: str | None, out: str):
@@ -69,17 +73,38 @@ def _gbt(kind, c: TreeConfig, label: str, validation: str | None, out: str):
     return est.setValidationIndicatorCol(validation) if validation else est
 
 
+def target_scale(df: DataFrame, y: str) -> tuple[float, float]:
+    """Median and spread between the 10 and 90 per cent quantiles; spread 1 for a constant target."""
+    low, center, high = df.agg(F.percentile_approx(y, [0.1, 0.5, 0.9], 10000).alias("q")).first()["q"] or (0.0, 0.0, 0.0)
+    return float(center), float(high - low) or 1.0
+
+
 def fit_trees(
     df: DataFrame, features: list[str], y: str = "y", config: TreeConfig = TreeConfig(), validation: str | None = None, out: str = "pred"
 ) -> PipelineModel:
-    """Weighted absolute-error boosted trees; rows flagged by ``validation`` stop it early."""
-    est = _gbt(GBTRegressor, config, y, validation, out).setLossType("absolute")
-    return _stages(features, est).fit(with_recency(df, config.half_life_days))
+    """Weighted absolute-error boosted trees; rows flagged by ``validation`` stop it early.
+
+    A gradient of the absolute error is a sign, so a tree moves a forecast by one step of the
+    target's unit at most. The target is therefore fitted in units of its own spread, and the
+    pipeline's last stage turns forecasts back. A column ``weight`` in ``df`` is kept, else it
+    is the recency of the row.
+    """
+    rows = df if "weight" in df.columns else with_recency(df, config.half_life_days)
+    center, spread = target_scale(rows, y)
+    scaled = rows.withColumn("__y", (F.col(y) - center) / spread)
+    est = _gbt(GBTRegressor, config, "__y", validation, f"__{out}").setLossType("absolute")
+    back = SQLTransformer(statement=f"SELECT *, `__{out}` * {spread!r}D + {center!r}D AS `{out}` FROM __THIS__")
+    return _stages(features, est, back).fit(scaled)
+
+
+def trees_of(model: PipelineModel):
+    """The tree ensemble of a fitted pipeline."""
+    return next(s for s in model.stages if hasattr(s, "trees"))
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Forecast column added, working columns dropped."""
-    return model.transform(df).drop("__x")
+    return model.transform(df).drop("__x", *[f"__{s.getPredictionCol().removeprefix('__')}" for s in model.stages if hasattr(s, "trees") and s.getPredictionCol() != "__called"])
 
 
 def fit_windows(
@@ -167,7 +192,7 @@ class TwoRegime:
         """Fit on all rows; both regimes need ``min_rows``. Rare events are weighted up, at most 20 times."""
         n = low_counts(df, self.y, self.limits)
         if min(n["low"], n["high"]) < self.min_rows:
-            raise ValueError(f"both regimes need at least {self.min_rows} rows, got {n['low']} and {n['high']}")
+            raise TooFewRows(f"both regimes need at least {self.min_rows} rows, got {n['low']} and {n['high']}")
         balance = min(max(n["high"] / n["low"], 1.0), 20.0)
         low = is_low(self.y, self.limits)
         flagged = with_recency(df, self.config.half_life_days).withColumn("__low", low.cast("double"))
@@ -176,8 +201,9 @@ class TwoRegime:
         clf = clf.setProbabilityCol("__probs").setRawPredictionCol("__raw")
         self.models = {"classifier": _stages(self.features, clf).fit(boosted)}
         parts = [("low", low)] + ([("normal", ~low)] if self.fit_normal else [])
+        kept = flagged.where(~F.col(validation)) if validation else flagged  # the age of a row is that in all rows
         for name, cond in parts:
-            self.models[name] = fit_trees(df.where(cond), self.features, self.y, self.config, None, f"{name}_pred")
+            self.models[name] = fit_trees(kept.where(cond), self.features, self.y, self.config, None, f"{name}_pred")
         return self
 
     def fit_calibrated(self, df: DataFrame, calibration_days: int = 365, min_counts=(512, 96, 100, 20)) -> "TwoRegime":
@@ -193,7 +219,8 @@ class TwoRegime:
             F.count_if(~cut).alias("dev"), F.count_if(cut).alias("cal"),
             F.count_if(~cut & low).alias("dev_low"), F.count_if(cut & low).alias("cal_low"),
         ).first()
-        if all(have >= need for have, need in zip(c, min_counts)):
+        enough = min(c["dev"] - c["dev_low"], c["dev_low"]) >= self.min_rows
+        if enough and all(have >= need for have, need in zip(c, min_counts)):
             probe = replace(self, models=None).fit(df.where(~cut))
             scored = probe.transform(df.where(cut)).withColumn("series_id", F.lit("all"))
             sweep = tuning.threshold_sweep(scored, low, "prob")
@@ -232,6 +259,6 @@ def best_iteration(history: DataFrame, low: int = 100, high: int = 800) -> DataF
 
 def importance(model: PipelineModel, features: list[str], spark: SparkSession, top: int = 20) -> DataFrame:
     """The ``top`` features by importance, highest first."""
-    values = model.stages[-1].featureImportances.toArray().tolist()
+    values = trees_of(model).featureImportances.toArray().tolist()
     rows = spark.createDataFrame(list(zip(features, values)), "feature string, importance double")
     return rows.orderBy(F.desc("importance"), "feature").limit(top)

@@ -1,13 +1,11 @@
 """Forecast a day from the most similar past days of its series.
 
-Exact nearest neighbours without a row-by-row cross join: training and query days are
-packed into blocks of a fixed number of days, block pairs meet on the series, and each
-pair keeps only its own best k per query day. The k best over all blocks are then picked
-from those. No task sees more than two blocks at a time.
+Exact nearest neighbours: days are packed into blocks of a fixed number of days. A group is one
+block of query days with all training blocks of its series, so a series is spread over as many
+tasks as it has query blocks, a query block is sent once, and distances are taken block by block.
+The size of a group is bounded by the calendar: one vector per day of one series.
 """
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -36,23 +34,33 @@ def nearest_days(train: DataFrame, query: DataFrame, k: int = NEIGHBOURS, vector
 
     Distance is the mean squared difference; ties go to the earlier day.
     """
-    pairs = pack_days(query, "q", vector, block_days).join(pack_days(train, "t", vector, block_days), "series_id")
-    pairs = pairs.select("series_id", "q_days", "q_flat", "t_days", "t_flat")
-
-    def best_in_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                q = np.asarray(row.q_flat, dtype=float).reshape(len(row.q_days), -1)
-                t = np.asarray(row.t_flat, dtype=float).reshape(len(row.t_days), -1)
-                t_days = np.asarray(row.t_days)
-                for day, vec in zip(row.q_days, q):
-                    dist = ((t - vec) ** 2).mean(axis=1)
-                    best = np.lexsort((t_days, dist))[:k]
-                    yield pd.DataFrame({"series_id": row.series_id, "d": day, "near": t_days[best], "distance": dist[best]})
-
-    local = pairs.mapInPandas(best_in_block, "series_id string, d int, near int, distance double")
-    w = Window.partitionBy("series_id", "d").orderBy("distance", "near")
-    ranked = local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    asked = pack_days(query, "q", vector, block_days)
+    places = asked.select(F.col("series_id").alias("s"), F.col("q_block").alias("b"))
+    packed = pack_days(train, "t", vector, block_days)
+    known = places.join(packed, places["s"] == packed["series_id"]).select("s", "b", "t_days", "t_flat")
+
+    def best(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame(columns=["series_id", "d", "near", "distance", "rank"])
+        if asked.empty or known.empty:
+            return empty
+        q_days = np.concatenate(asked["q_days"].to_list())
+        q = np.concatenate(asked["q_flat"].to_list()).astype(float).reshape(len(q_days), -1)
+        days, parts = [], []
+        for t_days, flat in zip(known["t_days"], known["t_flat"]):
+            t = np.asarray(flat, dtype=float).reshape(len(t_days), -1)
+            parts.append(np.stack([((t - vec) ** 2).mean(axis=1) for vec in q]))
+            days.append(np.asarray(t_days))
+        days, dist = np.concatenate(days), np.concatenate(parts, axis=1)
+        order = np.lexsort((np.broadcast_to(days, dist.shape), dist), axis=1)[:, :k]
+        n = order.shape[1]
+        return pd.DataFrame({
+            "series_id": asked["series_id"].iloc[0], "d": np.repeat(q_days, n), "near": days[order].ravel(),
+            "distance": np.take_along_axis(dist, order, axis=1).ravel(), "rank": np.tile(np.arange(1, n + 1), len(q_days)),
+        })
+
+    ranked = asked.groupBy("series_id", "q_block").cogroup(known.groupBy("s", "b")).applyInPandas(
+        best, "series_id string, d int, near int, distance double, rank int"
+    )
     return ranked.select(
         "series_id", F.date_from_unix_date("d").alias("date"), F.date_from_unix_date("near").alias("near_date"), "distance", "rank"
     )

@@ -1,6 +1,7 @@
 """The production model: trailing-window trees, an optional daily linear model and a regime gate."""
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import asdict, dataclass, field
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from slotcast.functions.numeric import dot, row_median
 from slotcast.limits import Limits
 from slotcast.operators import calibrate
-from slotcast.operators.models import TreeConfig, TwoRegime, WINDOW_DAYS, fit_windows, score_all
+from slotcast.operators.models import TooFewRows, TreeConfig, TwoRegime, WINDOW_DAYS, fit_windows, score_all
 from slotcast.operators.slotlinear import SlotLinear, fit_panel, predict_panel
 from slotcast.sources.shared import settle
 from slotcast.sources.writers import load_table, save_table
@@ -72,7 +73,7 @@ class Adaptive:
         regime = regime or TwoRegime(self.features, self.y, fit_normal=False, limits=self.limits)
         try:
             self.regime = regime.fit_calibrated(df)
-        except ValueError:
+        except TooFewRows:
             self.regime = None
         return self
 
@@ -84,15 +85,15 @@ class Adaptive:
         return self.regime.transform(out) if self.regime is not None else out
 
     def with_base(self, scored: DataFrame) -> DataFrame:
-        """``base``: the candidate's own forecast, before any correction."""
-        median = row_median(list(self.trees))
-        if self.base in self.trees or self.base == "slot_linear":
-            return scored.withColumn("base", F.col(self.base))
-        if self.base in ("adaptive_median", "online_average"):
-            return scored.withColumn("base", median)
-        if self.base == "hybrid_median":
-            return scored.withColumn("__m", median).withColumn("base", row_median(["__m", "slot_linear"])).drop("__m")
-        raise ValueError(f"unknown candidate {self.candidate}")
+        """``base``: the candidate's own forecast, before any correction; the trees' median where it has none."""
+        staged = scored.withColumn("__m", row_median(list(self.trees)))
+        forecasts = {n: F.col(n) for n in [*self.trees, "slot_linear"] if n in scored.columns}
+        forecasts |= dict.fromkeys(("adaptive_median", "online_average"), F.col("__m"))
+        if "slot_linear" in scored.columns:
+            forecasts["hybrid_median"] = row_median(["__m", "slot_linear"])
+        if self.base not in forecasts:
+            raise ValueError(f"unknown candidate {self.candidate}")
+        return staged.withColumn("base", F.coalesce(forecasts[self.base], "__m")).drop("__m")
 
     def gate(self, df: DataFrame, col: str, out: str) -> DataFrame:
         if not self.gated or self.regime is None:
@@ -147,34 +148,38 @@ class Adaptive:
         )
         return self.gate(adjusted, "adjusted", "pred")
 
+    def settings(self) -> dict:
+        """Everything but the fitted parts, as plain values."""
+        plain = ("features", "candidate", "profile", "scalar", "bias_days", "cap_days", "cap_ratio", "y", "reveal_lag_days", "online_days", "linear")
+        return {k: getattr(self, k) for k in plain} | {
+            "windows": list(self.windows), "config": asdict(self.config), "limits": asdict(self.limits), "trees": list(self.trees),
+            "has_linear": self.slot_linear is not None, "has_regime": self.regime is not None,
+            "regime_features": self.regime.features if self.regime else [], "regime_config": asdict(self.regime.config) if self.regime else {},
+        }
+
     def save(self, path: str, spark: SparkSession) -> None:
-        """Models as Spark ML directories, settings and linear weights as tables."""
+        """Models as Spark ML directories, all settings and the linear weights as tables."""
         for name, m in self.trees.items():
             m.write().overwrite().save(f"{path}/trees/{name}")
-        settings = spark.createDataFrame(
-            [(self.candidate, self.bias_days, self.cap_days, self.cap_ratio, list(self.trees), self.features,
-              self.slot_linear is not None, self.regime is not None)],
-            "candidate string, bias_days int, cap_days int, cap_ratio double, trees array<string>, features array<string>, "
-            "has_linear boolean, has_regime boolean",
-        )
-        save_table(settings, f"{path}/settings")
+        save_table(spark.createDataFrame([(json.dumps(self.settings()),)], "settings string"), f"{path}/settings")
         if self.slot_linear is not None:
             save_table(self.slot_linear.model, f"{path}/linear")
         if self.regime is not None:
             self.regime.save(f"{path}/regime", spark)
 
     @classmethod
-    def load(cls, path: str, spark: SparkSession, **kw) -> "Adaptive":
-        """Read a saved model; raise ``TypeError`` when the directory holds something else."""
-        s = load_table(spark, f"{path}/settings", {"candidate", "bias_days", "cap_days", "cap_ratio", "trees", "features"}).first()
-        out = cls(
-            list(s["features"]), s["candidate"], bias_days=s["bias_days"], cap_days=s["cap_days"], cap_ratio=s["cap_ratio"], **kw
-        )
-        out.trees = {n: PipelineModel.load(f"{path}/trees/{n}") for n in s["trees"]}
-        if s["has_linear"]:
+    def load(cls, path: str, spark: SparkSession) -> "Adaptive":
+        """Read a saved model with its settings; raise ``TypeError`` when the directory holds something else."""
+        s = json.loads(load_table(spark, f"{path}/settings", {"settings"}).first()["settings"])
+        names, linear, regime = s.pop("trees"), s.pop("has_linear"), s.pop("has_regime")
+        regime_features, regime_config = s.pop("regime_features"), s.pop("regime_config")
+        s |= {"windows": tuple(s["windows"]), "config": TreeConfig(**s["config"]), "limits": Limits(**s["limits"])}
+        out = cls(**s)
+        out.trees = {n: PipelineModel.load(f"{path}/trees/{n}") for n in names}
+        if linear:
             out.slot_linear = SlotLinear(model=load_table(spark, f"{path}/linear", {"coef", "intercept"}))
-        if s["has_regime"]:
-            blank = TwoRegime(out.features, out.y, fit_normal=False, limits=out.limits)
+        if regime:
+            blank = TwoRegime(regime_features, out.y, TreeConfig(**regime_config), fit_normal=False, limits=out.limits)
             out.regime = blank.load(f"{path}/regime", spark)
         return out
 
@@ -186,3 +191,19 @@ def train_adaptive(df: DataFrame, features: list[str], chosen, **kw) -> Adaptive
         cap_ratio=chosen["cap_ratio"], **kw,
     )
     return model.fit(df)
+
+
+CHOICE = ("base_candidate", "bias_days", "cap_days", "cap_ratio")
+
+
+def train_by_choice(df: DataFrame, features: list[str], summary: DataFrame, **kw) -> list[tuple[DataFrame, Adaptive]]:
+    """One model per distinct choice of a pretest's summary, with the series it is for and trained on.
+
+    The distinct choices are bounded by candidates times configurations, whatever the number of series.
+    """
+    out = []
+    for chosen in summary.select(*CHOICE).distinct().orderBy(*CHOICE).collect():
+        same = [F.col(c).eqNullSafe(F.lit(chosen[c])) for c in CHOICE]
+        members = summary.where(same[0] & same[1] & same[2] & same[3]).select("series_id")
+        out.append((members, train_adaptive(df.join(members, "series_id", "left_semi"), features, chosen, **kw)))
+    return out

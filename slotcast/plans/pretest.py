@@ -10,7 +10,7 @@ from slotcast.functions.numeric import row_median
 from slotcast.functions.regime import cap_snap, publishable
 from slotcast.limits import SLOTS, Limits
 from slotcast.operators import calibrate, metrics
-from slotcast.operators.models import TreeConfig, TwoRegime, WINDOW_DAYS, fit_windows, score_all
+from slotcast.operators.models import TooFewRows, TreeConfig, TwoRegime, WINDOW_DAYS, fit_windows, score_all
 from slotcast.operators.policy import training_rows
 from slotcast.operators.slotlinear import fit_panel, predict_panel
 from slotcast.sources.shared import settle
@@ -30,7 +30,7 @@ def guard_years(years, test_year: int = TEST_YEAR) -> tuple[int, ...]:
     """Pretest years must all lie before the test year."""
     years = tuple(int(y) for y in years)
     if not years or max(years) >= test_year:
-        raise ValueError(f"pretest years must end before {test_year}")
+        raise ValueError(f"only years before {test_year} may be used, got {years}")
     return years
 
 
@@ -77,16 +77,19 @@ def sweep(
         for c in cap_days:
             caps = calibrate.trailing_cap(caps, c, quantile, reveal_lag_days, min_cap_rows, f"__c{c}")
         days = days.join(caps.drop("day_values"), ["series_id", "date"], "left")
-    rows = metrics.scored(df, y, candidates[0]).join(days, ["series_id", "date"], "left")
-    points = []
+    rows = df.where(F.col(y).isNotNull()).join(days, ["series_id", "date"], "left")
+    points, names = [], []
     for c in candidates:
         for b, k, r in configs:
             p = F.col(c) + F.col(f"__b{b}_{c}") if b else F.col(c)
             p = cap_snap(p, F.col(f"__c{k}"), r) if k and r is not None else p
-            name = candidate_name(F.lit(c), F.lit(b), F.lit(k), F.lit(r).cast("double"))
-            points.append(F.struct(name.alias("candidate"), publishable(p, limits).alias("pred")))
-    flat = rows.select("series_id", "year", y, F.inline(F.array(*points)))
-    return metrics.metrics(flat, ["series_id", "year", "candidate"], y, "pred", limits=limits)
+            names.append(candidate_name(F.lit(c), F.lit(b), F.lit(k), F.lit(r).cast("double")))
+            points.append(publishable(F.when(F.col(c).isNotNull(), p), limits))
+    # rows are unfolded by number; names are put on the few aggregated rows. Each candidate is scored on the rows it forecasts
+    flat = rows.select("series_id", "year", y, F.posexplode(F.array(*points)).alias("point", "pred")).where("pred IS NOT NULL")
+    scores = metrics.metrics(flat, ["series_id", "year", "point"], y, "pred", limits=limits)
+    label = F.get(F.array(*names), F.col("point")).alias("candidate")
+    return scores.select("series_id", "year", label, *[c for c in scores.columns if c not in ("series_id", "year", "point")])
 
 
 def target_ratio(mae: float = metrics.TARGET_MAE, wmape: float = metrics.TARGET_WMAPE):
@@ -127,7 +130,11 @@ def base_predictions(
     windows=WINDOW_DAYS, y: str = "y", config: TreeConfig = TreeConfig(), regime: TwoRegime | None = None,
     linear: dict | None = None, reveal_lag_days: int = 2, limits: Limits = Limits(), **kw,
 ) -> tuple[DataFrame, list[str]]:
-    """Window models, their median and trailing blend, the daily linear model and gated variants, as columns."""
+    """Window models, their median and trailing blend, the daily linear model and gated variants, as columns.
+
+    A series without a daily linear model has no forecasts of the candidates built on it, so
+    they are missing from its scores and never chosen for it.
+    """
     models = fit_windows(history, features, start, windows, y, config, limits=limits, **kw)
     if not models:
         raise ValueError(f"no window before {start} has enough rows")
@@ -139,12 +146,12 @@ def base_predictions(
         fitted = fit_panel(history, profile, scalar, y, **(linear or {}))
         if not fitted.model.isEmpty():
             out = predict_panel(fitted, out, profile, scalar, "slot_linear")
-            out = out.withColumn("hybrid_median", row_median(["adaptive_median", "slot_linear"]))
+            out = out.withColumn("hybrid_median", F.when(F.col("slot_linear").isNotNull(), row_median(["adaptive_median", "slot_linear"])))
             names += ["slot_linear", "hybrid_median"]
     regime = regime or TwoRegime(features, y, fit_normal=False, limits=limits)
     try:
         regime = regime.fit_calibrated(history)
-    except ValueError:
+    except TooFewRows:
         return out, names
     out = regime.transform(out)
     gated = []
@@ -167,9 +174,10 @@ def run_pretest(
     for year in years:
         start = f"{year}-01-01"
         history = rows.where(F.col("date") < F.lit(start).cast("date"))
-        tested = rows.where(F.year("date") == year)
+        end = F.lit(f"{year + 1}-01-01").cast("date")
+        tested = rows.where((F.col("date") >= F.lit(start).cast("date")) & (F.col("date") < end))
         if tested.isEmpty():
-            raise ValueError(f"no pretest rows for {year}")
+            raise ValueError(f"{year} has no rows to score")
         preds, names = base_predictions(
             history, tested, features, start, profile, scalar, windows, y, reveal_lag_days=reveal_lag_days, limits=limits, **kw
         )

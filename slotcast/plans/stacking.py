@@ -5,7 +5,7 @@ bounds and the state projection are tables with one entry per series, so each se
 is tuned on its own rows without a loop over series.
 """
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.ml import PipelineModel
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from slotcast.functions.regime import gate_blend, gate_weight, is_clean, project_states
 from slotcast.limits import Limits
 from slotcast.operators import blend, shape, similar, tuning
-from slotcast.operators.models import STACK_TREES, TreeConfig, TwoRegime, day_folds, fit_trees, score_all
+from slotcast.operators.models import STACK_TREES, TreeConfig, TwoRegime, day_folds, best_iteration, fit_trees, score_all, trees_of
 from slotcast.operators.slotlinear import SlotLinear, fit_panel, predict_panel
 from slotcast.sources.shared import settle
 from slotcast.sources.writers import load_table, save_table
@@ -31,6 +31,9 @@ STATES = {
 class Stack:
     """Base learners, blend and shape rules.
 
+    No row is lost: a series or day without a blend, as a learner had too few days for it, has
+    the mean of the tree forecasts instead, and rules without a state leave it as it is.
+
     ``candidates`` maps a name to the base forecasts it blends; the set with the lowest
     clean error on the newest rows is used, per series.
     """
@@ -53,10 +56,12 @@ class Stack:
     levels: dict = field(default_factory=dict)
     bounds: dict = field(default_factory=dict)
     min_regime_rows: int = 100
+    iterations: tuple = (100, 800)
     models: dict[str, PipelineModel] = field(default_factory=dict)
     regime: TwoRegime | None = None
     slot_linear: SlotLinear | None = None
     train: DataFrame | None = None
+    history: list = field(default_factory=list)
     states: dict[str, DataFrame] = field(default_factory=dict)
 
     @property
@@ -80,21 +85,26 @@ class Stack:
 
     def out_of_fold(self, folded: DataFrame) -> DataFrame:
         """Base forecasts of every validation fold from learners that saw only earlier folds."""
-        parts = []
+        parts, self.history = [], []
         for k in range(1, self.n_folds + 1):
             train, test = folded.where(F.col("fold") < k), folded.where(F.col("fold") == k)
             held = folded.where(F.col("fold") <= k).withColumn("__held", F.col("fold") == k)
             models = {n: fit_trees(held, self.features, self.y, c, "__held", n) for n, c in self.trees.items()}
+            self.history += [(n, len(trees_of(m).trees)) for n, m in models.items()]
             linear = fit_panel(train, self.profile, self.scalar, self.y, **self.linear)
             parts.append(self._components(train, test, models, self._new_regime().fit(train), linear))
         kept = ["series_id", "ts", "date", "cycle", "fold", self.y, *self.base, "prob", "low_pred"]
-        return reduce(DataFrame.unionByName, [p.select(*kept) for p in parts]).dropna()
+        return reduce(DataFrame.unionByName, [p.select(*kept) for p in parts])
 
     def _coefs(self, rows: DataFrame) -> DataFrame:
-        """Per series and candidate: weights over all base forecasts, 0 for those not in it."""
+        """Per series and candidate: weights over all base forecasts, 0 for those not in it.
+
+        A candidate is fitted on the rows that have all its forecasts, under folds of their own.
+        """
         out = []
         for name, models in self.candidates.items():
-            fitted = blend.ridge_blend(rows, models, self.y)
+            whole = blend.fresh_folds(rows.dropna(subset=[self.y, *models]), self.n_folds)
+            fitted = blend.ridge_blend(whole, models, self.y)
             weights = [F.col("coef")[models.index(m) + 1] if m in models else F.lit(0.0) for m in self.base]
             full = F.array(F.col("coef")[0], *weights)
             out.append(fitted.select("series_id", F.lit(name).alias("candidate"), "alpha", full.alias("coef")))
@@ -106,7 +116,10 @@ class Stack:
         self.train = settle(day_folds(df.select(*used), self.n_folds), "stack-train")
         oof = settle(self.out_of_fold(self.train), "stack-oof")
         self._tune(oof)
-        self.models = {n: fit_trees(self.train, self.features, self.y, c, out=n) for n, c in self.trees.items()}
+        history = df.sparkSession.createDataFrame(self.history, "model string, iterations int")
+        best = {r["model"]: r["iterations"] for r in best_iteration(history, *self.iterations).collect()}
+        final = {n: replace(c, trees=best[n]) for n, c in self.trees.items()}
+        self.models = {n: fit_trees(self.train, self.features, self.y, c, out=n) for n, c in final.items()}
         self.slot_linear = fit_panel(self.train, self.profile, self.scalar, self.y, **self.linear)
         self.regime = self._new_regime().fit(self.train)
         return self
@@ -122,10 +135,12 @@ class Stack:
         tried = blend.apply_blend(newest.join(self._coefs(early), "series_id"), "coef", self.base, "pred")
         tried = settle(tried.drop("coef", "alpha"), "stack-tried")
         score = F.avg(F.when(clean, F.abs(F.col(self.y) - F.col("pred"))))
-        scores = tried.groupBy("series_id", "candidate").agg(score.alias("score"))
-        best = settle(scores.groupBy("series_id").agg(F.min_by("candidate", F.struct("score", "candidate")).alias("candidate")))
+        # a set that lacks forecasts of some newest rows comes after those that have all
+        missing = F.count_if(F.col("pred").isNull())
+        scores = tried.groupBy("series_id", "candidate").agg(missing.alias("missing"), score.alias("score")).where("score IS NOT NULL")
+        best = settle(scores.groupBy("series_id").agg(F.min_by("candidate", F.struct("missing", "score", "candidate")).alias("candidate")))
         final = self._coefs(oof.where(clean)).join(best, ["series_id", "candidate"])
-        validation = tried.join(best, ["series_id", "candidate"])
+        validation = self._filled(tried.join(best, ["series_id", "candidate"]))
 
         s = {"coef": settle(final, "stack-coef"), "bias": settle(shape.slot_bias(validation, self.y, limits=self.limits), "stack-bias")}
         normal = shape.apply_slot_bias(validation, s["bias"]).withColumnRenamed("pred", "normal")
@@ -144,6 +159,11 @@ class Stack:
         s["projection"] = settle(best_pairs.join(levels.select("series_id", "lower_value", "cap_value"), "series_id"), "stack-projection")
         self.states = s
 
+    def _filled(self, df: DataFrame) -> DataFrame:
+        """``pred`` of rows without a blend: the mean of the tree forecasts, which every row has."""
+        trees = sum((F.col(n) for n in self.trees), F.lit(0.0)) / len(self.trees)
+        return df.withColumn("pred", F.coalesce("pred", trees))
+
     def _gate(self, df: DataFrame, gate: DataFrame) -> DataFrame:
         """``weight`` and the gated ``pred`` from ``normal``."""
         weight = gate_weight("prob", F.col("threshold"), F.col("ramp"))
@@ -159,7 +179,8 @@ class Stack:
         """Base forecasts, blend, slot bias, gate, guard and projection; ``pred`` is the result."""
         s = self.states
         parts = self._components(self.train, df, self.models, self.regime, self.slot_linear)
-        mixed = blend.apply_blend(parts.join(s["coef"].select("series_id", "coef"), "series_id"), "coef", self.base, "pred")
+        blended = parts.join(s["coef"].select("series_id", "coef"), "series_id", "left")
+        mixed = self._filled(blend.apply_blend(blended, "coef", self.base, "pred"))
         normal = shape.apply_slot_bias(mixed.drop("coef"), s["bias"]).withColumnRenamed("pred", "normal")
         keep = [c for c in normal.columns if c in ("series_id", "ts", "date", "cycle", self.y, "prob", "low_pred", "normal", *self.base)]
         gated = self._gate(normal.select(*keep), s["gate"])

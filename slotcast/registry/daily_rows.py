@@ -6,7 +6,7 @@ from slotcast.operators import daily, similar
 from slotcast.registry.base import PANEL, ROWS, big, event_panel, event_rows, num, query, text, with_ctes
 
 SPLIT = "2024-01-20"
-K = 5
+K = similar.NEIGHBOURS
 
 
 @query(lambda: with_ctes(("bucket", "grid", "gridded"), f"""SELECT d.series_id, {text('d.date', 'date')}, {big('d.cycle', 'cycle')},

@@ -1,4 +1,7 @@
-"""Fitted models. Their numbers depend on the learner, so they are checked by shape, not by SQL."""
+"""Fitted models. A learner's numbers are its own, so what must hold of them is what is compared with SQL:
+
+which rows have forecasts, in which bounds, that more trees fit better, that a saved model forecasts alike.
+"""
 
 from dataclasses import replace
 
@@ -7,13 +10,16 @@ from pyspark.sql import functions as F
 from slotcast.operators import blend, models, policy, slotlinear
 from slotcast.plans import adaptive, serve, stacking
 from slotcast.plans.features import FeatureSpec, add_features
-from slotcast.registry.base import LIMITS, event_panel, event_rows, query
-from slotcast.sources.shared import settle
+from slotcast.registry.base import LIMITS, PANEL, ROWS, big, event_panel, event_rows, query, text, with_ctes
+from slotcast.registry.sweeps import _ridge
+from slotcast.sources.shared import new_path, settle
 
 L = LIMITS
-SMALL = models.TreeConfig(trees=5, depth=3, min_leaf=5)
+SMALL = models.TreeConfig(trees=10, depth=3, min_leaf=5)
 FEATURES = ["b_1d", "b_2d", "b_3d", "b_7d", "cycle"]
 CUT = "2024-01-24"
+WINDOWS = (5, 7, 10, 14)
+TESTED = f"FROM rows WHERE date >= DATE '{CUT}' GROUP BY series_id"
 
 
 def _train(spark, sf_dir):
@@ -22,78 +28,121 @@ def _train(spark, sf_dir):
     return rows.where(F.col("date") < cut), rows.where(F.col("date") >= cut)
 
 
-@query()
+def _held(df, *checks):
+    """Per series: rows, and how many of them each check holds for."""
+    return df.groupBy("series_id").agg(F.count("*").alias("rows"), *[F.count_if(c).alias(n) for n, c in checks])
+
+
+def _sql(*names, source: str = TESTED, ctes=ROWS, **extra) -> str:
+    columns = ", ".join(big("count(*)", n) for n in ("rows", *names))
+    return with_ctes(ctes, f"SELECT series_id, {columns} {source}", **extra)
+
+
+def _inside(col: str, train, y: str = "y"):
+    """Forecasts within the range of the training target, widened by its spread."""
+    r = train.agg(F.min(y).alias("a"), F.max(y).alias("b")).first()
+    return F.col(col).between(2 * r["a"] - r["b"], 2 * r["b"] - r["a"])
+
+
+@query(lambda: with_ctes(ROWS, f"SELECT series_id, {big('count(*)', 'rows')}, {big('count(*)', 'in_range')}, {big('1', 'more_trees_fit_better')} {TESTED}"))
 def boosted_trees(spark, sf_dir):
-    """Weighted absolute-error trees with an early stop on the newest training days."""
+    """Weighted absolute-error trees with an early stop on the newest training days; forty trees against one."""
     train, test = _train(spark, sf_dir)
     train = train.withColumn("held", F.col("date") >= F.lit("2024-01-21").cast("date"))
     model = models.fit_trees(train, FEATURES, "y", SMALL, "held")
-    return models.score(model, test).select("series_id", "ts", "y", "pred")
+    errors = []
+    for n in (1, 40):
+        fitted = models.score(models.fit_trees(train, FEATURES, "y", replace(SMALL, trees=n)), train)
+        errors.append(fitted.agg(F.avg(F.abs(F.col("y") - F.col("pred")))).first()[0])
+    out = _held(models.score(model, test), ("in_range", _inside("pred", train)))
+    return out.withColumn("more_trees_fit_better", F.lit(int(errors[1] < 0.95 * errors[0])))
 
 
-@query()
+@query(lambda: _sql(*[f"trees_{d}d" for d in WINDOWS]))
 def window_models(spark, sf_dir):
     """One model per trailing window of clean rows."""
     train, test = _train(spark, sf_dir)
-    fitted = models.fit_windows(train, FEATURES, f"{CUT} 00:00:00", (7, 14), "y", SMALL, limits=L)
-    return models.score_all(fitted, test).select("series_id", "ts", "y", *fitted)
+    fitted = models.fit_windows(train, FEATURES, f"{CUT} 00:00:00", WINDOWS, "y", SMALL, limits=L)
+    return _held(models.score_all(fitted, test), *[(n, _inside(n, train)) for n in fitted])
 
 
-@query()
+@query(lambda: _sql("probabilities", "mixtures", "weights"))
 def two_regimes(spark, sf_dir):
     """Classifier, low and normal regressors, the threshold tuned on the newest week."""
     train, test = _train(spark, sf_dir)
-    model = models.TwoRegime(FEATURES, "y", SMALL, limits=L).fit_calibrated(train, 7)
-    return model.transform(test).select("series_id", "ts", "y", "prob", "normal_pred", "low_pred", "mixture", "weight")
+    out = models.TwoRegime(FEATURES, "y", SMALL, limits=L).fit_calibrated(train, 7).transform(test)
+    between = F.col("mixture").between(F.least("low_pred", "normal_pred") - 1e-9, F.greatest("low_pred", "normal_pred") + 1e-9)
+    return _held(out, ("probabilities", F.col("prob").between(0, 1)), ("mixtures", between), ("weights", F.col("weight").between(0, 1)))
 
 
-@query()
+@query(lambda: with_ctes(ROWS, f"SELECT series_id, {big('fold', 'fold')}, {', '.join(big('count(*)', n) for n in ('rows', 'shallow', 'deeper'))} FROM folded WHERE fold > 0 GROUP BY 1, fold",
+    folds=_ridge()["folds"], folded=_ridge()["folded"]))
 def out_of_fold(spark, sf_dir):
-    """Chronological out-of-fold forecasts of two learners."""
-    folded = settle(models.day_folds(event_rows(spark, sf_dir), 2))
+    """Chronological out-of-fold forecasts of two learners in five folds."""
+    folded = settle(models.day_folds(event_rows(spark, sf_dir), 5))
     configs = {"shallow": SMALL, "deeper": replace(SMALL, depth=4)}
-    return models.out_of_fold(folded, FEATURES, configs, "y").select("series_id", "ts", "fold", "y", *configs)
+    out = models.out_of_fold(folded, FEATURES, configs, "y")
+    return out.groupBy("series_id", "fold").agg(F.count("*").alias("rows"), *[F.count(n).alias(n) for n in configs])
 
 
-@query()
+@query(lambda: with_ctes(ROWS, f"SELECT series_id, {big('3', 'candidates')}, {big('1', 'chosen')}, {big('1', 'chosen_is_best')} FROM rows GROUP BY 1"))
 def blend_choice(spark, sf_dir):
-    """Candidate sets of forecasts scored on the newest fifth of days."""
+    """Candidate sets of forecasts scored on the newest fifth of days; one is chosen, and it has the least error."""
     sets = {"short": ["b_1d", "b_2d"], "long": ["b_1d", "b_7d"], "all": ["b_1d", "b_2d", "b_3d", "b_7d"]}
-    return blend.choose_models(event_rows(spark, sf_dir), sets, limits=L)
+    scores = blend.choose_models(event_rows(spark, sf_dir), sets, limits=L)
+    best = F.min("score") == F.min(F.when(F.col("chosen"), F.col("score")))
+    return scores.groupBy("series_id").agg(F.count("score").alias("candidates"), F.count_if("chosen").alias("chosen"), best.alias("chosen_is_best"))
 
 
-@query()
+@query(lambda: with_ctes(ROWS, f"SELECT {big(str(len(FEATURES)), 'features')}, {big('1', 'sum_is_one')}, {big('1', 'none_negative')} FROM rows LIMIT 1"))
 def feature_importance(spark, sf_dir):
-    """Features ranked by their share in the trees."""
+    """Features ranked by their share in the trees; shares add up to one."""
     train, _ = _train(spark, sf_dir)
-    return models.importance(models.fit_trees(train, FEATURES, "y", SMALL), FEATURES, spark)
+    ranked = models.importance(models.fit_trees(train, FEATURES, "y", SMALL), FEATURES, spark)
+    one = (F.abs(F.sum("importance") - 1) < 1e-6).alias("sum_is_one")
+    return ranked.agg(F.countDistinct("feature").alias("features"), one, (F.min("importance") >= 0).alias("none_negative"))
 
 
-@query()
+@query(lambda: _sql("forecasts"))
 def slot_linear(spark, sf_dir):
     """Sparse linear forecast of whole days, per series."""
     train, test = _train(spark, sf_dir)
     fitted = slotlinear.fit_panel(train, ["b_1d", "b_7d"], [], "y", windows=(12, None), min_days=10, holdout=(2, 4), alphas=(0.01, 0.1))
-    return slotlinear.predict_panel(fitted, test, ["b_1d", "b_7d"]).select("series_id", "ts", "y", "pred")
+    return _held(slotlinear.predict_panel(fitted, test, ["b_1d", "b_7d"]), ("forecasts", F.col("pred").isNotNull()))
 
 
-def _adaptive(train):
-    model = adaptive.Adaptive(
-        FEATURES, "gated_online_average", windows=(7, 14), bias_days=5, cap_days=7, cap_ratio=0.95, config=SMALL, limits=L
-    )
+def _adaptive(train, candidate="gated_online_average"):
+    model = adaptive.Adaptive(FEATURES, candidate, windows=WINDOWS, bias_days=5, cap_days=7, cap_ratio=0.95, config=SMALL, limits=L)
     return model.fit(train, models.TwoRegime(FEATURES, "y", SMALL, fit_normal=False, limits=L))
 
 
-@query()
+def _published():
+    return F.col("pred").between(L.floor, L.ceiling)
+
+
+@query(lambda: _sql("published", "base"))
 def adaptive_walk_forward(spark, sf_dir):
     """Window models blended by trailing error, corrected day by day and gated."""
     train, test = _train(spark, sf_dir)
-    return _adaptive(train).walk_forward(test, train).select("series_id", "ts", "y", "base", "adjusted", "pred")
+    out = _adaptive(train).walk_forward(test, train)
+    return _held(out, ("published", _published()), ("base", F.col("base").isNotNull()))
+
+
+@query(lambda: _sql("equal"))
+def saved_model(spark, sf_dir):
+    """A model saved and loaded without further settings forecasts what it did before."""
+    train, test = _train(spark, sf_dir)
+    model = _adaptive(train)
+    path = f"{new_path(spark)}/model"
+    model.save(path, spark)
+    keys = ["series_id", "ts"]
+    before, after = (m.walk_forward(test, train).select(*keys, F.col("pred").alias(n)) for n, m in (("a", model), ("b", adaptive.Adaptive.load(path, spark))))
+    return _held(before.join(after, keys, "full"), ("equal", F.abs(F.col("a") - F.col("b")) < 1e-9))
 
 
-@query()
+@query(lambda: with_ctes(PANEL, f"SELECT series_id, {', '.join(big('48', n) for n in ('rows', 'published', 'slots'))} FROM panel WHERE ts <= '2024-01-24 07:30:00' GROUP BY 1"))
 def day_ahead(spark, sf_dir):
-    """The served forecast: future rows, features, contract check, one corrected day."""
+    """The served forecast: future rows, features, contract check, one corrected day of 48 slots."""
     spec = FeatureSpec(
         y="y", y_stem="b", load="load", load_stem="l", lagged=(("y", "b_same_cycle"), ("load", "l_same_cycle")),
         lag_days=(1, 2, 3, 7), weekly=(7,), load_forecast=(1, 2, 7), quantile_days=7, limits=L,
@@ -104,23 +153,52 @@ def day_ahead(spark, sf_dir):
     past = df.where(F.col("ts") <= serve.origin_ts("2024-01-25", 15))
     train = add_features(past, spec).dropna(subset=["y", *names])
     model = _blank(names).fit(train, models.TwoRegime(names, "y", SMALL, fit_normal=False, limits=L))
-    return serve.forecast_day(df, model, "2024-01-25", spec=spec)
+    day = serve.forecast_day(df, model, "2024-01-25", spec=spec).groupBy("series_id")
+    return day.agg(F.count("*").alias("rows"), F.count_if(_published()).alias("published"), F.countDistinct("cycle").alias("slots"))
 
 
 def _blank(names):
     return adaptive.Adaptive(names, "adaptive_median", windows=(7, 14), bias_days=3, cap_days=7, cap_ratio=0.95, config=SMALL, limits=L)
 
 
-
-@query()
-def stacked_forecast(spark, sf_dir):
-    """Out-of-fold base forecasts, blend, slot bias, gate, guard and projection, then a forecast of the newest days."""
-    train, test = _train(spark, sf_dir)
-    model = stacking.Stack(
+def _stack(**kw):
+    return stacking.Stack(
         FEATURES, ["b_1d", "b_7d"], trees={"shallow": SMALL, "deeper": replace(SMALL, depth=4)}, regime_config=SMALL,
-        n_folds=2, neighbours=5, limits=L, min_regime_rows=20,
+        n_folds=3, neighbours=5, limits=L, min_regime_rows=20, iterations=(5, 40),
         linear={"windows": (12, None), "min_days": 4, "holdout": (1, 2), "alphas": (0.01, 0.1)},
         thresholds=(0.3, 0.5, 0.7), lower_cuts=(24.0, 28.0, 32.0), cap_cuts=(80.0, 100.0, 120.0),
-        levels={"lower": (20.0, 40.0), "cap": 90.0, "min_rows": 30}, bounds={"min_rows": 10, "normal_floor": 5.0, "gate_floor": 20.0},
+        levels={"lower": (20.0, 40.0), "cap": 90.0, "min_rows": 30}, bounds={"min_rows": 10, "normal_floor": 5.0, "gate_floor": 20.0}, **kw,
+    )
+
+
+@query(lambda: _sql("forecasts"))
+def stacked_forecast(spark, sf_dir):
+    """Out-of-fold base forecasts, blend, slot bias, gate, guard and projection, then a forecast of the newest days.
+
+    One series has three training days only, too few for the linear learner; it keeps its rows.
+    """
+    train, test = _train(spark, sf_dir)
+    short = F.col("series_id") == train.agg(F.min("series_id")).first()[0]
+    train = settle(train.where(~short | (F.col("date") >= F.date_sub(F.lit(CUT).cast("date"), 3))))
+    return _held(_stack().fit(train).transform(test), ("forecasts", F.col("pred").isNotNull()))
+
+
+@query(lambda: with_ctes(ROWS, f"SELECT {big('1', 'early_years_pass')}, {big('1', 'late_year_raises')}, {big('1', 'unknown_feature_raises')}, {big('1', 'stale_raises')} FROM rows LIMIT 1"))
+def guards(spark, sf_dir):
+    """What must raise does, and what may pass does: year guard, feature policy, staleness."""
+    from slotcast.plans.pretest import guard_years
+
+    def raises(fn, *args):
+        try:
+            fn(*args)
+        except ValueError:
+            return 1
+        return 0
+
+    rows = event_rows(spark, sf_dir)
+    stale = raises(policy.require_fresh, rows, "2030-01-01")
+    one = rows.limit(1)
+    return one.select(
+        F.lit(1 - raises(guard_years, (2024, 2025), 2026)).alias("early_years_pass"), F.lit(raises(guard_years, (2025, 2026), 2026)).alias("late_year_raises"),
+        F.lit(raises(policy.validate_features, ["smp_north_price"])).alias("unknown_feature_raises"), F.lit(stale).alias("stale_raises"),
     )
-    return model.fit(train).transform(test).select("series_id", "ts", "y", "normal", "prob", "weight", "pred")

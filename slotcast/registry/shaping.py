@@ -8,9 +8,9 @@ from slotcast.registry.base import GATED, LIMITS, PANEL, ROWS, big, event_panel,
 
 L = LIMITS
 CLEAN = f"(y > {L.low} AND y < {L.high})"
-LOWER, CAPS = (22.0, 26.0, 30.0, 34.0), (60.0, 80.0, 100.0, 120.0)
+LOWER, CAPS = tuple(20.0 + 2 * i for i in range(13)), tuple(60.0 + 8 * i for i in range(11))
 STATES = {"lower": (20.0, 40.0), "cap": 90.0, "min_rows": 50}
-THRESHOLDS, RAMPS = (0.2, 0.3, 0.4, 0.5, 0.6), (0.0, 0.05, 0.1)
+THRESHOLDS, RAMPS = tuning.GATE_THRESHOLDS, tuning.GATE_RAMPS
 
 
 @query(lambda: with_ctes(GATED, f"""SELECT series_id, {text('ts')}, {num('CASE WHEN prob >= 0.4 THEN 1 ELSE 0 END', 'step_weight')}, {num('w', 'weight')},

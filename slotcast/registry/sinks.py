@@ -59,34 +59,30 @@ def evaluation_by_slot(spark, sf_dir):
 
 @query(lambda: with_ctes(("bucket",), f"""SELECT series_id, {text('ts')}, {nums('y', 'load')} FROM bucket"""))
 def csv_series(spark, sf_dir):
-    """Half-hourly values written as CSV with a repeated row per time, read back without the repeats."""
+    """Half-hourly values of many series, some files with other column orders and a repeated row per time, read in one go without the repeats."""
     path = new_path(spark)
     ev = read(spark, sf_dir, "events")
     slots = panel.to_slots(ev, "event_type", "ts", y=cents("value"), load=F.count("*").cast("double"))
-    slots = slots.withColumn("y", F.col("y").cast("double"))
-    rows = slots.select(F.col("ts").cast("string").alias("datetime"), "y", "load", "series_id")
-    repeats = rows.withColumns({"y": F.col("y") + 1000})
-    rows.unionByName(repeats).write.partitionBy("series_id").option("header", True).csv(f"{path}/slots")
-    names = [r.series_id for r in ev.select(F.col("event_type").alias("series_id")).distinct().collect()]
-    parts = [readers.read_series(spark, f"{path}/slots/series_id={n}", ["y", "load"], n) for n in names]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    rows = slots.select(F.col("ts").cast("string").alias("datetime"), F.col("y").cast("double").alias("y"), "load", "series_id")
+    rows.write.partitionBy("series_id").option("header", True).csv(f"{path}/a")
+    repeats = rows.select("load", F.lit("x").alias("other"), (F.col("y") + 1000).alias("y"), "datetime", "series_id")
+    repeats.write.partitionBy("series_id").option("header", True).csv(f"{path}/b")
+    name = F.regexp_extract("_file", "series_id=([^/]+)", 1)
+    return readers.read_series(spark, f"{path}/*/*", ["y", "load"], name)
 
 
 @query(lambda: f"""SELECT {text('ts')}, {nums('q', 'p', 'd')} FROM (SELECT l_shipdate AS ts, avg(q) AS q, avg(p) AS p, avg(d) AS d FROM (
     SELECT l_returnflag, l_shipdate, sum(l_quantity) AS q, sum(l_extendedprice) AS p, avg(l_discount) AS d FROM lineitem GROUP BY 1, 2) GROUP BY 1)""")
 def csv_files_rollup(spark, sf_dir):
-    """One CSV scan over several files, rows grouped by the file they came from."""
+    """Plants in files of different column orders, read by name and rolled up per plant, then over plants."""
     path = new_path(spark)
-    li = read(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_shipdate").cast("string").alias("datetime"), "l_quantity", "l_extendedprice", "l_discount")
-    li.write.partitionBy("l_returnflag").option("header", True).csv(f"{path}/files")
-    schema = "datetime timestamp_ntz, q double, p double, d double"
-    raw = spark.read.schema(schema).csv(f"{path}/files/*", header=True)
+    li = read(spark, sf_dir, "lineitem").select(
+        F.col("l_shipdate").cast("string").alias("datetime"), F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("p"), F.col("l_discount").alias("d"), "l_returnflag"
+    )
+    for flag, order in (("A", ["datetime", "q", "p", "d"]), ("N", ["d", "datetime", "p", "q"]), ("R", ["p", "q", "d", "datetime"])):
+        part = li.where(F.col("l_returnflag") == flag).select(*order, "l_returnflag")
+        part.write.mode("append").partitionBy("l_returnflag").option("header", True).csv(f"{path}/files")
     # one writer may cut a source into several files, so the source is the folder
-    source = F.regexp_extract(F.col("_metadata.file_path"), "l_returnflag=([^/]+)", 1)
-    out = panel.plant_rollup(raw.withColumn("file", source), "file", "datetime", ["q", "p"], ["d"], "")
-    return out.withColumnRenamed("datetime", "ts")
-
-
+    source = F.regexp_extract("_file", "l_returnflag=([^/]+)", 1)
+    out = readers.hydro_rollup(spark, f"{path}/files/*", source, ["q", "p"], ["d"])
+    return out.select("ts", *[F.col(c).alias(c.removeprefix("hydro_")) for c in out.columns if c != "ts"])

@@ -9,7 +9,7 @@ from slotcast.registry.base import (
 )
 
 D = DAY_LIMITS
-CONFIGS = ((0, 0, None), (7, 28, 0.95), (14, 14, 0.9), (28, 56, 0.95))
+CONFIGS = pretest.CONFIGS
 MAE, WMAPE, YEARS, MIN_CAP = 100000.0, 40.0, 7, 10
 CLEAN = f"(y > {D.low} AND y < {D.high})"
 
@@ -53,7 +53,7 @@ def _spark_sweep(spark, sf_dir):
 
 @query(lambda: with_ctes(("odays",), "SELECT * FROM swept", **_sweep()))
 def pretest_sweep(spark, sf_dir):
-    """Two forecasts under four corrections, scored per series and year."""
+    """Two forecasts under all eight corrections, scored per series and year."""
     return _spark_sweep(spark, sf_dir)
 
 
@@ -80,8 +80,8 @@ def best_candidate_per_year(spark, sf_dir):
     return pretest.best_per_year(_spark_sweep(spark, sf_dir), MAE, WMAPE)
 
 
-ALPHAS = (0.01, 1.0, 100.0, 10000.0, 100000.0)
-N_FOLDS = 3
+ALPHAS = blend.ALPHAS
+N_FOLDS = 5
 
 
 def _ridge() -> dict[str, str]:

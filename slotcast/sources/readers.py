@@ -1,8 +1,12 @@
-"""CSV readers with declared schemas. Timestamps are TIMESTAMP_NTZ; missing is NULL.
+"""CSV readers by column name. Timestamps are TIMESTAMP_NTZ; missing is NULL.
 
-Every reader takes a path or glob, so a source split over many files is one scan.
+Every reader takes a path or glob. Files may order their columns differently: files are grouped by
+their header, and each distinct header is one scan, so a name is read from where that file has it. A
+number that cannot be read is an error, unless ``malformed="null"`` is asked for.
 """
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,30 +26,68 @@ WEATHER_BOOKKEEPING = ("date", "cycle_id", "source", "timezone")
 RESOURCES = {"total": "quốc", "hydro": "thủy", "solar": "trời trang", "wind": "gió"}
 
 
+def _headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """Files by header. Only the first line of each file is parsed; the driver sees names of files and columns."""
+    lines = spark.read.text(path, wholetext=False).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value")
+    numbered = lines.where("at = 0").withColumn("line", F.monotonically_increasing_id())
+    first = numbered.groupBy("file").agg(F.min_by("value", "line").alias("head"))
+    out: dict[tuple[str, ...], list[str]] = {}
+    for r in first.groupBy("head").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("head").collect():
+        names = tuple(n.strip().strip('"') for n in r["head"].lstrip("\ufeff").split(","))
+        out.setdefault(names, []).extend(r["files"])
+    return out
+
+
 def _csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text, by name. The header decides the order and presence of columns."""
-    return spark.read.csv(path, header=True, encoding="utf-8")
+    """All columns as text, by name, with ``_file``; a column that a file lacks is NULL there."""
+    parts = [
+        spark.read.schema(", ".join(f"`{n}` string" for n in names)).csv(files, header=True, enforceSchema=False, encoding="utf-8")
+        .withColumn("_file", F.col("_metadata.file_path"))
+        for names, files in _headers(spark, path).items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _double(c: str, malformed: str):
+    """A number, or NULL for an empty field; what is neither raises or becomes NULL."""
+    text = F.trim(F.col(f"`{c}`"))
+    value = F.expr(f"try_cast(trim(`{c}`) as double)")
+    if malformed == "null":
+        return value.alias(c)
+    bad = (text != "") & value.isNull()
+    return F.when(bad, F.raise_error(F.concat(F.lit(f"column {c} holds no number: "), text)).cast("double")).otherwise(value).alias(c)
 
 
-def _doubles(df: DataFrame, cols) -> list:
-    return [F.expr(f"try_cast(`{c}` as double)").alias(c) for c in cols if c in df.columns]
+def _doubles(df: DataFrame, cols, malformed: str = "error") -> list:
+    return [_double(c, malformed) for c in cols if c in df.columns]
 
 
-def _stamp(df: DataFrame, cols, keep=()) -> DataFrame:
-    return df.select(F.col("datetime").cast("timestamp_ntz").alias("ts"), *keep, *_doubles(df, cols))
+def _stamp(df: DataFrame, cols, keep=(), malformed: str = "error") -> DataFrame:
+    return df.select(F.col("datetime").cast("timestamp_ntz").alias("ts"), *keep, *_doubles(df, cols, malformed))
 
 
-def read_series(spark: SparkSession, path: str, cols, series_id: str = "system") -> DataFrame:
-    """Half-hourly values of one series, one row per time; of repeated times the smallest row is kept."""
-    df = _stamp(_csv(spark, path), cols)
-    kept = [c for c in df.columns if c != "ts"]
-    return panel.dedup_first(df, ["ts"], kept).select(F.lit(series_id).alias("series_id"), "ts", *kept)
+def read_series(spark: SparkSession, path: str, cols, series_id="system", malformed: str = "error") -> DataFrame:
+    """Half-hourly values, one row per series and time; of repeated times the smallest row is kept.
 
+    ``series_id`` is the name of one series, or a column expression over the file's columns and ``_file``
+    (its path) that names the series of each row, so many series are one scan.
+    """
+    named = F.lit(series_id) if isinstance(series_id, str) else series_id
+    df = _stamp(_csv(spark, path), cols, [named.alias("series_id")], malformed)
+    kept = [c for c in df.columns if c not in ("series_id", "ts")]
+    return panel.dedup_first(df, ["series_id", "ts"], kept).select("series_id", "ts", *kept)
 
-def read_hydro(spark: SparkSession, path: str) -> DataFrame:
+
+def hydro_rollup(spark: SparkSession, path: str, source=None, flows=HYDRO_FLOWS, levels=HYDRO_LEVELS, malformed: str = "error") -> DataFrame:
+    """Rows of many plants to one per time. ``source`` names the plant of a row; by default its file."""
+    plant = (F.col("_file") if source is None else source).alias("file")
+    raw = _stamp(_csv(spark, path), [*flows, *levels], [plant], malformed)
+    return panel.plant_rollup(raw, "file", "ts", [c for c in flows if c in raw.columns], [c for c in levels if c in raw.columns])
+
+
+def read_hydro(spark: SparkSession, path: str, source=None, malformed: str = "error") -> DataFrame:
     """Hourly rows of many plants in many files to one half-hourly row per time."""
-    raw = _stamp(_csv(spark, path), [*HYDRO_FLOWS, *HYDRO_LEVELS], [F.col("_metadata.file_path").alias("file")])
-    hourly = panel.plant_rollup(raw, "file", "ts", list(HYDRO_FLOWS), list(HYDRO_LEVELS))
+    hourly = hydro_rollup(spark, path, source, malformed=malformed)
     return panel.upsample_ffill(hourly, [c for c in hourly.columns if c != "ts"])
 
 
@@ -58,12 +100,12 @@ def read_capacity(spark: SparkSession, path: str, resources: dict[str, str] = RE
     return wide.select("date", *[F.col(c).alias(f"disp_{c}") for c in wide.columns if c != "date"])
 
 
-def read_weather(spark: SparkSession, path: str) -> DataFrame:
-    """Every numeric column of the weather file; types are inferred, as its columns are not fixed."""
-    raw = spark.read.csv(path, header=True, inferSchema=True, timestampFormat="yyyy-MM-dd HH:mm:ss")
-    cols = numeric_columns(raw, WEATHER_BOOKKEEPING)
-    df = raw.select(F.col("datetime").cast("string").cast("timestamp_ntz").alias("ts"), *[F.col(c).cast("double").alias(c) for c in cols])
-    return panel.dedup_first(df, ["ts"], cols)
+def read_weather(spark: SparkSession, path: str, cols=None, malformed: str = "error") -> DataFrame:
+    """The weather columns as numbers: those named, or all but the bookkeeping. Types do not depend on content."""
+    raw = _csv(spark, path)
+    cols = cols or [c for c in raw.columns if c not in ("datetime", "_file", *WEATHER_BOOKKEEPING)]
+    df = _stamp(raw, cols, malformed=malformed)
+    return panel.dedup_first(df, ["ts"], [c for c in df.columns if c != "ts"])
 
 
 def read_daily(spark: SparkSession, path: str, cols) -> DataFrame:
