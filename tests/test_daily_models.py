@@ -135,3 +135,14 @@ def test_day_folds_match_equal_last_blocks(rows):
     assert folds["fold"].is_monotonic_increasing
     with pytest.raises(Exception):
         models.day_folds(df.where("date < date'2025-01-04'"), 5).select("fold").collect()
+
+
+def test_a_repeated_slot_neither_shifts_nor_completes_a_day(spark):
+    rows = [("a", "2025-01-01", c, float(c)) for c in range(47)] + [("a", "2025-01-01", 3, 99.0)]
+    rows += [("a", "2025-01-02", c, float(c)) for c in range(48)] + [("a", "2025-01-02", 3, 99.0)]
+    df = spark.createDataFrame(rows, "series_id string, date string, cycle int, y double").selectExpr("series_id", "to_date(date) AS date", "cycle", "y")
+    full = daily.daily_targets(df).collect()
+    assert [str(r.date) for r in full] == ["2025-01-02"]
+    assert full[0].targets == [99.0 if c == 3 else float(c) for c in range(48)]
+    first = daily.daily_matrix(df, ["y"]).where("date = date'2025-01-01'").first()
+    assert first.features == [99.0 if c == 3 else float(min(c, 46)) for c in range(48)]

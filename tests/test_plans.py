@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -65,6 +67,7 @@ def test_adaptive_saves_loads_and_serves(spark, rows, tmp_path):
     model.regime.threshold = 0.5
     one = model.day_ahead(target, train).orderBy("ts").toPandas()
     assert len(one) == 48 and one["pred"].between(0, 1778.6).all()
+    model.limits, model.windows = replace(model.limits, high=2000.0), (10, 20)
     model.save(str(tmp_path / "m"), spark)
     again = adaptive.Adaptive.load(str(tmp_path / "m"), spark).day_ahead(target, train).orderBy("ts").toPandas()
     np.testing.assert_allclose(one["pred"], again["pred"])

@@ -39,3 +39,20 @@ def test_stack_forecasts_alike_after_loading(spark, tmp_path):
 def test_candidates_are_subsets_of_the_base():
     stack = blank()
     assert all(set(m) <= set(stack.base) for m in stack.candidates.values())
+
+
+def test_a_series_too_short_for_a_learner_keeps_its_rows(spark):
+    train, test = fitted._train(spark, DATA)
+    name = train.selectExpr("min(series_id) AS s").first()["s"]
+    short = train.where(f"series_id <> '{name}' OR date >= date'2024-01-21'")
+    got = blank().fit(short).transform(test).toPandas()
+    assert len(got) == test.count() and got["pred"].notna().all()
+
+
+def test_more_trees_fit_better(spark):
+    train, _ = fitted._train(spark, DATA)
+    errors = []
+    for n in (1, 40):
+        scored = models.score(models.fit_trees(train, fitted.FEATURES, "y", replace(SMALL, trees=n)), train)
+        errors.append(scored.selectExpr("avg(abs(y - pred)) AS e").first()["e"])
+    assert errors[1] < 0.9 * errors[0]
