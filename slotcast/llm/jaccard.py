@@ -10,15 +10,22 @@ represented by their smallest doc_id.
 
 Skipping. The two skips of set-relation joins are applied to whole lists and blocks:
 
-* Position: two entries of a list can link only if min(positions) + 1 + min(sizes left) reaches the
-  needed overlap. It depends on (size, position) alone, so it is decided for a block of entries that
+* Position: linked sets have a first common token, before which they share nothing. So two entries
+  of a list need to be compared there only if 1 + min(sizes left after the token) reaches the needed
+  overlap. It depends on (size, position) alone, so it is decided for a block of entries that
   agree in them, and whole blocks fall away before any set is read.
-* Answers of a similar set: in every list, the first set (the hub) is compared with the others, and
-  what links to it takes over its component. Lists whose members are then in one component are
+* Answers of a similar set: in every list, one set (the hub) is compared with the others, and
+  what links to it takes over its component. The hub is the set with the largest share of frequent
+  tokens: among near copies that is the one with the fewest edits, close to most others. Lists whose members are then in one component are
   skipped, as the answers of their members are known. In the other lists, only members outside the
   list's main component are compared with the rest. So a group of near copies costs as many
   comparisons as it has members and lists, not their square.
 
+Sets that are close without being linked, as many copies with many edits are, pass these skips. Their
+difference is bounded from below by parity sketches: every token flips one of `64 * WORDS` bits of its
+set, so two sets differ in at least as many tokens as their sketches differ in bits. The join on a
+token drops a pair whose difference is thus too large before it becomes a row.
+
 Candidates are bounded once more by the exact overlap of their prefixes, then verified on whole sets,
 which are the only sets ever moved.
 
@@ -44,9 +51,13 @@ from slotcast.sources.shared import drop_tables, release, settle
 SHINGLE = 5
 LAST_ID = (1 << 63) - 1
 #: A token listed this often is frequent; at most MOST_FREQUENT of the most frequent are (8 bytes each are broadcast).
-OFTEN = 64
+OFTEN = 16
 MOST_FREQUENT = 1 << 20
 SALTS = 64
+WORDS = 8
+
+
+BITS = [f"bits{i}" for i in range(WORDS)]
 
 
 def shingle_sets(column: pa.Array):
@@ -70,15 +81,25 @@ def needed(m: Column, n: Column) -> Column:
     return F.ceil((m + n) * 3 / F.lit(7))
 
 
+def parity_sketch(values: np.ndarray) -> np.ndarray:
+    """`WORDS` 64-bit words in which every token flips one bit."""
+    at = (values >> np.uint64(7)) % np.uint64(64 * WORDS)
+    odd = np.bincount(at.astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _profiles(batches):
-    """Size and 128-bit digest of every set; size 0 without words."""
+    """Size, 128-bit digest and sketch of every set; size 0 without words."""
     for batch in batches:
+        sketch = np.zeros((batch.num_rows, WORDS), dtype=np.int64)
         n = np.zeros(batch.num_rows, dtype=np.int64)
         digests = [b""] * batch.num_rows
         for row, values in shingle_sets(batch.column(1)):
             n[row] = len(values)
+            sketch[row] = parity_sketch(values)
             digests[row] = hashlib.blake2b(values.tobytes(), digest_size=16).digest()
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(digests, pa.binary())], names=["id", "n", "digest"])
+        columns = [batch.column(0), pa.array(n), pa.array(digests, pa.binary()), *(pa.array(sketch[:, i]) for i in range(WORDS))]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "digest", *BITS])
 
 
 def _counted(batches):
@@ -109,7 +130,7 @@ def _postings(shared):
     def run(batches):
         frequent = shared.value
         for batch in batches:
-            tokens, rows, sizes, places, often = [], [], [], [], []
+            tokens, rows, sizes, places, often, shares = [], [], [], [], [], []
             for row, values in shingle_sets(batch.column(1)):
                 take = prefix_size(len(values))
                 at = np.minimum(np.searchsorted(frequent, values), max(len(frequent) - 1, 0))
@@ -117,6 +138,7 @@ def _postings(shared):
                 order = np.concatenate((np.flatnonzero(~hot), np.flatnonzero(hot)))[:take]
                 tokens.append(values[order])
                 often.append(hot[order])
+                shares.append(np.full(take, hot.mean(), dtype=np.float32))
                 rows.append(np.full(take, row))
                 sizes.append(np.full(take, len(values), dtype=np.int32))
                 places.append(np.arange(take, dtype=np.int32))
@@ -128,8 +150,9 @@ def _postings(shared):
                         pa.array(np.concatenate(sizes)),
                         pa.array(np.concatenate(places)),
                         pa.array(np.concatenate(often)),
+                        pa.array(np.concatenate(shares)),
                     ],
-                    names=["token", "id", "n", "pos", "often"],
+                    names=["token", "id", "n", "pos", "often", "share"],
                 )
 
     return run
@@ -138,22 +161,22 @@ def _postings(shared):
 def _lists(docs: DataFrame, others: DataFrame, paths: list[str]) -> DataFrame:
     """Index lists with two entries or more, of representatives only."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs))
-    entries = docs.mapInArrow(_postings(shared), "token long, id long, n int, pos int, often boolean")
+    entries = docs.mapInArrow(_postings(shared), "token long, id long, n int, pos int, often boolean, share float")
     release(docs.sparkSession)
     # a frequent token's list is spread over salts; it is known to be long, so only rare ones need the count
     salt = F.when(F.col("often"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.lit(0))
     entries = entries.withColumn("salt", salt)
     size = F.count("*").over(Window.partitionBy("token", "salt"))
-    several = entries.withColumn("entries", size).where("often OR entries > 1").select("token", "id", "n", "pos")
+    several = entries.withColumn("entries", size).where("often OR entries > 1").select("token", "id", "n", "pos", "share")
     several = settle(several, "entries", paths)
     release(docs.sparkSession)
     return settle(several.join(others, "id", "left_anti"), "lists", paths)
 
 
 def _may_link(m: Column, n: Column, i: Column, j: Column) -> Column:
-    """Size and position skip for entries of sizes m, n at positions i, j."""
+    """Size and position skip: the entries may link, and this may be their first common token."""
     least = needed(m, n)
-    return (least <= F.least(m, n)) & (F.least(i, j) + 1 + F.least(m - i - 1, n - j - 1) >= least)
+    return (least <= F.least(m, n)) & (1 + F.least(m - i - 1, n - j - 1) >= least)
 
 
 def _bounded(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
@@ -199,23 +222,27 @@ def _verified(docs: DataFrame, pairs: DataFrame, paths: list[str]) -> DataFrame:
 
 
 def _hub_pairs(lists: DataFrame, paths: list[str]) -> DataFrame:
-    """Every entry of a list with the list's first set."""
-    hubs = lists.groupBy("token").agg(F.min(F.struct("id", "n", "pos")).alias("hub"), F.count("*").alias("entries")).where("entries > 1")
+    """Every entry of a list with the list's hub."""
+    central = F.struct((-F.col("share")).alias("rest"), "id", "n", "pos")
+    hubs = lists.groupBy("token").agg(F.min(central).alias("hub"), F.count("*").alias("entries")).where("entries > 1")
     hubs = settle(hubs.select("token", "hub"), "hubs", paths)
     near = _may_link(F.col("hub.n"), F.col("n"), F.col("hub.pos"), F.col("pos"))
-    return lists.join(hubs, "token").where((F.col("id") != F.col("hub.id")) & near).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
+    found = lists.join(hubs, "token").where((F.col("id") != F.col("hub.id")) & near)
+    return found.select(F.least("hub.id", "id").alias("a"), F.greatest("hub.id", "id").alias("b")).distinct()
 
 
-def _open_pairs(lists: DataFrame, known: DataFrame, done: DataFrame, paths: list[str]) -> DataFrame:
+def _open_pairs(lists: DataFrame, known: DataFrame, done: DataFrame, sketches: DataFrame, paths: list[str]) -> DataFrame:
     """Pairs of a list that are in different components and not compared yet."""
     placed = lists.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
     placed = settle(placed, "placed", paths)
     groups = placed.groupBy("token", "component").agg(F.count("*").alias("size"))
     main = groups.groupBy("token").agg(F.max(F.struct("size", "component")).alias("main"), F.count("*").alias("groups"))
     main = settle(main.where("groups > 1").select("token", F.col("main.component").alias("main")), "main", paths)
-    placed = settle(placed.join(main, "token"), "open", paths)
-    left = placed.where("component != main").select("token", *[F.col(c).alias(f"{c}_") for c in ("id", "n", "pos", "component")])
+    placed = settle(placed.join(main, "token").join(sketches, "id"), "open", paths)
+    left = placed.where("component != main").select("token", *[F.col(c).alias(f"{c}_") for c in ("id", "n", "pos", "component", *BITS)])
     near = _may_link(F.col("n_"), F.col("n"), F.col("pos_"), F.col("pos"))
+    apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}_"))) for b in BITS), F.lit(0))
+    near = near & (apart <= F.col("n_") + F.col("n") - 2 * needed(F.col("n_"), F.col("n")))
     once = (F.col("component") == F.col("main")) | (F.col("id_") < F.col("id"))
     found = left.join(placed, "token").where((F.col("component_") != F.col("component")) & once & near)
     pairs = found.select(F.least("id_", "id").alias("a"), F.greatest("id_", "id").alias("b")).distinct()
@@ -225,7 +252,7 @@ def _open_pairs(lists: DataFrame, known: DataFrame, done: DataFrame, paths: list
 def _linked(source: DataFrame, paths: list[str]) -> DataFrame:
     """(id, n, component) for every id of `source` (id not null, text)."""
     spark = source.sparkSession
-    profiles = settle(source.mapInArrow(_profiles, "id long, n long, digest binary"), "profiles", paths)
+    profiles = settle(source.mapInArrow(_profiles, "id long, n long, digest binary, " + ", ".join(f"{b} long" for b in BITS)), "profiles", paths)
     firsts = profiles.where("n > 0").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
     copies = settle(profiles.join(firsts, "digest").where("id > first").select("id", "first").distinct(), "copies", paths)
     lists = _lists(source, copies.select("id").distinct(), paths)
@@ -235,8 +262,9 @@ def _linked(source: DataFrame, paths: list[str]) -> DataFrame:
     hub_pairs = settle(_bounded(_hub_pairs(lists, paths), prefixes), "hub_pairs", paths)
     links = _verified(source, hub_pairs, paths)
     known = settle(components(links, paths), "known", paths)
+    sketches = profiles.select("id", *BITS).dropDuplicates(["id"])
     release(spark)
-    open_pairs = settle(_bounded(_open_pairs(lists, known, hub_pairs.select("a", "b"), paths), prefixes), "open_pairs", paths)
+    open_pairs = settle(_bounded(_open_pairs(lists, known, hub_pairs.select("a", "b"), sketches, paths), prefixes), "open_pairs", paths)
     more = _verified(source, open_pairs, paths)
     edges = links.unionAll(more).unionAll(copies.select(F.col("first").alias("a"), F.col("id").alias("b")))
     release(spark)
