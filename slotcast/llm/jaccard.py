@@ -221,19 +221,26 @@ def _verified(docs: DataFrame, pairs: DataFrame, paths: list[str]) -> DataFrame:
     return settle(both.select("a", "b", shared.alias("shared"), least.alias("least")).where("shared >= least").select("a", "b"), "links", paths)
 
 
-def _hub_pairs(lists: DataFrame, paths: list[str]) -> DataFrame:
-    """Every entry of a list with the list's hub."""
+def _members(lists: DataFrame, paths: list[str]) -> DataFrame:
+    """Every entry of a list beside the list's hub, which is no member, with the number of entries."""
     central = F.struct((-F.col("share")).alias("rest"), "id", "n", "pos")
     hubs = lists.groupBy("token").agg(F.min(central).alias("hub"), F.count("*").alias("entries")).where("entries > 1")
-    hubs = settle(hubs.select("token", "hub"), "hubs", paths)
-    near = _may_link(F.col("hub.n"), F.col("n"), F.col("hub.pos"), F.col("pos"))
-    found = lists.join(hubs, "token").where((F.col("id") != F.col("hub.id")) & near)
-    return found.select(F.least("hub.id", "id").alias("a"), F.greatest("hub.id", "id").alias("b")).distinct()
+    hubs = settle(hubs.select("token", "hub.id", "hub.n", "hub.pos", "entries").toDF("token", "hub", "hub_n", "hub_pos", "entries"), "hubs", paths)
+    return settle(lists.drop("share").join(hubs, "token").where("id != hub"), "members", paths)
 
 
-def _open_pairs(lists: DataFrame, known: DataFrame, done: DataFrame, sketches: DataFrame, paths: list[str]) -> DataFrame:
-    """Pairs of a list that are in different components and not compared yet."""
-    placed = lists.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+def _hub_pairs(members: DataFrame) -> DataFrame:
+    near = members.where(_may_link(F.col("hub_n"), F.col("n"), F.col("hub_pos"), F.col("pos")))
+    return near.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
+
+
+def _open_pairs(members: DataFrame, known: DataFrame, done: DataFrame, sketches: DataFrame, paths: list[str]) -> DataFrame:
+    """Pairs of members of a list that are in different components and not compared yet.
+
+    The hub has been compared with all of its list, so lists of two entries are closed.
+    """
+    placed = members.where("entries > 2").select("token", "id", "n", "pos")
+    placed = placed.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
     placed = settle(placed, "placed", paths)
     groups = placed.groupBy("token", "component").agg(F.count("*").alias("size"))
     main = groups.groupBy("token").agg(F.max(F.struct("size", "component")).alias("main"), F.count("*").alias("groups"))
@@ -259,12 +266,13 @@ def _linked(source: DataFrame, paths: list[str]) -> DataFrame:
     prefixes = lists.groupBy("id", "n").agg(F.collect_set("token").alias("tokens"))
     prefixes = settle(prefixes, "prefixes", paths)
     release(spark)
-    hub_pairs = settle(_bounded(_hub_pairs(lists, paths), prefixes), "hub_pairs", paths)
+    members = _members(lists, paths)
+    hub_pairs = settle(_bounded(_hub_pairs(members), prefixes), "hub_pairs", paths)
     links = _verified(source, hub_pairs, paths)
     known = settle(components(links, paths), "known", paths)
     sketches = profiles.select("id", *BITS).dropDuplicates(["id"])
     release(spark)
-    open_pairs = settle(_bounded(_open_pairs(lists, known, hub_pairs.select("a", "b"), sketches, paths), prefixes), "open_pairs", paths)
+    open_pairs = settle(_bounded(_open_pairs(members, known, hub_pairs.select("a", "b"), sketches, paths), prefixes), "open_pairs", paths)
     more = _verified(source, open_pairs, paths)
     edges = links.unionAll(more).unionAll(copies.select(F.col("first").alias("a"), F.col("id").alias("b")))
     release(spark)
