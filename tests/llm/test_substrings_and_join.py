@@ -86,6 +86,45 @@ def test_removed_words_equal_a_scan_of_all_windows(spark, docs, corpus):
             assert (r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id]
 
 
+def brute_rows_kept(rows, window=20):
+    """As brute_kept, by row: a window is a repeat of a smaller id (null is the largest) or of an earlier start in its row."""
+    ranked = [(float("inf") if i is None else i, WORD.findall(t or "")) for i, t in rows]
+    least = {}
+    for rank, w in ranked:
+        for s in range(len(w) - window + 1):
+            key = tuple(w[s : s + window])
+            least[key] = min(rank, least.get(key, rank))
+    out = []
+    for (i, _), (rank, w) in zip(rows, ranked, strict=True):
+        gone, seen = [False] * len(w), set()
+        for s in range(len(w) - window + 1):
+            key = tuple(w[s : s + window])
+            if key in seen or least[key] < rank:
+                gone[s : s + window] = [True] * window
+            seen.add(key)
+        kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
+        out.append((str(i), len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return sorted(out)
+
+
+def shared_keys():
+    """Several rows with a null id, and ids of two texts: copies, passages of smaller ids, of each other, and of their own."""
+    def words(tag, n):
+        return " ".join(f"{tag}{i}" for i in range(n))
+
+    base, passage, other = words("b", 60), words("p", 30), words("q", 25)
+    rows = [(1, base), (2, words("x", 10) + " " + passage), (3, words("y", 50)), (3, passage + " " + words("z", 40)), (3, words("y", 50))]
+    rows += [(None, base), (None, words("u", 60)), (None, words("v", 33) + " " + passage + " " + words("w", 5)), (None, None), (None, "")]
+    rows += [(None, other + " " + words("m", 30)), (None, words("k", 7) + " " + other), (None, other + " k " + other), (None, words("u", 60))]
+    return rows + [(9, words("s", 45)), (9, words("t", 12) + " " + words("s", 45)), (11, words("t", 5) + " " + words("s", 45) + " " + words("r", 30))]
+
+
+def test_rows_without_id_or_with_a_shared_one_keep_their_own_words(spark):
+    rows = shared_keys()
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_rows_kept(rows)
+
+
 @pytest.mark.parametrize("run", [jaccard.link, jaccard.keep_first, substrings.remove_repeats])
 def test_empty_table(no_docs, run):
     assert run(no_docs).count() == 0
