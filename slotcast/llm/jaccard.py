@@ -5,8 +5,8 @@ Two documents link when 100 * |intersection| >= 75 * |union|. The result is exac
 
 Index lists. Tokens have one order: rare ones by hash, then the frequent ones (`frequent_tokens`) by
 hash. Linked sets share a token among their first n - ceil(0.75 n) + 1, their prefix, so a set is
-listed under these tokens only, with its size and the token's position in the set. Equal texts are
-represented by their smallest doc_id.
+listed under these tokens only, with its size and the token's position in the set. Sets go by 64
+bits of their digest (`id` below), so equal texts are one set and a doc_id plays no part in linking.
 
 Skipping. The two skips of set-relation joins are applied to whole lists and blocks:
 
@@ -30,9 +30,10 @@ Candidates are bounded once more by the exact overlap of their prefixes, then ve
 which are the only sets ever moved.
 
 Null and empty texts, and texts without words, have no shingles: n_shingles 0, linked with nothing,
-component_id their own doc_id. A null doc_id counts as the largest id and shows as null. Repeated
-rows are equal texts and link. An empty table gives no rows. Other columns are ignored by `link`
-and kept by `keep_first`.
+component_id their own doc_id. A null doc_id counts as the largest id and shows as null. Rows that
+share a doc_id, or have none, are linked by their own texts only, and told apart by 64 bits of these
+(`part`). Repeated rows are equal texts and link. An empty table gives no rows. Other columns are
+ignored by `link` and kept by `keep_first`.
 """
 
 from __future__ import annotations
@@ -72,6 +73,11 @@ def shingle_sets(column: pa.Array):
                 yield chunk.first + r, sequence_hash(chunk.hashes[lo:hi], int(hi - lo))
 
 
+def set_key(values: np.ndarray) -> int:
+    """64 bits of the digest of a set."""
+    return int.from_bytes(hashlib.blake2b(values.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def prefix_size(n: int) -> int:
     return n - (3 * n + 3) // 4 + 1
 
@@ -89,23 +95,23 @@ def parity_sketch(values: np.ndarray) -> np.ndarray:
 
 
 def _profiles(batches):
-    """Size, 128-bit digest and sketch of every set; size 0 without words."""
+    """Document, part, size, key and sketch of every row's set; size 0 and no key without words."""
     for batch in batches:
         sketch = np.zeros((batch.num_rows, WORDS), dtype=np.int64)
         n = np.zeros(batch.num_rows, dtype=np.int64)
-        digests = [b""] * batch.num_rows
-        for row, values in shingle_sets(batch.column(1)):
+        keys = [None] * batch.num_rows
+        for row, values in shingle_sets(batch.column(2)):
             n[row] = len(values)
             sketch[row] = parity_sketch(values)
-            digests[row] = hashlib.blake2b(values.tobytes(), digest_size=16).digest()
-        columns = [batch.column(0), pa.array(n), pa.array(digests, pa.binary()), *(pa.array(sketch[:, i]) for i in range(WORDS))]
-        yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "digest", *BITS])
+            keys[row] = set_key(values)
+        columns = [batch.column(0), batch.column(1), pa.array(n), pa.array(keys, pa.int64()), *(pa.array(sketch[:, i]) for i in range(WORDS))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc", "part", "n", "id", *BITS])
 
 
 def _counted(batches):
     """Counts of the tokens that may become part of a prefix by hash order."""
     for batch in batches:
-        found = [values[: prefix_size(len(values)) + len(values) // 16] for _, values in shingle_sets(batch.column(1))]
+        found = [values[: prefix_size(len(values)) + len(values) // 16] for _, values in shingle_sets(batch.column(0))]
         if found:
             token, n = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], names=["token", "n"])
@@ -113,7 +119,7 @@ def _counted(batches):
 
 def frequent_tokens(docs: DataFrame, often=OFTEN, most=MOST_FREQUENT) -> np.ndarray:
     """Sorted hashes of the tokens counted at least `often` times; the bar doubles until at most `most` are left."""
-    counts = docs.mapInArrow(_counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= often)
+    counts = docs.select("text").mapInArrow(_counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= often)
     paths: list[str] = []
     counts = settle(counts, "frequent", paths)
     bars = [often << i for i in range(40)]
@@ -130,8 +136,8 @@ def _postings(shared):
     def run(batches):
         frequent = shared.value
         for batch in batches:
-            tokens, rows, sizes, places, often, shares = [], [], [], [], [], []
-            for row, values in shingle_sets(batch.column(1)):
+            tokens, keys, sizes, places, often, shares = [], [], [], [], [], []
+            for _, values in shingle_sets(batch.column(0)):
                 take = prefix_size(len(values))
                 at = np.minimum(np.searchsorted(frequent, values), max(len(frequent) - 1, 0))
                 hot = frequent[at] == values if len(frequent) else np.zeros(len(values), dtype=bool)
@@ -139,14 +145,14 @@ def _postings(shared):
                 tokens.append(values[order])
                 often.append(hot[order])
                 shares.append(np.full(take, hot.mean(), dtype=np.float32))
-                rows.append(np.full(take, row))
+                keys.append(np.full(take, set_key(values)))
                 sizes.append(np.full(take, len(values), dtype=np.int32))
                 places.append(np.arange(take, dtype=np.int32))
             if tokens:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate(tokens).view(np.int64)),
-                        batch.column(0).take(pa.array(np.concatenate(rows))),
+                        pa.array(np.concatenate(keys)),
                         pa.array(np.concatenate(sizes)),
                         pa.array(np.concatenate(places)),
                         pa.array(np.concatenate(often)),
@@ -158,19 +164,21 @@ def _postings(shared):
     return run
 
 
-def _lists(docs: DataFrame, others: DataFrame, paths: list[str]) -> DataFrame:
-    """Index lists with two entries or more, of representatives only."""
+def _lists(docs: DataFrame, paths: list[str]) -> DataFrame:
+    """Index lists with two entries or more, one entry per set."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs))
-    entries = docs.mapInArrow(_postings(shared), "token long, id long, n int, pos int, often boolean, share float")
+    entries = docs.select("text").mapInArrow(_postings(shared), "token long, id long, n int, pos int, often boolean, share float")
     release(docs.sparkSession)
-    # a frequent token's list is spread over salts; it is known to be long, so only rare ones need the count
+    # a frequent token's list is spread over salts; it is known to be long, so only rare ones need their ends
     salt = F.when(F.col("often"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.lit(0))
     entries = entries.withColumn("salt", salt)
-    size = F.count("*").over(Window.partitionBy("token", "salt"))
-    several = entries.withColumn("entries", size).where("often OR entries > 1").select("token", "id", "n", "pos", "share")
-    several = settle(several, "entries", paths)
+    alike = Window.partitionBy("token", "salt")
+    several = entries.withColumn("least", F.min("id").over(alike)).withColumn("most", F.max("id").over(alike)).where("often OR least < most")
+    # copies meet in the window's partitions, so this moves nothing
+    once = several.dropDuplicates(["token", "salt", "id"]).select("token", "id", "n", "pos", "share")
+    lists = settle(once, "lists", paths)
     release(docs.sparkSession)
-    return settle(several.join(others, "id", "left_anti"), "lists", paths)
+    return lists
 
 
 def _may_link(m: Column, n: Column, i: Column, j: Column) -> Column:
@@ -193,11 +201,11 @@ def _bounded(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
 
 def _whole_sets(batches):
     for batch in batches:
-        rows, sets = [], []
-        for row, values in shingle_sets(batch.column(1)):
-            rows.append(row)
+        keys, sets = [], []
+        for _, values in shingle_sets(batch.column(0)):
+            keys.append(set_key(values))
             sets.append(values.tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(sets, pa.binary())], names=["id", "set"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["id", "set"])
 
 
 def _overlap(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -208,11 +216,12 @@ def _overlap(left: pa.Array, right: pa.Array) -> pa.Array:
     return pa.array(out)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, paths: list[str]) -> DataFrame:
-    """The pairs that link, by their whole sets."""
+def _verified(docs: DataFrame, pairs: DataFrame, rows: DataFrame, paths: list[str]) -> DataFrame:
+    """The pairs that link, by their whole sets, each read from the one row that `rows` names for it."""
     ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.join(ids, "id", "left_semi").dropDuplicates(["id"])
-    sets = settle(texts.select("id", "text").mapInArrow(_whole_sets, "id long, set binary"), "sets", paths)
+    places = rows.join(ids, "id", "left_semi").select("doc", "part")
+    texts = docs.join(places, ["doc", "part"], "left_semi").dropDuplicates(["doc", "part"])
+    sets = settle(texts.select("text").mapInArrow(_whole_sets, "id long, set binary"), "sets", paths)
     release(docs.sparkSession)
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
     both = both.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
@@ -257,55 +266,66 @@ def _open_pairs(members: DataFrame, known: DataFrame, done: DataFrame, sketches:
 
 
 def _linked(source: DataFrame, paths: list[str]) -> DataFrame:
-    """(id, n, component) for every id of `source` (id not null, text)."""
+    """(doc, part, n, component, first, first_part) for every row of `source` (doc not null, part, text) but repeated ones.
+
+    `component` is null without words; `first` and `first_part` are its smallest row.
+    """
     spark = source.sparkSession
-    profiles = settle(source.mapInArrow(_profiles, "id long, n long, digest binary, " + ", ".join(f"{b} long" for b in BITS)), "profiles", paths)
-    firsts = profiles.where("n > 0").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    copies = settle(profiles.join(firsts, "digest").where("id > first").select("id", "first").distinct(), "copies", paths)
-    lists = _lists(source, copies.select("id").distinct(), paths)
+    kinds = "doc long, part long, n long, id long, " + ", ".join(f"{b} long" for b in BITS)
+    profiles = settle(source.mapInArrow(_profiles, kinds), "profiles", paths)
+    rows = profiles.where("n > 0").groupBy("id").agg(F.min(F.struct("doc", "part")).alias("row")).select("id", "row.doc", "row.part")
+    rows = settle(rows, "rows", paths)
+    lists = _lists(source, paths)
     prefixes = lists.groupBy("id", "n").agg(F.collect_set("token").alias("tokens"))
     prefixes = settle(prefixes, "prefixes", paths)
     release(spark)
     members = _members(lists, paths)
     hub_pairs = settle(_bounded(_hub_pairs(members), prefixes), "hub_pairs", paths)
-    links = _verified(source, hub_pairs, paths)
+    links = _verified(source, hub_pairs, rows, paths)
     known = settle(components(links, paths), "known", paths)
-    sketches = profiles.select("id", *BITS).dropDuplicates(["id"])
+    sketches = profiles.where("n > 0").select("id", *BITS).dropDuplicates(["id"])
     release(spark)
     open_pairs = settle(_bounded(_open_pairs(members, known, hub_pairs.select("a", "b"), sketches, paths), prefixes), "open_pairs", paths)
-    more = _verified(source, open_pairs, paths)
-    edges = links.unionAll(more).unionAll(copies.select(F.col("first").alias("a"), F.col("id").alias("b")))
+    more = _verified(source, open_pairs, rows, paths)
+    edges = links.unionAll(more)
     release(spark)
     final = settle(components(edges, paths), "components", paths)
-    size = profiles.groupBy("id").agg(F.max("n").alias("n"))
-    return size.join(final, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+    placed = rows.join(final, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    firsts = placed.groupBy("component").agg(F.min(F.struct("doc", "part")).alias("first"))
+    sets = settle(placed.join(firsts, "component").select("id", "component", F.col("first.doc").alias("first"), F.col("first.part").alias("first_part")), "placed", paths)
+    return profiles.select("doc", "part", "n", "id").distinct().join(sets, "id", "left").drop("id")
 
 
-def _keyed(docs: DataFrame, doc_id: str, text: str) -> tuple[Column, DataFrame]:
-    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID))
-    return key, docs.select(key.alias("id"), F.col(text).alias("text"))
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> tuple[Column, Column, DataFrame]:
+    key, part = F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)), F.xxhash64(F.col(text))
+    return key, part, docs.select(key.alias("doc"), part.alias("part"), F.col(text).alias("text"))
 
 
 def link(docs: DataFrame, *, doc_id="doc_id", text="text") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id. Rows that share a doc_id count as one document of their largest set."""
+    """Per row: doc_id, n_shingles, component_id, both by the row's own text."""
     paths: list[str] = []
-    key, source = _keyed(docs, doc_id, text)
-    known = _linked(source, paths)
-    shown = F.when(F.col("component") == LAST_ID, F.lit(None)).otherwise(F.col("component"))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), key.alias("id")).join(known, "id")
+    key, part, source = _keyed(docs, doc_id, text)
+    known = _linked(source, paths).withColumn("first", F.coalesce("first", "doc"))
+    shown = F.when(F.col("first") == LAST_ID, F.lit(None)).otherwise(F.col("first"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), key.alias("doc"), part.alias("part")).join(known, ["doc", "part"])
     out = settle(rows.select("doc_id", F.col("n").alias("n_shingles"), shown.cast("long").alias("component_id")), "linked")
     drop_tables(docs.sparkSession, paths)
     return out
 
 
 def keep_first(docs: DataFrame, *, doc_id="doc_id", text="text") -> DataFrame:
-    """The rows of `docs` that are the smallest doc_id of their component, with all columns; one row per doc_id."""
+    """The row of `docs` with the smallest doc_id of each component, with all columns; among those of one doc_id by a hash of the text.
+
+    Rows without words stay, but for repeats of a doc_id and text.
+    """
     paths: list[str] = []
-    key, source = _keyed(docs, doc_id, text)
+    key, part, source = _keyed(docs, doc_id, text)
     known = _linked(source, paths)
-    dropped = settle(known.where("id != component").select(F.col("id").alias("__id")), "dropped")
+    later = known.where("doc != first OR part != first_part")
+    dropped = settle(later.select(F.col("doc").alias("__doc"), F.col("part").alias("__part")), "dropped")
     drop_tables(docs.sparkSession, paths)
-    return docs.join(dropped, key == F.col("__id"), "left_anti").dropDuplicates([doc_id])
+    rows = docs.withColumn("__doc", key).withColumn("__part", part).join(dropped, ["__doc", "__part"], "left_anti")
+    return rows.dropDuplicates(["__doc", "__part", doc_id]).select(*docs.columns)
 
 
 ORACLE = """

@@ -56,6 +56,51 @@ def test_keep_first_keeps_columns_and_one_of_each_group(spark, docs, corpus):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(want)
 
 
+def linked_keys():
+    """Null ids and shared ids of different texts, some linked to smaller ids, some to each other, some alone; repeated and empty rows."""
+    def words(tag, n, edits=0):
+        return " ".join(f"{tag}{i}" for i in range(n - edits)) + "".join(f" e{i}" for i in range(edits))
+
+    rows = [(1, words("a", 60)), (2, words("b", 60)), (4, words("c", 60)), (4, words("d", 60)), (4, words("c", 60))]
+    rows += [(5, words("d", 60, 3)), (5, words("f", 60)), (6, words("b", 60, 2)), (6, words("g", 60)), (7, words("f", 60, 1))]
+    rows += [(None, words("a", 60, 2)), (None, words("h", 60)), (None, words("i", 60)), (None, words("i", 60, 3)), (None, words("j", 60).upper())]
+    return rows + [(None, words("j", 60)), (None, "short one"), (None, ""), (None, None), (None, words("h", 60)), (8, ""), (8, words("k", 60))]
+
+
+def brute_rows(rows):
+    """Per row: size of its set, members of its component (row numbers)."""
+    sets = [shingles(t) for _, t in rows]
+    groups = [{i} for i in range(len(rows))]
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= 75 * len(a | b) and groups[i] is not groups[j]:
+                groups[i] |= groups[j]
+                for k in groups[j]:
+                    groups[k] = groups[i]
+    return sets, groups
+
+
+def test_rows_without_id_or_with_a_shared_one_link_by_their_own_text(spark):
+    rows = linked_keys()
+    sets, groups = brute_rows(rows)
+    ids = [[rows[k][0] for k in g if rows[k][0] is not None] for g in groups]
+    want = sorted(str((d, len(s), min(i, default=None))) for (d, _), s, i in zip(rows, sets, ids, strict=True))
+    got = jaccard.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(str(tuple(r)) for r in got) == want
+
+
+def test_keep_first_keeps_unlinked_rows_without_id_or_with_a_shared_one(spark):
+    rows = linked_keys()
+    sets, groups = brute_rows(rows)
+    kept = [(r.doc_id, r.text) for r in jaccard.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert len(kept) == len(set(kept))
+    assert {r for r in kept if not shingles(r[1])} == {r for r in rows if not shingles(r[1])}
+    for g in {frozenset(g) for g, s in zip(groups, sets, strict=True) if s}:
+        least = min((rows[k][0] is None, rows[k][0] or 0) for k in g)
+        left = [r for r in kept if r in {rows[k] for k in g}]
+        assert len(left) == 1 and (left[0][0] is None, left[0][0] or 0) == least
+
+
 def test_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, 501)], "a long, b long")
     got = dict(map(tuple, components.components(edges, []).collect()))
