@@ -9,11 +9,16 @@ number of documents; that is the size bound of its broadcast.
 A fingerprint has a field per lexicon subset: the whole lexicon first, then `SUBSETS` random ones,
 which keep a term with a chance of 1/16 down to 1/2048 so that long and short texts both have
 subsets that hit a few of their terms. A field is the hash of the text's sorted distinct terms in
-that subset, eight hex digits, zeros where there is none.
+that subset, eight hex digits, zeros where there is none. A text with terms but none in the lexicon
+has the hash of all its sorted distinct terms in the first field.
 
 Likeness of two fingerprints: of the subsets that either text hits, the share with equal fields; it
-estimates the overlap of their terms. It is 1 for two texts without any hit and for equal texts, whose
-fingerprints are equal always.
+estimates the overlap of their terms. It is 1 for two texts without terms and for equal texts, whose
+fingerprints are equal always; texts with no term in the lexicon are at 1 with those of the same terms only.
+
+Copies count in the document frequencies. So the terms of a text that over 1/`COMMON` of the documents
+repeat, exactly or nearly, are out of the band: where that is all its terms, exact copies are at 1 and
+edited ones at 0.
 
 `neighbours` pairs each document with the next one in falling doc_id order (nulls last, ties by
 text), the last with the first. Documents are dealt to ranges of doc_id and each range's top document
@@ -76,12 +81,18 @@ class Fingerprints:
         rate = np.concatenate(([64], np.repeat(np.arange(60, 52, -1), SUBSETS // 8)))
         self.member = [mix(terms ^ s) >> np.uint64(r) == 0 if r < 64 else np.ones(len(terms), bool) for s, r in zip(_SEEDS, rate.tolist(), strict=True)]
 
-    def fields(self, column: pa.Array) -> np.ndarray:
-        """One row per text, one uint32 per subset; 0 where the text has no term of the subset."""
+    def fields(self, column: pa.Array, others: bool = False) -> np.ndarray:
+        """One row per text, one uint32 per subset; 0 where the text has no term of the subset.
+
+        With `others`, texts that have terms but none of the lexicon get their first field from all of them.
+        """
         out = np.zeros((len(column), SUBSETS + 1), dtype=np.uint32)
         for first, bounds, terms in term_rows(column):
             at = np.minimum(np.searchsorted(self.terms, terms), max(len(self.terms) - 1, 0))
             known = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
+            every = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(terms), dtype=np.uint64)))
+            every = every[bounds[1:]] - every[bounds[:-1]]
+            filled = np.diff(bounds) > 0
             bounds = np.concatenate(([0], np.cumsum(known)))[bounds]
             at, terms = at[known], terms[known]
             for j, seed in enumerate(_SEEDS):
@@ -90,6 +101,9 @@ class Fingerprints:
                 total = total[bounds[1:]] - total[bounds[:-1]]
                 field = (mix(total) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
                 out[first : first + len(field), j] = np.where(total == 0, 0, field)
+            if others:
+                bare = np.flatnonzero(filled & (np.diff(bounds) == 0))
+                out[first + bare, 0] = (mix(every[bare]) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
         return out
 
 
@@ -109,7 +123,7 @@ def fingerprint(docs: DataFrame, terms: np.ndarray, *, text="text", name="finger
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(column: pa.Array) -> pa.Array:
-        return pa.array(as_text(Fingerprints(shared.value).fields(column)), pa.string())
+        return pa.array(as_text(Fingerprints(shared.value).fields(column, others=True)), pa.string())
 
     return docs.withColumn(name, F.arrow_udf(run, "string")(F.col(text)))
 
@@ -126,7 +140,7 @@ def _compare(shared):
             return
         sizes = [len(t) for t in texts[:n]]
         edited = [t[: k - k // 2] + u[: k // 2] for t, u, k in zip(texts, texts[1:], sizes, strict=False)]
-        own, other = prints.fields(pa.array(texts, pa.string())), prints.fields(pa.array(edited, pa.string()))
+        own, other = (prints.fields(pa.array(t, pa.string()), others=True) for t in (texts, edited))
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(ids, types),

@@ -217,6 +217,17 @@ def test_likeness_of_equal_and_empty():
     assert imatch.likeness(fields[2:3], fields[3:4])[0] == 1 and imatch.likeness(fields[:1], fields[4:5])[0] == 0
 
 
+def test_texts_without_lexicon_terms_are_like_those_of_equal_terms_only(spark):
+    rows = [(i, f"common{i % 9} words{i % 8} here{i % 7}") for i in range(30)]
+    rows += [(30, "rare one."), (31, "Rare ONE. one."), (32, "another thing."), (33, ""), (34, None), (35, "last\x0bthing")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in imatch.neighbours(docs, rare=14).collect()}
+    assert {i: got[i].near_next for i in (31, 32, 33, 34, 35)} == {31: 1, 32: 0, 33: 0, 34: 1, 35: 0}
+    assert len({got[i].fingerprint for i in (30, 31)}) == 1 and len({got[i].fingerprint for i in (30, 32, 33, 35)}) == 4
+    again = {r.doc_id: r.fingerprint for r in imatch.fingerprint(docs, imatch.lexicon(docs, rare=14)).collect()}
+    assert again == {i: r.fingerprint for i, r in got.items()}
+
+
 # ordinal regression
 
 
