@@ -18,8 +18,9 @@ weight; with hundreds of thousands of words the others would only fit noise. The
 documents: no shuffle, whole texts.
 
 Null and empty texts have no words and are scored by their statistics, like any other text.
-Labels without a document, with a null rating or rated twice with different grades are left out of
-the fit; without any usable label, or with fewer than two grades, the fit raises ValueError.
+Labels without a document, with a null quality, of good quality with a null toxic, or rated twice with different grades are left out of
+the fit; without any usable label, or with fewer than two grades, the fit raises ValueError, but for
+an empty table of documents, where the model is one without weights.
 Repeated documents each give a row, an empty table of documents gives none. Other columns are
 ignored by `rate`, kept by `select_documents`.
 """
@@ -179,7 +180,7 @@ def fit_model(bounds: np.ndarray, places: np.ndarray, grades: np.ndarray, *, epo
 
 def rated_ids(labels: DataFrame, *, doc_id="doc_id", quality="quality", toxic="toxic", sample=SAMPLE) -> DataFrame:
     """At most `sample` (id, grade) of documents with one usable grade, those whose ids hash lowest."""
-    grade = F.when(F.col(quality) == 0, 0).when(F.col(toxic) == 1, 1).when(F.col(toxic) == 0, 2)
+    grade = F.when(F.col(quality) == 0, 0).when(F.col(quality).isNotNull(), F.when(F.col(toxic) == 1, 1).when(F.col(toxic) == 0, 2))
     rated = labels.select(F.col(doc_id).cast("long").alias("id"), grade.alias("grade")).where("id IS NOT NULL AND grade IS NOT NULL")
     one = rated.groupBy("id").agg(F.min("grade").alias("grade"), F.max("grade").alias("most")).where("grade = most")
     return one.select("id", "grade").orderBy(F.xxhash64("id"), "id").limit(sample)
@@ -221,6 +222,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id="doc_id", text="text", sam
     place = tally["place"].to_numpy()
     n = np.stack([tally[f"n{g}"].to_numpy() for g in GRADES], axis=1).astype(np.float64)
     rows = n[place == -1].sum(axis=0) if len(place) else np.zeros(len(GRADES))
+    if (rows > 0).sum() < 2 and docs.isEmpty():
+        return Model(np.zeros(1 << BITS, dtype=np.float32), np.arange(1.0, len(GRADES)))
     if (rows > 0).sum() < 2:
         raise ValueError("the labelled documents have fewer than two grades")
     counts = np.zeros((1 << BITS, len(GRADES)))
