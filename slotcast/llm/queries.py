@@ -1,10 +1,10 @@
-"""Registered queries of the ten operators, one each over its whole table, and their SQL."""
+"""Registered queries of the operators, one each over its whole table, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotcast.llm import bpe, decontam, html_blocks, imatch, jaccard, ordinal, secrets, sharding, substrings, wacz
+from slotcast.llm import bpe, decontam, html_blocks, imatch, jaccard, ordinal, records, secrets, sharding, substrings, wacz
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,17 @@ def op10_quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.rate(docs, ordinal.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def word_vocabulary() -> str:
+    """Path of the public word vocabulary, as installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op12_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.round_trip(table(spark, sf_dir, "documents"), word_vocabulary(), end_id=1)
+
+
 QUERIES = {
     "op1_shards": op1_shards,
     "op2_components": op2_components,
@@ -74,6 +85,7 @@ QUERIES = {
     "op8_contained_items": op8_contained_items,
     "op9_repeated_words": op9_repeated_words,
     "op10_quality_grades": op10_quality_grades,
+    "op12_token_records": op12_token_records,
 }
 
 SQL = {
