@@ -187,7 +187,7 @@ class Encoder:
                 others.add(piece)
                 parts[piece] = (piece, "")
         known = self.known
-        new_words, new_others = sorted(words.difference(known)), sorted(others)
+        new_words, new_others = sorted(w for w in words if w not in known), sorted(others)
         found = dict(zip(new_words, self._word_ids(new_words), strict=True)) if new_words else {}
         if new_others:
             found.update(zip(new_others, self._library_ids(new_others), strict=True))
