@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotcast.llm import bpe, decontam, html_blocks, imatch, jaccard, ordinal, records, secrets, sharding, substrings, wacz
+from slotcast.llm import bpe, decontam, html_blocks, imatch, jaccard, ordinal, records, secrets, sharding, spelling, substrings, wacz
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,10 @@ def op12_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.round_trip(table(spark, sf_dir, "documents"), word_vocabulary(), end_id=1)
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"), slips=True)
+
+
 QUERIES = {
     "op1_shards": op1_shards,
     "op2_components": op2_components,
@@ -86,10 +90,12 @@ QUERIES = {
     "op9_repeated_words": op9_repeated_words,
     "op10_quality_grades": op10_quality_grades,
     "op12_token_records": op12_token_records,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 SQL = {
     "op2_components": jaccard.ORACLE,
     "op7_secret_spans": secrets.ORACLE,
     "op8_contained_items": decontam.ORACLE,
+    "op13_spelling_variants": spelling.ORACLE,
 }
