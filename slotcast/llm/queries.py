@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotcast.llm import bpe, decontam, html_blocks, imatch, jaccard, ordinal, records, secrets, sharding, spelling, substrings, wacz
+from slotcast.llm import bpe, decontam, html_blocks, imatch, jaccard, ordinal, prefix_trie, records, secrets, sharding, spelling, substrings, wacz
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op10_quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.rate(docs, ordinal.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.replayed_trie(table(spark, sf_dir, "conversations"))
+
+
 def word_vocabulary() -> str:
     """Path of the public word vocabulary, as installed on every machine."""
     import public_tokenizers
@@ -89,6 +93,7 @@ QUERIES = {
     "op8_contained_items": op8_contained_items,
     "op9_repeated_words": op9_repeated_words,
     "op10_quality_grades": op10_quality_grades,
+    "op11_conversation_trie": op11_conversation_trie,
     "op12_token_records": op12_token_records,
     "op13_spelling_variants": op13_spelling_variants,
 }
@@ -97,5 +102,6 @@ SQL = {
     "op2_components": jaccard.ORACLE,
     "op7_secret_spans": secrets.ORACLE,
     "op8_contained_items": decontam.ORACLE,
+    "op11_conversation_trie": prefix_trie.ORACLE,
     "op13_spelling_variants": spelling.ORACLE,
 }
