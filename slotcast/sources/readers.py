@@ -5,8 +5,11 @@ their header, and each distinct header is one scan, so a name is read from where
 number that cannot be read is an error, unless ``malformed="null"`` is asked for.
 """
 
+import csv
 from functools import reduce
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,21 +24,47 @@ HYDRO_LEVELS = ("water_level_m",)
 CAPACITY = ("installed_capacity_mw", "expected_midday_low_load_mw", "expected_evening_peak_mw")
 FUEL = ("coal_proxy_price", "brent_price", "gas_proxy_price", "usd_vnd", "dxy_index")
 CALENDAR = ("is_weekend", "is_workday", "is_holiday", "is_tet", "is_pre_holiday", "is_post_holiday", "season")
+HEADER_BYTES = 1 << 16
 WEATHER_BOOKKEEPING = ("date", "cycle_id", "source", "timezone")
 # fixed values: label and the text that marks it in ``resource_type``
 RESOURCES = {"total": "quốc", "hydro": "thủy", "solar": "trời trang", "wind": "gió"}
 
 
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """The files that a path or glob names, as Spark's own planning lists them."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = []
+    for status in found.globStatus(at) or ():
+        inside = found.listStatus(status.getPath()) if status.isDirectory() else [status]
+        names += [x.getPath().toString() for x in inside if x.isFile() and not x.getPath().getName().startswith(("_", "."))]
+    if not names:
+        raise FileNotFoundError(f"no file at {path}")
+    return sorted(names)
+
+
+def _first_lines(batches):
+    """The header of each file, read from its beginning only."""
+    for batch in batches:
+        names, heads = batch.column(0).to_pylist(), []
+        for name in names:
+            files, at = fs.FileSystem.from_uri(name)
+            with files.open_input_stream(at, compression="detect") as file:
+                head = b""
+                while b"\n" not in head and (more := file.read(HEADER_BYTES)):
+                    head += more
+            heads.append(next(csv.reader([head.partition(b"\n")[0].decode("utf-8-sig").rstrip("\r")]), []))
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(heads, pa.list_(pa.string()))], names=["file", "names"])
+
+
 def _headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
-    """Files by header. Only the first line of each file is parsed; the driver sees names of files and columns."""
-    lines = spark.read.text(path, wholetext=False).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value")
-    numbered = lines.where("at = 0").withColumn("line", F.monotonically_increasing_id())
-    first = numbered.groupBy("file").agg(F.min_by("value", "line").alias("head"))
+    """Files by header. Tasks read the first line of each file; the driver sees names of files and columns."""
+    files = _files(spark, path)
+    spread = spark.createDataFrame([(f,) for f in files], "file string").repartition(min(len(files), spark.sparkContext.defaultParallelism))
     out: dict[tuple[str, ...], list[str]] = {}
-    for r in first.groupBy("head").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("head").collect():
-        names = tuple(n.strip().strip('"') for n in r["head"].lstrip("\ufeff").split(","))
-        out.setdefault(names, []).extend(r["files"])
-    return out
+    for r in spread.mapInArrow(_first_lines, "file string, names array<string>").collect():
+        out.setdefault(tuple(n.strip() for n in r["names"]), []).append(r["file"])
+    return {names: sorted(found) for names, found in sorted(out.items())}
 
 
 def _csv(spark: SparkSession, path: str) -> DataFrame:
@@ -91,40 +120,51 @@ def read_hydro(spark: SparkSession, path: str, source=None, malformed: str = "er
     return panel.upsample_ffill(hourly, [c for c in hourly.columns if c != "ts"])
 
 
-def read_capacity(spark: SparkSession, path: str, resources: dict[str, str] = RESOURCES) -> DataFrame:
+def read_capacity(spark: SparkSession, path: str, resources: dict[str, str] = RESOURCES, malformed: str = "error") -> DataFrame:
     """Dated capacity rows to ``disp_<label>_<measure>`` columns, one row per date."""
     raw = _csv(spark, path)
-    raw = raw.select(F.col("date").cast("date").alias("date"), "resource_type", *_doubles(raw, CAPACITY))
+    raw = raw.select(F.col("date").cast("date").alias("date"), "resource_type", *_doubles(raw, CAPACITY, malformed))
     measures = dict(zip(("installed_mw", "midday_mw", "evening_mw"), [F.col(c) for c in CAPACITY]))
     wide = panel.label_pivot(raw, "resource_type", resources, ["date"], **measures)
     return wide.select("date", *[F.col(c).alias(f"disp_{c}") for c in wide.columns if c != "date"])
 
 
+def _number_columns(raw: DataFrame, drop) -> list[str]:
+    """Columns without a value that is no number, in one pass over the table."""
+    cols = [c for c in raw.columns if c not in drop]
+    texts = [F.count_if((F.trim(F.col(f"`{c}`")) != "") & F.expr(f"try_cast(trim(`{c}`) as double)").isNull()).alias(str(i)) for i, c in enumerate(cols)]
+    found = raw.agg(*texts).first() if cols else ()
+    return [c for c, n in zip(cols, found) if not n]
+
+
 def read_weather(spark: SparkSession, path: str, cols=None, malformed: str = "error") -> DataFrame:
-    """The weather columns as numbers: those named, or all but the bookkeeping. Types do not depend on content."""
+    """The weather columns as numbers: those named, or all that hold numbers only, but for the bookkeeping."""
     raw = _csv(spark, path)
-    cols = cols or [c for c in raw.columns if c not in ("datetime", "_file", *WEATHER_BOOKKEEPING)]
+    cols = cols or _number_columns(raw, ("datetime", "_file", *WEATHER_BOOKKEEPING))
     df = _stamp(raw, cols, malformed=malformed)
     return panel.dedup_first(df, ["ts"], [c for c in df.columns if c != "ts"])
 
 
-def read_daily(spark: SparkSession, path: str, cols) -> DataFrame:
+def read_daily(spark: SparkSession, path: str, cols, malformed: str = "error") -> DataFrame:
     """A date-keyed table; only the columns it has."""
     raw = _csv(spark, path)
-    return raw.select(F.col("date").cast("date").alias("date"), *_doubles(raw, cols))
+    return raw.select(F.col("date").cast("date").alias("date"), *_doubles(raw, cols, malformed))
+
 
+def load_sources(spark: SparkSession, root: str, season_days: int = 7, weather=None, malformed: str = "error") -> DataFrame:
+    """The whole input directory to one imputed panel of one series.
 
-def load_sources(spark: SparkSession, root: str, season_days: int = 7) -> DataFrame:
-    """The whole input directory to one imputed panel of one series."""
-    price = read_series(spark, f"{root}/market/smp_prices_nsmo.csv", PRICE)
-    load = read_series(spark, f"{root}/market/load_data_nsmo.csv", LOAD)
+    ``weather`` names the weather columns, by default all that hold numbers; ``malformed`` is that of the readers.
+    """
+    price = read_series(spark, f"{root}/market/smp_prices_nsmo.csv", PRICE, malformed=malformed)
+    load = read_series(spark, f"{root}/market/load_data_nsmo.csv", LOAD, malformed=malformed)
     grid = panel.make_grid(price, whole_days=True)
     df = panel.attach(panel.attach(grid, price), load)
-    df = panel.attach(df, read_hydro(spark, f"{root}/hydro/hydro_hourly_*.csv"))
-    df = panel.attach_daily(df, read_capacity(spark, f"{root}/market/dispatch_capacity_nsmo.csv"))
-    df = panel.attach(df, read_weather(spark, f"{root}/exogenous/weather_3_regions_30min_open_meteo.csv"))
-    df = panel.attach_daily(df, read_daily(spark, f"{root}/exogenous/fuel_macro_yfinance_clean.csv", FUEL))
-    df = panel.attach_daily(df, read_daily(spark, f"{root}/exogenous/calendar_vietnam.csv", CALENDAR))
+    df = panel.attach(df, read_hydro(spark, f"{root}/hydro/hydro_hourly_*.csv", malformed=malformed))
+    df = panel.attach_daily(df, read_capacity(spark, f"{root}/market/dispatch_capacity_nsmo.csv", malformed=malformed))
+    df = panel.attach(df, read_weather(spark, f"{root}/exogenous/weather_3_regions_30min_open_meteo.csv", weather, malformed))
+    df = panel.attach_daily(df, read_daily(spark, f"{root}/exogenous/fuel_macro_yfinance_clean.csv", FUEL, malformed))
+    df = panel.attach_daily(df, read_daily(spark, f"{root}/exogenous/calendar_vietnam.csv", CALENDAR, malformed))
     cols = numeric_columns(df, ("cycle",))
     filled = panel.impute(df, cols, season_days, observed="smp_system_price", whole_days=True)
     return filled.where("in_span").drop("in_span")

@@ -44,6 +44,29 @@ def test_weather_types_do_not_depend_on_content(spark, tmp_path):
     assert dict(readers.read_weather(spark, f"{tmp_path}/w.csv").dtypes) == {"ts": "timestamp_ntz", "temperature_x": "double", "cloud": "double"}
 
 
+def test_weather_text_columns_are_left_out_unless_named(spark, tmp_path):
+    put(tmp_path, "w.csv", "datetime,temperature_x,sky\n2025-01-01 00:00:00,1,clear\n2025-01-01 00:30:00,2,3\n")
+    assert readers.read_weather(spark, f"{tmp_path}/w.csv").columns == ["ts", "temperature_x"]
+    named = readers.read_weather(spark, f"{tmp_path}/w.csv", ["sky"], malformed="null").orderBy("ts")
+    assert [r.sky for r in named.collect()] == [None, 3.0]
+    with pytest.raises(PySparkException):
+        readers.read_weather(spark, f"{tmp_path}/w.csv", ["sky"]).collect()
+
+
+def test_headers_are_read_from_the_start_of_each_file(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(readers, "HEADER_BYTES", 8)
+    put(tmp_path, "a.csv", '"day, local",datetime,y\n' + "x,2025-01-01 00:00:00,1\n" * 1000)
+    put(tmp_path, "b.csv", "\ufeffdatetime,y\r\n2025-01-01 00:30:00,2\r\n")
+    put(tmp_path, "empty.csv", "datetime,y\n")
+    found = readers._headers(spark, f"{tmp_path}/*.csv")
+    assert [k for k, _ in found.items()] == [("datetime", "y"), ("day, local", "datetime", "y")]
+    assert [len(v) for v in found.values()] == [2, 1]
+    got = readers.read_series(spark, f"{tmp_path}/*.csv", ["y"]).orderBy("ts").collect()
+    assert [r.y for r in got] == [1.0, 2.0]
+    with pytest.raises(FileNotFoundError):
+        readers.read_series(spark, f"{tmp_path}/none*.csv", ["y"])
+
+
 def test_settled_tables_are_deleted(spark):
     paths = []
     df = shared.settle(spark.range(5), "x", paths)
