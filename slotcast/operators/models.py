@@ -1,15 +1,19 @@
 """Model fitting on Spark ML. One model is fitted on the pooled rows of all series.
 
-Fits are distributed over rows. Windows, folds and configurations are a handful of
-fits started from the driver; nothing but their settings passes through it.
+Fits are distributed over rows. Windows, folds and configurations are a handful of fits on one written
+table, started from the driver a few at a time; nothing but settings, target scales and leaf values passes through it.
 """
 
+import json
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
-from functools import reduce
+from functools import partial, reduce
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import inheritable_thread_target
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
@@ -18,13 +22,15 @@ from pyspark.sql import functions as F
 from slotcast.functions.regime import gate_blend, gate_weight, is_clean, is_low, soft_mixture
 from slotcast.functions.weights import recency_weight
 from slotcast.limits import Limits
-from slotcast.operators import tuning
+from slotcast.operators import leaves, tuning
+from slotcast.sources.shared import drop_tables, settle
 from slotcast.sources.writers import load_table, save_table
 
 # fixed values
 WINDOW_DAYS = (45, 60, 90, 180, 365, 730, 1460)
 MIN_WINDOW_ROWS = 256
 MIN_REGIME_ROWS = 100
+PARALLEL = 4
 
 
 @dataclass(frozen=True)
@@ -39,6 +45,7 @@ class TreeConfig:
     features: str = "all"
     seed: int = 42
     half_life_days: float = 180.0
+    refit: int = 10
 
 
 # Three differently shaped learners for the stack.
@@ -53,6 +60,21 @@ class TooFewRows(ValueError):
     """A model has too few rows to be fitted; callers may go on without it."""
 
 
+def in_parallel(spark: SparkSession, jobs: dict[str, Callable], workers: int = PARALLEL) -> dict:
+    """Results of independent jobs by name, a few at a time, each in a scheduler pool of its own."""
+
+    def run(name: str, job: Callable):
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", name)
+        try:
+            return job()
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
+    with ThreadPoolExecutor(max(1, min(workers, len(jobs)))) as pool:
+        futures = {name: pool.submit(inheritable_thread_target(spark)(partial(run, name, job))) for name, job in jobs.items()}
+        return {name: f.result() for name, f in futures.items()}
+
+
 def with_recency(df: DataFrame, half_life_days: float, out: str = "weight") -> DataFrame:
     """Weight of each row by its age against the newest row of its series."""
     newest = df.groupBy("series_id").agg(F.max("ts").alias("__newest"))
@@ -60,41 +82,92 @@ def with_recency(df: DataFrame, half_life_days: float, out: str = "weight") -> D
     return weighted.drop("__newest")
 
 
-def _stages(features: list[str], *estimators) -> Pipeline:
-    assembler = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="keep")
-    return Pipeline(stages=[assembler, estimators[0].setFeaturesCol("__x"), *estimators[1:]])
+def with_fold_recency(folded: DataFrame, half_life_days: float) -> DataFrame:
+    """``w1`` .. ``wn``: weight of each row by its age against the newest row of its series in the folds before 1 .. n."""
+    n = folded.agg(F.max("fold").alias("n")).first()["n"] or 0
+    newest = folded.groupBy("series_id").agg(F.array(*[F.max(F.when(F.col("fold") < k, F.col("ts"))) for k in range(1, n + 1)]).alias("__newest"))
+    weights = {f"w{k}": F.least(recency_weight("ts", F.get("__newest", F.lit(k - 1)), half_life_days), F.lit(1.0)) for k in range(1, n + 1)}
+    return folded.join(newest, "series_id").withColumns(weights).drop("__newest")
+
+
+def assembler(features: list[str]) -> VectorAssembler:
+    return VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="keep")
+
+
+def training_table(rows: DataFrame, features: list[str], y: str, keep: list[str], paths: list[str]) -> DataFrame:
+    """What fits read, written once: assembled features, target, and the columns that say which rows a fit takes."""
+    used = dict.fromkeys([y, *keep])
+    return settle(assembler(features).transform(rows).select("__x", *used), "training", paths)
 
 
-def _gbt(kind, c: TreeConfig, label: str, validation: str | None, out: str):
+def _gbt(kind, c: TreeConfig, label: str, validation: str | None, out: str, weight: str = "weight"):
     est = kind(
-        labelCol=label, predictionCol=out, weightCol="weight", maxIter=c.trees, maxDepth=c.depth, stepSize=c.step,
+        labelCol=label, predictionCol=out, weightCol=weight, maxIter=c.trees, maxDepth=c.depth, stepSize=c.step, featuresCol="__x",
         subsamplingRate=c.subsample, minInstancesPerNode=c.min_leaf, featureSubsetStrategy=c.features, seed=c.seed,
     )
     return est.setValidationIndicatorCol(validation) if validation else est
 
 
-def target_scale(df: DataFrame, y: str) -> tuple[float, float]:
-    """Median and spread between the 10 and 90 per cent quantiles; spread 1 for a constant target."""
-    low, center, high = df.agg(F.percentile_approx(y, [0.1, 0.5, 0.9], 10000).alias("q")).first()["q"] or (0.0, 0.0, 0.0)
+def _quantiles(y: str, inside=None):
+    value = F.col(y) if inside is None else F.when(inside, F.col(y))
+    return F.percentile_approx(value, [0.1, 0.5, 0.9], 10000)
+
+
+def _scale(quantiles) -> tuple[float, float]:
+    low, center, high = quantiles or (0.0, 0.0, 0.0)
     return float(center), float(high - low) or 1.0
 
 
+def target_scales(df: DataFrame, y: str, parts: dict) -> dict[str, tuple[float, float]]:
+    """Median and spread between the 10 and 90 per cent quantiles (1 for a constant target) of each part, in one pass."""
+    found = df.agg(*[_quantiles(y, inside).alias(str(i)) for i, inside in enumerate(parts.values())]).first()
+    return {name: _scale(q) for name, q in zip(parts, found)}
+
+
+def target_scale(df: DataFrame, y: str) -> tuple[float, float]:
+    return target_scales(df, y, {"all": F.lit(True)})["all"]
+
+
+def fit_table(
+    table: DataFrame, features: list[str], y: str, config: TreeConfig, scale: tuple[float, float], out: str = "pred",
+    validation: str | None = None, weight: str = "weight",
+) -> PipelineModel:
+    """Boosted trees on rows of a `training_table`; the pipeline starts from the feature columns.
+
+    A gradient of the absolute error is a sign, so a tree moves a forecast by one step of the
+    target's unit at most. The target is therefore fitted in units of its own spread. The leaves' values are
+    then fitted again to the residuals' medians, ``config.refit`` trees at a time (0: not at all).
+    """
+    center, spread = scale
+    scaled = table.withColumn("__y", (F.col(y) - center) / spread)
+    est = _gbt(GBTRegressor, config, "__y", validation, f"__{out}", weight).setLossType("absolute").setLeafCol(f"__leaves_{out}")
+    model = est.fit(scaled)
+    values = leaves.plain_values(model)
+    if config.refit:
+        paths: list[str] = []
+        held = F.col(validation) if validation else F.lit(False)
+        keyed = model.transform(scaled).select(
+            F.col("__y").alias("y"), F.col(weight).alias("weight"), leaves.leaf_array(f"__leaves_{out}").alias("leaves"), held.alias("held")
+        )
+        values = leaves.refit(settle(keyed, "leaves", paths), values, config.refit)
+        drop_tables(table.sparkSession, paths)
+    last = leaves.LeafValues(leavesCol=f"__leaves_{out}", outputCol=out, values=json.dumps(values), center=center, spread=spread)
+    return PipelineModel([assembler(features), model, last])
+
+
 def fit_trees(
     df: DataFrame, features: list[str], y: str = "y", config: TreeConfig = TreeConfig(), validation: str | None = None, out: str = "pred"
 ) -> PipelineModel:
-    """Weighted absolute-error boosted trees; rows flagged by ``validation`` stop it early.
+    """Weighted absolute-error boosted trees; rows flagged by ``validation`` stop it early and judge its leaf values.
 
-    A gradient of the absolute error is a sign, so a tree moves a forecast by one step of the
-    target's unit at most. The target is therefore fitted in units of its own spread, and the
-    pipeline's last stage turns forecasts back. A column ``weight`` in ``df`` is kept, else it
-    is the recency of the row.
+    A column ``weight`` in ``df`` is kept, else it is the recency of the row. The rows are written once, as many passes follow.
     """
     rows = df if "weight" in df.columns else with_recency(df, config.half_life_days)
-    center, spread = target_scale(rows, y)
-    scaled = rows.withColumn("__y", (F.col(y) - center) / spread)
-    est = _gbt(GBTRegressor, config, "__y", validation, f"__{out}").setLossType("absolute")
-    back = SQLTransformer(statement=f"SELECT *, `__{out}` * {spread!r}D + {center!r}D AS `{out}` FROM __THIS__")
-    return _stages(features, est, back).fit(scaled)
+    paths: list[str] = []
+    table = training_table(rows, features, y, ["weight"] + ([validation] if validation else []), paths)
+    fitted = fit_table(table, features, y, config, target_scale(table, y), out, validation)
+    drop_tables(df.sparkSession, paths)
+    return fitted
 
 
 def trees_of(model: PipelineModel):
@@ -102,9 +175,18 @@ def trees_of(model: PipelineModel):
     return next(s for s in model.stages if hasattr(s, "trees"))
 
 
+def leaf_values(model: PipelineModel) -> leaves.LeafValues:
+    """The stage that holds the leaf values."""
+    return next(s for s in model.stages if isinstance(s, leaves.LeafValues))
+
+
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Forecast column added, working columns dropped."""
-    return model.transform(df).drop("__x", *[f"__{s.getPredictionCol().removeprefix('__')}" for s in model.stages if hasattr(s, "trees") and s.getPredictionCol() != "__called"])
+    working = ["__x"]
+    for s in model.stages:
+        if hasattr(s, "trees") and s.getPredictionCol() != "__called":
+            working += [s.getPredictionCol(), s.getLeafCol()]
+    return model.transform(df).drop(*working)
 
 
 def fit_windows(
@@ -119,21 +201,25 @@ def fit_windows(
 ) -> dict[str, PipelineModel]:
     """One model per trailing window of clean rows before ``start``; short windows are skipped.
 
-    One pass counts the rows of every window.
+    All windows read one written table; one pass over it counts and scales them, and the fits run side by side.
     """
     origin = F.lit(str(start)).cast("timestamp_ntz")
-    clean = df.where((F.col("ts") < origin) & is_clean(y, limits))
 
     def inside(days: int):
         return F.col("ts") >= origin - F.make_dt_interval(days=F.lit(days))
 
-    counts = clean.agg(*[F.count_if(inside(d)).alias(f"n{d}") for d in windows]).first()
-    out = {}
+    paths: list[str] = []
+    clean = df.where((F.col("ts") < origin) & inside(max(windows)) & is_clean(y, limits))
+    table = training_table(with_recency(clean, config.half_life_days), features, y, ["ts", "weight"], paths)
+    found = table.agg(*[F.count_if(inside(d)).alias(f"n{d}") for d in windows], *[_quantiles(y, inside(d)).alias(f"q{d}") for d in windows]).first()
+    jobs = {}
     for i, d in enumerate(windows):
-        if (counts[f"n{d}"] or 0) >= min_rows:
-            name = f"trees_{d}d"
-            out[name] = fit_trees(clean.where(inside(d)), features, y, replace(config, seed=config.seed + i), out=name)
-    return out
+        if (found[f"n{d}"] or 0) >= min_rows:
+            own = replace(config, seed=config.seed + i)
+            jobs[f"trees_{d}d"] = partial(fit_table, table.where(inside(d)), features, y, own, _scale(found[f"q{d}"]), f"trees_{d}d")
+    fitted = in_parallel(df.sparkSession, jobs)
+    drop_tables(df.sparkSession, paths)
+    return fitted
 
 
 def score_all(models: dict[str, PipelineModel], df: DataFrame) -> DataFrame:
@@ -159,18 +245,42 @@ def day_folds(df: DataFrame, n: int = 5) -> DataFrame:
     return df.join(ranked, "date")
 
 
+def fold_jobs(table: DataFrame, features: list[str], configs: dict[str, TreeConfig], y: str, scales: dict, held: bool = False) -> dict[str, Callable]:
+    """The fits of all folds and configurations on one table with ``fold`` and ``w1`` ..; ``held``: fold k stops fit k early."""
+    jobs = {}
+    for k in range(1, len(scales) + 1):
+        rows = table.where(F.col("fold") <= k).withColumn("__held", F.col("fold") == k) if held else table.where(F.col("fold") < k)
+        for name, c in configs.items():
+            jobs[f"{k} {name}"] = partial(fit_table, rows, features, y, c, scales[f"fold{k}"], name, "__held" if held else None, f"w{k}")
+    return jobs
+
+
+def fit_folds(folded: DataFrame, features: list[str], configs: dict[str, TreeConfig], y: str, held: bool = False) -> dict[tuple[int, str], PipelineModel]:
+    """Models by fold and name; configurations of one half-life share one written table and one pass for the scales."""
+    fitted = {}
+    for half_life in dict.fromkeys(c.half_life_days for c in configs.values()):
+        paths: list[str] = []
+        weighted = with_fold_recency(folded, half_life)
+        weights = [c for c in weighted.columns if c not in folded.columns]
+        table = training_table(weighted, features, y, ["fold", *weights], paths)
+        scales = target_scales(table, y, {f"fold{k}": F.col("fold") < k for k in range(1, len(weights) + 1)})
+        same = {m: c for m, c in configs.items() if c.half_life_days == half_life}
+        found = in_parallel(folded.sparkSession, fold_jobs(table, features, same, y, scales, held))
+        fitted |= {(int(name.split(" ", 1)[0]), name.split(" ", 1)[1]): m for name, m in found.items()}
+        drop_tables(folded.sparkSession, paths)
+    return fitted
+
+
 def out_of_fold(folded: DataFrame, features: list[str], configs: dict[str, TreeConfig], y: str = "y") -> DataFrame:
     """Forecasts of every validation fold by models that saw only earlier folds, one column per model."""
-    n = folded.agg(F.max("fold").alias("n")).first()["n"]
-    parts = []
-    for k in range(1, n + 1):
-        train, test = folded.where(F.col("fold") < k), folded.where(F.col("fold") == k)
-        fitted = {name: fit_trees(train, features, y, c, out=name) for name, c in configs.items()}
-        parts.append(score_all(fitted, test))
+    fitted = fit_folds(folded, features, configs, y)
+    folds = sorted({k for k, _ in fitted})
+    parts = [score_all({m: fitted[k, m] for m in configs}, folded.where(F.col("fold") == k)) for k in folds]
     return reduce(DataFrame.unionByName, parts)
 
 
 def low_counts(df: DataFrame, y: str, limits: Limits):
+    """Rows of the low regime and of the other."""
     return df.agg(F.count_if(is_low(y, limits)).alias("low"), F.count_if(~is_low(y, limits)).alias("high")).first()
 
 
@@ -189,21 +299,37 @@ class TwoRegime:
     models: dict | None = None
 
     def fit(self, df: DataFrame, validation: str | None = None) -> "TwoRegime":
-        """Fit on all rows; both regimes need ``min_rows``. Rare events are weighted up, at most 20 times."""
-        n = low_counts(df, self.y, self.limits)
-        if min(n["low"], n["high"]) < self.min_rows:
-            raise TooFewRows(f"both regimes need at least {self.min_rows} rows, got {n['low']} and {n['high']}")
-        balance = min(max(n["high"] / n["low"], 1.0), 20.0)
+        """Fit on all rows; both regimes need ``min_rows``. Rare events are weighted up, at most 20 times.
+
+        Rows flagged by ``validation`` are not trained on: they stop all three fits early. The fits share one written
+        table and run side by side.
+        """
+        held = F.coalesce(F.col(validation), F.lit(False)) if validation else F.lit(False)
         low = is_low(self.y, self.limits)
-        flagged = with_recency(df, self.config.half_life_days).withColumn("__low", low.cast("double"))
-        boosted = flagged.withColumn("weight", F.col("weight") * F.when(F.col("__low") == 1, balance).otherwise(1.0))
-        clf = _gbt(GBTClassifier, self.config, "__low", validation, "__called")
+        flagged = with_recency(df, self.config.half_life_days).withColumns({"__low": low.cast("double"), "__held": held})
+        paths: list[str] = []
+        table = training_table(flagged, self.features, self.y, ["weight", "__low", "__held"], paths)
+        parts = {"low": F.col("__low") == 1} | ({"normal": F.col("__low") == 0} if self.fit_normal else {})
+        free = ~F.col("__held")
+        found = table.agg(
+            F.count_if(free & (F.col("__low") == 1)).alias("low"), F.count_if(free & (F.col("__low") == 0)).alias("high"),
+            *[F.count_if(F.col("__held") & inside).alias(f"held_{name}") for name, inside in parts.items()],
+            *[_quantiles(self.y, free & inside).alias(f"q_{name}") for name, inside in parts.items()],
+        ).first()
+        if min(found["low"], found["high"]) < self.min_rows:
+            raise TooFewRows(f"both regimes need at least {self.min_rows} rows, got {found['low']} and {found['high']}")
+        balance = min(max(found["high"] / found["low"], 1.0), 20.0)
+        stop = "__held" if validation and any(found[f"held_{name}"] for name in parts) else None
+        boosted = table.withColumn("weight", F.col("weight") * F.when(F.col("__low") == 1, balance).otherwise(1.0))
+        clf = _gbt(GBTClassifier, self.config, "__low", stop, "__called")
         clf = clf.setProbabilityCol("__probs").setRawPredictionCol("__raw")
-        self.models = {"classifier": _stages(self.features, clf).fit(boosted)}
-        parts = [("low", low)] + ([("normal", ~low)] if self.fit_normal else [])
-        kept = flagged.where(~F.col(validation)) if validation else flagged  # the age of a row is that in all rows
-        for name, cond in parts:
-            self.models[name] = fit_trees(kept.where(cond), self.features, self.y, self.config, None, f"{name}_pred")
+        jobs = {"classifier": lambda: PipelineModel([assembler(self.features), clf.fit(boosted)])}
+        for name, inside in parts.items():
+            # a fit is only stopped by held rows of its own regime
+            own = "__held" if found[f"held_{name}"] else None
+            jobs[name] = partial(fit_table, table.where(inside), self.features, self.y, self.config, _scale(found[f"q_{name}"]), f"{name}_pred", own)
+        self.models = in_parallel(df.sparkSession, jobs)
+        drop_tables(df.sparkSession, paths)
         return self
 
     def fit_calibrated(self, df: DataFrame, calibration_days: int = 365, min_counts=(512, 96, 100, 20)) -> "TwoRegime":

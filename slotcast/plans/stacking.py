@@ -6,7 +6,7 @@ is tuned on its own rows without a loop over series.
 """
 
 from dataclasses import dataclass, field, replace
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from slotcast.functions.regime import gate_blend, gate_weight, is_clean, project_states
 from slotcast.limits import Limits
 from slotcast.operators import blend, shape, similar, tuning
-from slotcast.operators.models import STACK_TREES, TreeConfig, TwoRegime, day_folds, best_iteration, fit_trees, score_all, trees_of
+from slotcast.operators.models import STACK_TREES, TreeConfig, TwoRegime, best_iteration, day_folds, fit_folds, fit_trees, in_parallel, score_all, trees_of
 from slotcast.operators.slotlinear import SlotLinear, fit_panel, predict_panel
 from slotcast.sources.shared import settle
 from slotcast.sources.writers import load_table, save_table
@@ -85,17 +85,23 @@ class Stack:
 
     def out_of_fold(self, folded: DataFrame) -> DataFrame:
         """Base forecasts of every validation fold from learners that saw only earlier folds."""
-        parts, self.history = [], []
-        for k in range(1, self.n_folds + 1):
+        spark, folds = folded.sparkSession, range(1, self.n_folds + 1)
+        models = fit_folds(folded, self.features, self.trees, self.y, held=True)
+        self.history = [(n, len(trees_of(m).trees)) for (_, n), m in models.items()]
+        regimes = in_parallel(spark, {f"regime {k}": partial(self._fold_regime, folded, k) for k in folds}, 2)
+        parts = []
+        for k in folds:
             train, test = folded.where(F.col("fold") < k), folded.where(F.col("fold") == k)
-            held = folded.where(F.col("fold") <= k).withColumn("__held", F.col("fold") == k)
-            models = {n: fit_trees(held, self.features, self.y, c, "__held", n) for n, c in self.trees.items()}
-            self.history += [(n, len(trees_of(m).trees)) for n, m in models.items()]
             linear = fit_panel(train, self.profile, self.scalar, self.y, **self.linear)
-            parts.append(self._components(train, test, models, self._new_regime().fit(train), linear))
+            parts.append(self._components(train, test, {n: models[k, n] for n in self.trees}, regimes[f"regime {k}"], linear))
         kept = ["series_id", "ts", "date", "cycle", "fold", self.y, *self.base, "prob", "low_pred"]
         return reduce(DataFrame.unionByName, [p.select(*kept) for p in parts])
 
+    def _fold_regime(self, folded: DataFrame, k: int) -> TwoRegime:
+        """The regime model of earlier folds, stopped early by fold ``k``."""
+        held = folded.where(F.col("fold") <= k).withColumn("__held", F.col("fold") == k)
+        return self._new_regime().fit(held, "__held")
+
     def _coefs(self, rows: DataFrame) -> DataFrame:
         """Per series and candidate: weights over all base forecasts, 0 for those not in it.
 
@@ -119,7 +125,8 @@ class Stack:
         history = df.sparkSession.createDataFrame(self.history, "model string, iterations int")
         best = {r["model"]: r["iterations"] for r in best_iteration(history, *self.iterations).collect()}
         final = {n: replace(c, trees=best[n]) for n, c in self.trees.items()}
-        self.models = {n: fit_trees(self.train, self.features, self.y, c, out=n) for n, c in final.items()}
+        spark = df.sparkSession
+        self.models = in_parallel(spark, {n: partial(fit_trees, self.train, self.features, self.y, c, out=n) for n, c in final.items()})
         self.slot_linear = fit_panel(self.train, self.profile, self.scalar, self.y, **self.linear)
         self.regime = self._new_regime().fit(self.train)
         return self
