@@ -146,3 +146,51 @@ def test_a_repeated_slot_neither_shifts_nor_completes_a_day(spark):
     assert full[0].targets == [99.0 if c == 3 else float(c) for c in range(48)]
     first = daily.daily_matrix(df, ["y"]).where("date = date'2025-01-01'").first()
     assert first.features == [99.0 if c == 3 else float(min(c, 46)) for c in range(48)]
+
+
+def plain_fit(x, y, alpha):
+    """The fit on all days at once: robust units, the penalised weights, back to the original units."""
+    (lx, hx), (ly, hy) = (np.quantile(a, [0.1, 0.9], axis=0) for a in (x, y))
+    sx, sy = np.where(hx - lx > 0, hx - lx, 1.0), np.where(hy - ly > 1e-6, hy - ly, 1.0)
+    xs, ys = x / sx, y / sy
+    w = slotlinear.shrink_rows(xs - xs.mean(axis=0), ys - ys.mean(axis=0), alpha) / sx[:, None] * sy
+    return w, y.mean(axis=0) - x.mean(axis=0) @ w
+
+
+@pytest.mark.parametrize("chunk", [7, 64])
+def test_slot_linear_equals_a_plain_fit(spark, monkeypatch, chunk):
+    monkeypatch.setattr(slotlinear, "CHUNK", chunk)
+    rng = np.random.default_rng(11)
+    rows, data = [], {}
+    for s, n in (("a", 60), ("b", 24), ("c", 9)):
+        x = rng.normal(500, 60, (n, 6))
+        x[:, 5] = 3.0
+        y = x[:, [0]] * np.linspace(0.5, 2, 48) - x[:, [1]] * 0.3 + rng.normal(0, 15, (n, 48))
+        y[:, 47] = 7.0
+        data[s] = (x, y)
+        rows += [(s, pd.Timestamp("2025-01-01").date() + pd.Timedelta(days=i), x[i].tolist(), y[i].tolist()) for i in range(n)]
+    days = spark.createDataFrame(rows, "series_id string, date date, features array<double>, targets array<double>").repartition(4)
+    windows, alphas, least, (lo, hi) = (30, None), (0.002, 0.05, 0.4), 20, (4, 6)
+    model = slotlinear.SlotLinear(windows, alphas, least, (lo, hi)).fit(days)
+    stored = {r.series_id: r for r in model.model.collect()}
+    assert set(stored) == {"a", "b"}  # c is too short
+    assert (stored["a"].members, stored["b"].members) == (2, 1)  # both windows of b are the same days
+    for s, r in stored.items():
+        x, y = data[s]
+        parts = []
+        for n in dict.fromkeys(len(x) if w is None else min(w, len(x)) for w in windows):
+            wx, wy, held = x[-n:], y[-n:], min(hi, max(lo, n // 6))
+            errors = []
+            for a in alphas:
+                w, b = plain_fit(wx[:-held], wy[:-held], a)
+                errors.append(np.abs(wy[-held:] - wx[-held:] @ w - b).mean())
+            best = int(np.argmin(errors))
+            parts.append((alphas[best], errors[best], *plain_fit(wx, wy, alphas[best])))
+        assert r.alphas == [p[0] for p in parts]
+        np.testing.assert_allclose(r.errors, [p[1] for p in parts], rtol=1e-4)
+        share = np.array([1 / p[1] for p in parts])
+        share /= share.sum()
+        np.testing.assert_allclose(np.array(r.coef).T, sum(q * p[2] for q, p in zip(share, parts)), atol=2e-3)
+        got = model.transform(days.where(F.col("series_id") == s)).orderBy("date").collect()
+        want = x @ sum(q * p[2] for q, p in zip(share, parts)) + sum(q * p[3] for q, p in zip(share, parts))
+        np.testing.assert_allclose([g.targets for g in got], want, rtol=1e-3)
