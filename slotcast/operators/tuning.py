@@ -1,13 +1,14 @@
 """Grids of thresholds scored in one pass: no row is multiplied by the grid.
 
-Every grid point is a conditional aggregate or an entry of an aggregated array, so a
-series leaves the shuffle as one row and the grid is unfolded after that.
+Every grid point is a conditional aggregate, an entry of an aggregated array or a prefix sum of the places where
+rows change, so what leaves the partial aggregation is bounded by series and grid, and the grid is unfolded after that.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotcast.functions.regime import gate_blend, gate_weight, is_clean, is_low
+from slotcast.functions.numeric import clip
+from slotcast.functions.regime import is_clean, is_low
 from slotcast.limits import Limits
 
 # fixed values: the default grids
@@ -59,6 +60,52 @@ def best_threshold(sweep: DataFrame, max_fpr: float = 0.0025, off: float = 1.1)
     return sweep.groupBy("series_id").agg(F.coalesce(best, F.lit(off)).alias("threshold"), F.count_if(ok).alias("admissible"))
 
 
+def count_below(value: Column, steps: list[float], strict: bool = False, lo: int = 0, hi: int | None = None) -> Column:
+    """How many of the ascending ``steps`` are at or below ``value`` (``strict``: below it), by halving."""
+    hi = len(steps) if hi is None else hi
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    under = F.lit(steps[mid]) < value if strict else F.lit(steps[mid]) <= value
+    return F.when(under, count_below(value, steps, strict, mid + 1, hi)).otherwise(count_below(value, steps, strict, lo, mid))
+
+
+def _error_steps(ramp: float, steps: list[float]) -> Column:
+    """Where a row's error changes its course along the thresholds: structs of index, constant and slope to add from there.
+
+    Up to threshold ``p - ramp`` the low forecast counts in full, from ``p + ramp`` on not at all. Between them the
+    residual is a line in the threshold, so its size is one or two lines. Row columns: p, off (y - normal), gap (low - normal).
+    """
+    p, off, gap = F.col("__p"), F.col("__off"), F.col("__gap")
+    gated, free = F.abs(off - gap), F.abs(off)
+
+    def entry(at, constant, slope=F.lit(0.0)):
+        return F.struct(F.lit(at).cast("int").alias("k") if isinstance(at, int) else at.cast("int").alias("k"), constant.alias("c"), slope.alias("s"))
+
+    start = count_below(p - ramp, steps)
+    if ramp <= 0:
+        return F.array(entry(0, gated), entry(start, free - gated))
+    stop = count_below(p + ramp, steps, strict=True)
+    slope = gap / (2 * ramp)
+    base = off - gap * (p + ramp) / (2 * ramp)
+    turn = F.when(slope != 0, -base / slope)
+    bend = F.greatest(start, F.least(stop, F.coalesce(count_below(turn, steps, strict=True), start)))
+    between = start < stop
+    before = F.when(between, -F.signum(slope)).otherwise(0.0)
+    after = F.when(between, F.when(slope == 0, F.signum(base)).otherwise(F.signum(slope))).otherwise(0.0)
+    return F.array(
+        entry(0, gated),
+        entry(start, before * base - gated, before * slope),
+        entry(bend, (after - before) * base, (after - before) * slope),
+        entry(stop, free - after * base, -after * slope),
+    )
+
+
+def _labelled(ramp: int):
+    """Adds the number of the ramp to a struct of `_error_steps`."""
+    return lambda e: F.struct(F.lit(ramp).alias("r"), e["k"].alias("k"), e["c"].alias("c"), e["s"].alias("s"))
+
+
 def gate_grid(
     df: DataFrame,
     y: str = "y",
@@ -71,21 +118,42 @@ def gate_grid(
 ) -> DataFrame:
     """Per series, threshold and ramp: clean, overall and low-regime error of the gated blend.
 
-    Row with NULL threshold: no gate.
+    Row with NULL threshold: no gate. Along the thresholds a row's error is made of lines with at most three breaks.
+    Only those are summed, per series, ramp and index; prefix sums over the few indices give all errors. So the work per row
+    does not grow with the number of thresholds. A threshold above 1 switches the gate off.
     """
-    rows = df.dropna(subset=[y, normal, low, prob])
-    clean, is_event = is_clean(y, limits), is_low(y, limits)
-
-    def point(t, r, pred: Column) -> Column:
-        e = F.abs(F.col(y) - pred)
-        return F.struct(
-            F.lit(t).cast("double").alias("threshold"), F.lit(r).cast("double").alias("ramp"),
-            F.avg(F.when(clean, e)).alias("clean_mae"), F.avg(e).alias("overall_mae"), F.avg(F.when(is_event, e)).alias("low_mae"),
-        )
-
-    points = [point(None, None, F.col(normal))]
-    points += [point(t, r, gate_blend(normal, low, gate_weight(prob, t, r), limits)) for t in thresholds for r in ramps]
-    return rows.groupBy("series_id").agg(F.array(*points).alias("g")).select("series_id", F.inline("g"))
+    steps = sorted({float(t) for t in thresholds if t <= 1.0})
+    rows = df.dropna(subset=[y, normal, low, prob]).select(
+        "series_id", F.col(prob).cast("double").alias("__p"), (F.col(y) - F.col(normal)).alias("__off"),
+        (clip(low, 0.0, limits.low) - F.col(normal)).alias("__gap"), is_clean(y, limits).alias("__clean"), is_low(y, limits).alias("__low"),
+    )
+    kinds = {"overall": F.lit(True), "clean": F.col("__clean"), "low": F.col("__low")}
+    totals = rows.groupBy("series_id").agg(
+        *[F.count_if(inside).alias(f"n_{k}") for k, inside in kinds.items()],
+        *[F.sum(F.when(inside, F.abs("__off"))).alias(f"e_{k}") for k, inside in kinds.items()],
+    )
+    base = totals.select(
+        "series_id", F.lit(None).cast("double").alias("threshold"), F.lit(None).cast("double").alias("ramp"),
+        *[(F.col(f"e_{k}") / F.nullif(F.col(f"n_{k}"), F.lit(0))).alias(f"{k}_mae") for k in ("clean", "overall", "low")],
+    )
+    courses = [F.transform(_error_steps(float(r), steps), _labelled(i)) for i, r in enumerate(ramps)]
+    breaks = rows.select("series_id", "__clean", "__low", F.explode(F.concat(*courses)).alias("e")).where(F.col("e.k") < len(steps))
+    added = breaks.groupBy("series_id", F.col("e.r").alias("r"), F.col("e.k").alias("k")).agg(
+        *[F.sum(F.when(inside, F.col(f"e.{x}"))).alias(f"{x}_{k}") for k, inside in kinds.items() for x in ("c", "s")]
+    )
+    places = F.explode(F.expr(f"sequence(k, {len(steps) - 1})"))
+    summed = added.withColumn("j", places).groupBy("series_id", "r", "j").agg(*[F.sum(f"{x}_{k}").alias(f"{x}_{k}") for k in kinds for x in ("c", "s")])
+    at = F.get(F.array(*[F.lit(t) for t in steps]), F.col("j"))
+    ramp_of = F.get(F.array(*[F.lit(float(r)) for r in ramps]), F.col("r"))
+    points = summed.join(totals, "series_id").select(
+        "series_id", at.alias("threshold"), ramp_of.alias("ramp"),
+        *[((F.col(f"c_{k}") + F.col(f"s_{k}") * at) / F.nullif(F.col(f"n_{k}"), F.lit(0))).alias(f"{k}_mae") for k in ("clean", "overall", "low")],
+    )
+    out = base.unionByName(points)
+    for t in (float(t) for t in thresholds if t > 1.0):
+        for r in ramps:
+            out = out.unionByName(base.withColumns({"threshold": F.lit(t), "ramp": F.lit(float(r))}))
+    return out
 
 
 def best_gate(grid: DataFrame, clean_slack: float = 2.5, off: float = 1.1, off_ramp: float = 0.05) -> DataFrame:

@@ -70,6 +70,32 @@ def test_gate_grid_against_a_loop(rows):
     assert (chosen.threshold, chosen.ramp) == pick and pick[0] < 1
 
 
+def test_gate_grid_at_breaks_and_without_them(spark):
+    rng = np.random.default_rng(3)
+    n = 500
+    pdf = pd.DataFrame({
+        "series_id": np.where(np.arange(n) < 450, "a", "b"), "y": rng.choice([100.0, 400.0, 900.0, 2600.0], n), "normal": rng.choice([100.0, 450.0, 1000.0], n),
+        "low_pred": rng.choice([-50.0, 100.0, 450.0, 700.0], n), "prob": rng.choice([0.0, 0.15, 0.3, 0.31, 0.5, 0.7, 1.0, *rng.random(5)], n),
+    })
+    thresholds, ramps = (0.7, 0.15, 0.3, 0.31, 1.2), (0.0, 0.02, 0.15, 0.4)
+    gaps = pdf.head(1).assign(prob=None)
+    df = spark.createDataFrame(pd.concat([pdf, gaps])).withColumn("prob", F.when(~F.isnan("prob"), F.col("prob")))
+    grid = tuning.gate_grid(df, thresholds=thresholds, ramps=ramps).toPandas()
+    assert len(grid) == 2 * (1 + len(thresholds) * len(ramps))
+    for s, g in pdf.groupby("series_id"):
+        y, low = g["y"], g["low_pred"].clip(0, 500)
+        groups = {"overall_mae": y > -1, "clean_mae": (y > 500) & (y < 2500), "low_mae": y <= 500}
+        for t in thresholds:
+            for r in ramps:
+                w = 0.0 * y if t > 1 else (g["prob"] >= t).astype(float) if r == 0 else ((g["prob"] - (t - r)) / (2 * r)).clip(0, 1)
+                e = (y - ((1 - w) * g["normal"] + w * low)).abs()
+                row = grid[(grid["series_id"] == s) & (grid["threshold"] == t) & (grid["ramp"] == r)].iloc[0]
+                for name, inside in groups.items():
+                    assert row[name] == pytest.approx(e[inside].mean(), abs=1e-7)
+        off = grid[(grid["series_id"] == s) & grid["threshold"].isna()].iloc[0]
+        assert off["overall_mae"] == pytest.approx((y - g["normal"]).abs().mean())
+
+
 def test_threshold_sweep_against_a_loop(rows):
     pdf, df = rows
     sweep = tuning.threshold_sweep(df, rg.is_low("y"), "prob")
