@@ -13,9 +13,10 @@ writes a few MB at a time and begins a new file after `FILE_BYTES`. File names a
 attempt; the manifest, written as a table, names the files that count, so what a lost executor
 leaves behind is never read. The ids before a file follow from the manifest in two levels of sums.
 
-Encoding is the tokenizers library's. The vocabulary's pattern never crosses white space or joins a letter with a
-closing sign, and neither does its normalisation, so a text is cut at spaces and line feeds, each distinct
-piece is encoded once, words of letters many at a time, and kept in a bounded table. Memory follows `SLICE` characters or the longest run without a blank.
+Encoding is the tokenizers library's. The vocabulary's pattern never crosses white space, and neither does its
+normalisation, so a text is cut at spaces and line feeds, and each distinct piece is kept in a bounded table. A new
+piece is cut into runs of letters, digits and runs of signs, as the pattern does; the library encodes
+those that are new too, words many at a time. Memory follows `SLICE` characters or the longest run without a blank.
 
 Null ids come first, rows of one id by the hash of their text; a null or empty text is the end id
 alone. Repeated rows each have a record. An empty table makes no files and no rows. Other columns are ignored.
@@ -24,6 +25,8 @@ alone. Repeated rows each have a record. An empty table makes no files and no ro
 from __future__ import annotations
 
 import functools
+import os
+import re
 import struct
 import uuid
 import zlib
@@ -42,13 +45,15 @@ FILE_BYTES = 64 << 20
 FLUSH = 2 << 20
 SLICE = 1 << 18
 KEPT = 64
-TABLE = 600_000
-SIGNS = ".,;:!?"
+TABLE = 800_000
 HEAD = struct.Struct("<qIBBxx")
 ENTRY = np.dtype([("offset", "<u8"), ("length", "<u8")])
 MANIFEST = "part int, seq int, path string, n_records long, n_tokens long, bytes long"
 FILES_PER_SUM = 1024
 
+# Letters and digits up to U+00FF, as the vocabulary's pattern classes them.
+_PARTS = re.compile("[A-Za-zªµºÀ-ÖØ-öø-ÿ]+|[0-9²³¹¼½¾]|[^A-Za-zªµºÀ-ÖØ-öø-ÿ0-9²³¹¼½¾]+")
+
 # The reflected polynomial of CRC-32C and the constant of the mask.
 POLYNOMIAL = 0x82F63B78
 MASK_DELTA = 0xA282EAD8
@@ -134,33 +139,38 @@ def unframe(found: list[bytes]) -> list[bytes]:
 
 
 class _Known(dict):
-    """Ids by piece; `new` collects the pieces looked up in vain."""
+    """Ids by piece, those of a full earlier table while they are asked for; `new` collects pieces looked up in vain."""
 
-    def __init__(self, new=()):
+    def __init__(self, earlier: dict[str, bytes]):
         super().__init__({"": b""})
-        self.new = set(new)
+        self.earlier, self.new = earlier, set()
 
-    def __missing__(self, piece: str) -> bytes:
-        self.new.add(piece)
-        return b""
+    def __missing__(self, piece: str) -> bytes | None:
+        ids = self.earlier.get(piece)
+        if ids is None:
+            self.new.add(piece)
+        else:
+            self[piece] = ids
+        return ids
 
 
 class Encoder:
     """Ids of whole texts by the tokenizers library, each distinct piece between blanks once."""
 
     def __init__(self, path: str):
+        # Spark runs a worker per core, threads of the library's own would compete with them
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
         self.kind = np.dtype("<u2" if self.library.get_vocab_size(True) <= 1 << 16 else "<u4")
-        self.known = _Known()
+        self.known = _Known({})
         self.ending = np.zeros(self.library.get_vocab_size(True), dtype=bool)
         self.ending[[i for t, i in self.library.get_vocab(False).items() if t.endswith("</w>")]] = True
-        if self._library_ids(["a a", "a,"]) != [b"".join(self._library_ids(["a", x])) for x in ("a", ",")]:
-            raise ValueError("the vocabulary joins pieces across blanks or signs")
-        self.signs = {"": b""} | dict(zip(SIGNS, self._library_ids(list(SIGNS)), strict=True))
+        if self._library_ids(["a a", "A1,", "a", "1", ","])[:2] != [b"".join(self._library_ids(x)) for x in (["a", "a"], ["a", "1", ","])]:
+            raise ValueError("the vocabulary does not fold case or joins what stands apart here")
 
     def _library_ids(self, pieces: list[str]) -> list[bytes]:
         return [np.array(f.ids, self.kind).tobytes() for f in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
@@ -174,26 +184,34 @@ class Encoder:
         data, cuts = ids.tobytes(), (ends * self.kind.itemsize).tolist()
         return [data[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
 
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """A word of letters and one closing sign are encoded apart; up to U+00FF its case is folded before."""
-        parts, words, others = {}, set(), set()
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Pieces up to U+00FF are lower-cased and cut where the pattern cuts them; apostrophes and special tokens go whole."""
+        known, earlier = self.known, self.known.earlier
+        cut, needed, whole = {}, set(), []
         for piece in pieces:
-            word, sign = (piece[:-1], piece[-1]) if piece[-1] in SIGNS else (piece, "")
-            if word.isalpha():
-                word = word.lower() if max(word) < "\u0100" else word
-                words.add(word)
-                parts[piece] = (word, sign)
+            plain = piece.isascii() or max(piece) < "\u0100"
+            if piece.isalpha():
+                found = (piece.lower() if plain else piece,)
+            elif plain and piece.isprintable() and "'" not in piece and "<|" not in piece:
+                found = _PARTS.findall(piece.lower())
+            else:
+                whole.append(piece)
+                continue
+            cut[piece] = found
+            needed.update(found)
+        ready, words, signs = {}, [], []
+        for part in needed:
+            ids = known[part] if part in known else earlier.get(part)
+            if ids is None:
+                (words if part.isalpha() else signs).append(part)
             else:
-                others.add(piece)
-                parts[piece] = (piece, "")
-        known = self.known
-        new_words, new_others = sorted(w for w in words if w not in known), sorted(others)
-        found = dict(zip(new_words, self._word_ids(new_words), strict=True)) if new_words else {}
-        if new_others:
-            found.update(zip(new_others, self._library_ids(new_others), strict=True))
-        out = {w: b for w, b in found.items() if len(w) <= KEPT}
-        for piece, (word, sign) in parts.items():
-            out[piece] = (found[word] if word in found else known[word]) + self.signs[sign]
+                ready[part] = ids
+        out = dict(zip(words, self._word_ids(words), strict=True)) if words else {}
+        if signs or whole:
+            out.update(zip(signs + whole, self._library_ids(signs + whole), strict=True))
+        ready.update(out)
+        for piece, found in cut.items():
+            out[piece] = ready[found[0]] if len(found) == 1 else b"".join([ready[x] for x in found])
         return out
 
     def ids(self, text: str) -> bytes:
@@ -205,13 +223,13 @@ class Encoder:
             at = end
             found = list(map(self.known.__getitem__, pieces))
             if self.known.new:
-                if len(self.known) + 2 * len(self.known.new) > TABLE:
-                    self.known = _Known(set(pieces) - {""})
-                learnt = self._learn(list(self.known.new))
-                self.known.new.clear()
+                new, self.known.new = self.known.new, set()
+                learnt = self._learn(new)
+                for i in [i for i, b in enumerate(found) if b is None]:
+                    found[i] = learnt[pieces[i]]
                 self.known.update((p, b) for p, b in learnt.items() if len(p) <= KEPT)
-                known = self.known
-                found = [known[p] if p in known else learnt[p] for p in pieces]
+                if len(self.known) > TABLE:
+                    self.known = _Known(dict(self.known))
             out.append(b"".join(found))
         return b"".join(out)
 
