@@ -31,11 +31,13 @@ WINDOW_DAYS = (45, 60, 90, 180, 365, 730, 1460)
 MIN_WINDOW_ROWS = 256
 MIN_REGIME_ROWS = 100
 PARALLEL = 4
+# trees a block in the production settings
+REFIT = 10
 
 
 @dataclass(frozen=True)
 class TreeConfig:
-    """Settings of one boosted-tree fit with absolute loss."""
+    """Settings of one boosted-tree fit with absolute loss; ``refit``: trees a block whose leaves get medians, 0 for none."""
 
     trees: int = 100
     depth: int = 5
@@ -45,14 +47,14 @@ class TreeConfig:
     features: str = "all"
     seed: int = 42
     half_life_days: float = 180.0
-    refit: int = 10
+    refit: int = 0
 
 
 # Three differently shaped learners for the stack.
 STACK_TREES = {
-    "deep": TreeConfig(depth=8, step=0.05, min_leaf=20, features="0.8", half_life_days=730.0),
-    "sampled": TreeConfig(depth=6, step=0.05, subsample=0.8, features="0.7", half_life_days=730.0),
-    "shallow": TreeConfig(depth=4, step=0.1, half_life_days=730.0),
+    "deep": TreeConfig(depth=8, step=0.05, min_leaf=20, features="0.8", half_life_days=730.0, refit=REFIT),
+    "sampled": TreeConfig(depth=6, step=0.05, subsample=0.8, features="0.7", half_life_days=730.0, refit=REFIT),
+    "shallow": TreeConfig(depth=4, step=0.1, half_life_days=730.0, refit=REFIT),
 }
 
 
@@ -195,7 +197,7 @@ def fit_windows(
     start,
     windows=WINDOW_DAYS,
     y: str = "y",
-    config: TreeConfig = TreeConfig(),
+    config: TreeConfig = TreeConfig(refit=REFIT),
     min_rows: int = MIN_WINDOW_ROWS,
     limits: Limits = Limits(),
 ) -> dict[str, PipelineModel]:
@@ -290,7 +292,7 @@ class TwoRegime:
 
     features: list[str]
     y: str = "y"
-    config: TreeConfig = TreeConfig(depth=6, step=0.1)
+    config: TreeConfig = TreeConfig(depth=6, step=0.1, refit=REFIT)
     fit_normal: bool = True
     min_rows: int = MIN_REGIME_ROWS
     limits: Limits = Limits()

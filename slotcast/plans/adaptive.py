@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from slotcast.functions.numeric import dot, row_median
 from slotcast.limits import Limits
 from slotcast.operators import calibrate
-from slotcast.operators.models import TooFewRows, TreeConfig, TwoRegime, WINDOW_DAYS, fit_windows, score_all
+from slotcast.operators.models import REFIT, TooFewRows, TreeConfig, TwoRegime, WINDOW_DAYS, fit_windows, score_all, trees_of
 from slotcast.operators.slotlinear import SlotLinear, fit_panel, predict_panel
 from slotcast.sources.shared import settle
 from slotcast.sources.writers import load_table, save_table
@@ -37,7 +37,7 @@ class Adaptive:
     y: str = "y"
     reveal_lag_days: int = 2
     online_days: int = 28
-    config: TreeConfig = TreeConfig()
+    config: TreeConfig = TreeConfig(refit=REFIT)
     linear: dict = field(default_factory=dict)
     limits: Limits = Limits()
     trees: dict[str, PipelineModel] = field(default_factory=dict)
@@ -157,6 +157,13 @@ class Adaptive:
             "regime_features": self.regime.features if self.regime else [], "regime_config": asdict(self.regime.config) if self.regime else {},
         }
 
+    def tuned(self) -> dict:
+        """What the fit chose."""
+        return {
+            "iterations": {n: len(trees_of(m).trees) for n, m in self.trees.items()},
+            "threshold": self.regime.threshold if self.regime else None, "ramp": self.regime.ramp if self.regime else None,
+        }
+
     def save(self, path: str, spark: SparkSession) -> None:
         """Models as Spark ML directories, all settings and the linear weights as tables."""
         for name, m in self.trees.items():

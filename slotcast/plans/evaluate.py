@@ -17,9 +17,13 @@ def evaluate(
     """Tables ``summary``, ``by_cycle``, ``by_month``, ``predictions`` and, with a gate, ``events``.
 
     ``summary`` has the overall metrics, whether the target is met and, with ``lag``, the
-    seasonal-naive error. With ``out`` they are written there.
+    seasonal-naive error. With ``out`` they are written there; the forecasts, which may come from models, are
+    then computed once and read back by every table.
     """
-    rows = df.withColumn(pred, publishable(pred, limits))
+    used = dict.fromkeys(c for c in ("series_id", "ts", "date", "cycle", y, pred, lag, weight, prob) if c)
+    rows = df.withColumn(pred, publishable(pred, limits)).select(*used)
+    if out:
+        rows = settle(rows, "forecasts")
     full = metrics.report(rows, y, pred, weight, limits)
     if out:
         full = settle(full, "metrics")

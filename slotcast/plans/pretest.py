@@ -10,7 +10,7 @@ from slotcast.functions.numeric import row_median
 from slotcast.functions.regime import cap_snap, publishable
 from slotcast.limits import SLOTS, Limits
 from slotcast.operators import calibrate, metrics
-from slotcast.operators.models import TooFewRows, TreeConfig, TwoRegime, WINDOW_DAYS, fit_windows, score_all
+from slotcast.operators.models import REFIT, TooFewRows, TreeConfig, TwoRegime, WINDOW_DAYS, fit_windows, score_all
 from slotcast.operators.policy import training_rows
 from slotcast.operators.slotlinear import fit_panel, predict_panel
 from slotcast.sources.shared import settle
@@ -127,7 +127,7 @@ def best_per_year(m: DataFrame, mae: float = metrics.TARGET_MAE, wmape: float =
 
 def base_predictions(
     history: DataFrame, year: DataFrame, features: list[str], start, profile: list[str], scalar: list[str] = [],
-    windows=WINDOW_DAYS, y: str = "y", config: TreeConfig = TreeConfig(), regime: TwoRegime | None = None,
+    windows=WINDOW_DAYS, y: str = "y", config: TreeConfig = TreeConfig(refit=REFIT), regime: TwoRegime | None = None,
     linear: dict | None = None, reveal_lag_days: int = 2, limits: Limits = Limits(), **kw,
 ) -> tuple[DataFrame, list[str]]:
     """Window models, their median and trailing blend, the daily linear model and gated variants, as columns.

@@ -10,6 +10,13 @@ from slotcast.plans.features import FeatureSpec, add_features
 from slotcast.sources.shared import settle
 
 HISTORY_DAYS = 70
+# the longest stretch that is no parameter: rain over 30 days, a day back
+RAIN_DAYS = 31
+
+
+def look_back_days(spec: FeatureSpec) -> int:
+    """Days before a day that its features can reach."""
+    return max(RAIN_DAYS, spec.quantile_days, *spec.lag_days, *spec.weekly, *spec.load_forecast) + 2
 
 
 def origin_ts(origin_date, cutoff: int) -> Column:
@@ -57,12 +64,15 @@ def forecast_day(
 ) -> DataFrame:
     """``series_id, ts, cycle, pred, prob, alert`` for the day after ``origin_date``.
 
-    Raises when the history is stale or a feature of the target day is missing.
+    Reads the panel no further back than the features of its history reach. Raises when the history is stale or a
+    feature of the target day is missing.
     """
     if check:
         policy.require_fresh(panel, origin_ts(origin_date, spec.cutoff), spec.y)
-    full = add_features(future_frame(panel, origin_date, calendar, y=spec.y, cutoff=spec.cutoff), spec)
-    recent = F.col("date") >= F.date_sub(F.lit(str(origin_date)).cast("date"), HISTORY_DAYS)
+    origin = F.lit(str(origin_date)).cast("date")
+    needed = panel.where(F.col("date") >= F.date_sub(origin, HISTORY_DAYS + look_back_days(spec)))
+    full = add_features(future_frame(needed, origin_date, calendar, y=spec.y, cutoff=spec.cutoff), spec)
+    recent = F.col("date") >= F.date_sub(origin, HISTORY_DAYS)
     used = dict.fromkeys(["series_id", "ts", "date", "cycle", spec.y, *model.inputs])
     full = settle(full.where(recent).select(*used), "day-ahead")
     target, history = split_day(full, model.features, origin_date, spec.y)

@@ -5,7 +5,8 @@ bounds and the state projection are tables with one entry per series, so each se
 is tuned on its own rows without a loop over series.
 """
 
-from dataclasses import dataclass, field, replace
+import json
+from dataclasses import asdict, dataclass, field, replace
 from functools import partial, reduce
 
 from pyspark.ml import PipelineModel
@@ -15,11 +16,12 @@ from pyspark.sql import functions as F
 from slotcast.functions.regime import gate_blend, gate_weight, is_clean, project_states
 from slotcast.limits import Limits
 from slotcast.operators import blend, shape, similar, tuning
-from slotcast.operators.models import STACK_TREES, TreeConfig, TwoRegime, best_iteration, day_folds, fit_folds, fit_trees, in_parallel, score_all, trees_of
+from slotcast.operators.models import REFIT, STACK_TREES, TreeConfig, TwoRegime, best_iteration, day_folds, fit_folds, fit_trees, in_parallel, score_all, trees_of
 from slotcast.operators.slotlinear import SlotLinear, fit_panel, predict_panel
 from slotcast.sources.shared import settle
 from slotcast.sources.writers import load_table, save_table
 
+SHOWN = 1000
 STATES = {
     "coef": ("coef", "candidate"), "bias": ("cycle", "slot_bias"), "gate": ("threshold", "ramp"),
     "bounds": ("normal_lo", "gate_hi"), "guard": ("guard_on",),
@@ -43,7 +45,7 @@ class Stack:
     scalar: list[str] = field(default_factory=list)
     y: str = "y"
     trees: dict[str, TreeConfig] = field(default_factory=lambda: dict(STACK_TREES))
-    regime_config: TreeConfig = TreeConfig(depth=6, half_life_days=730.0)
+    regime_config: TreeConfig = TreeConfig(depth=6, half_life_days=730.0, refit=REFIT)
     n_folds: int = 5
     neighbours: int = similar.NEIGHBOURS
     selection_share: float = 0.8
@@ -196,8 +198,21 @@ class Stack:
         states = project_states("pred", "weight", *[F.col(c) for c in ("lower_cut", "cap_cut", "lower_value", "cap_value")])
         return j.withColumn("pred", states).drop("lower_cut", "cap_cut", "lower_value", "cap_value")
 
+    def settings(self) -> dict:
+        """Everything but the fitted parts, as plain values."""
+        plain = ("features", "profile", "scalar", "y", "n_folds", "neighbours", "selection_share", "linear", "levels", "bounds", "min_regime_rows")
+        pairs = ("thresholds", "ramps", "lower_cuts", "cap_cuts", "iterations")
+        return {k: getattr(self, k) for k in plain} | {k: list(getattr(self, k)) for k in pairs} | {
+            "trees": {n: asdict(c) for n, c in self.trees.items()}, "regime_config": asdict(self.regime_config), "limits": asdict(self.limits),
+        }
+
+    def tuned(self) -> dict:
+        """What the fit chose, by table; the weights, gates, cuts and guards of at most ``SHOWN`` series."""
+        shown = {n: [r.asDict() for r in t.orderBy("series_id").limit(SHOWN).collect()] for n, t in self.states.items() if n not in ("bias", "bounds")}
+        return shown | {"iterations": {n: len(trees_of(m).trees) for n, m in self.models.items()}, "threshold": self.regime.threshold}
+
     def save(self, path: str, spark: SparkSession) -> None:
-        """Learners as Spark ML directories, everything tuned as tables."""
+        """Learners as Spark ML directories, everything tuned as tables, the settings last."""
         for n, m in self.models.items():
             m.write().overwrite().save(f"{path}/trees/{n}")
         self.regime.save(f"{path}/regime", spark)
@@ -205,12 +220,20 @@ class Stack:
         save_table(self.train, f"{path}/train")
         for n, t in self.states.items():
             save_table(t, f"{path}/state/{n}")
-
-    def load(self, path: str, spark: SparkSession) -> "Stack":
-        """Read what ``save`` wrote into a stack of the same settings; ``TypeError`` for anything else."""
-        self.states = {n: load_table(spark, f"{path}/state/{n}", {"series_id", *cols}) for n, cols in STATES.items()}
-        self.models = {n: PipelineModel.load(f"{path}/trees/{n}") for n in self.trees}
-        self.regime = self._new_regime().load(f"{path}/regime", spark)
-        self.slot_linear = SlotLinear(model=load_table(spark, f"{path}/linear", {"coef", "intercept"}))
-        self.train = load_table(spark, f"{path}/train", {"series_id", "ts", self.y})
-        return self
+        save_table(spark.createDataFrame([(json.dumps(self.settings()),)], "settings string"), f"{path}/settings")
+
+    @classmethod
+    def load(cls, path: str, spark: SparkSession) -> "Stack":
+        """Read what ``save`` wrote, settings included; ``TypeError`` for anything else."""
+        s = json.loads(load_table(spark, f"{path}/settings", {"settings"}).first()["settings"])
+        for k in ("thresholds", "ramps", "lower_cuts", "cap_cuts", "iterations"):
+            s[k] = tuple(s[k])
+        s |= {"trees": {n: TreeConfig(**c) for n, c in s["trees"].items()}, "regime_config": TreeConfig(**s["regime_config"]), "limits": Limits(**s["limits"])}
+        out = cls(**s)
+        out.linear = {k: tuple(v) if isinstance(v, list) else v for k, v in out.linear.items()}
+        out.states = {n: load_table(spark, f"{path}/state/{n}", {"series_id", *cols}) for n, cols in STATES.items()}
+        out.models = {n: PipelineModel.load(f"{path}/trees/{n}") for n in out.trees}
+        out.regime = out._new_regime().load(f"{path}/regime", spark)
+        out.slot_linear = SlotLinear(model=load_table(spark, f"{path}/linear", {"coef", "intercept"}))
+        out.train = load_table(spark, f"{path}/train", {"series_id", "ts", out.y})
+        return out

@@ -1,24 +1,27 @@
 """Fitted models. A learner's numbers are its own, so what must hold of them is what is compared with SQL:
 
-which rows have forecasts, in which bounds, that more trees fit better, that a saved model forecasts alike.
+that they equal what the saved parts give when put together by joins, that they have less error than a naive forecast,
+that more trees fit better, that a saved model forecasts alike.
 """
 
 from dataclasses import replace
+from functools import partial
 
 from pyspark.sql import functions as F
 
-from slotcast.operators import blend, models, policy, slotlinear
+from slotcast.operators import blend, calibrate, daily, leaves, models, policy, slotlinear
 from slotcast.plans import adaptive, serve, stacking
 from slotcast.plans.features import FeatureSpec, add_features
-from slotcast.registry.base import LIMITS, PANEL, ROWS, big, event_panel, event_rows, query, text, with_ctes
+from slotcast.registry.base import LIMITS, ROWS, big, event_panel, event_rows, num, query, with_ctes
+from slotcast.registry.shaping import CAPS, LOWER
 from slotcast.registry.sweeps import _ridge
 from slotcast.sources.shared import new_path, settle
 
 L = LIMITS
-SMALL = models.TreeConfig(trees=10, depth=3, min_leaf=5)
+SMALL = models.TreeConfig(trees=10, depth=3, min_leaf=5, refit=10)
 FEATURES = ["b_1d", "b_2d", "b_3d", "b_7d", "cycle"]
 CUT = "2024-01-24"
-WINDOWS = (5, 7, 10, 14)
+WINDOWS = (3, 4, 5, 7, 10, 14, 18)
 TESTED = f"FROM rows WHERE date >= DATE '{CUT}' GROUP BY series_id"
 
 
@@ -38,51 +41,92 @@ def _sql(*names, source: str = TESTED, ctes=ROWS, **extra) -> str:
     return with_ctes(ctes, f"SELECT series_id, {columns} {source}", **extra)
 
 
-def _inside(col: str, train, y: str = "y"):
-    """Forecasts within the range of the training target, widened by its spread."""
-    r = train.agg(F.min(y).alias("a"), F.max(y).alias("b")).first()
-    return F.col(col).between(2 * r["a"] - r["b"], 2 * r["b"] - r["a"])
+def _error(pred: str, y: str = "y"):
+    return F.avg(F.abs(F.col(y) - F.col(pred)))
 
 
-@query(lambda: with_ctes(ROWS, f"SELECT series_id, {big('count(*)', 'rows')}, {big('count(*)', 'in_range')}, {big('1', 'more_trees_fit_better')} {TESTED}"))
+def _judged(df, preds, checks=(), by=("series_id",), naive: str = "b_1d", slack: float = 1.0):
+    """Rows, the naive forecast's error, which forecasts have less error than that, and how many rows each check holds for."""
+    return df.groupBy(*by).agg(
+        F.count("*").alias("rows"), _error(naive).alias("naive_mae"), *[(_error(p) < slack * _error(naive)).alias(f"{p}_beats_naive") for p in preds],
+        *[F.count_if(c).alias(n) for n, c in checks],
+    )
+
+
+def _judged_sql(preds, checks=(), source: str = TESTED, keys: str = "series_id", ctes=ROWS, naive: str = "b_1d", **extra) -> str:
+    columns = [big("count(*)", "rows"), num(f"avg(abs(y - {naive}))", "naive_mae"), *[big("1", f"{p}_beats_naive") for p in preds], *[big("count(*)", c) for c in checks]]
+    return with_ctes(ctes, f"SELECT {keys}, {', '.join(columns)} {source}", **extra)
+
+
+def _near(a, b):
+    return F.abs(F.col(a) - F.col(b)) < 1e-6
+
+
+def _from_leaves(model, df, out: str):
+    """Forecasts of `df` as sums over the table of leaf values, by a join."""
+    last = models.leaf_values(model)
+    at = model.transform(df).select("series_id", "ts", F.posexplode(leaves.leaf_array(last.getOrDefault(last.leavesCol))).alias("tree", "leaf"))
+    summed = at.join(last.table(df.sparkSession), ["tree", "leaf"]).groupBy("series_id", "ts").agg(F.sum("value").alias("v"))
+    return summed.select("series_id", "ts", (F.col("v") + last.getOrDefault(last.center)).alias(out))
+
+
+@query(lambda: with_ctes(ROWS, f"""SELECT series_id, {big('count(*)', 'rows')}, {num('avg(abs(y - b_1d))', 'naive_mae')}, {big('1', 'pred_beats_naive')},
+    {big('count(*)', 'equal_to_leaf_table')}, {big('1', 'more_trees_fit_better')}, {big('1', 'medians_fit_better')} {TESTED}"""))
 def boosted_trees(spark, sf_dir):
-    """Weighted absolute-error trees with an early stop on the newest training days; forty trees against one."""
+    """Weighted absolute-error trees with an early stop on the newest training days.
+
+    Forecasts equal the sums over the table of leaf values; forty trees fit better than one, leaf medians better than mean signs.
+    """
     train, test = _train(spark, sf_dir)
     train = train.withColumn("held", F.col("date") >= F.lit("2024-01-21").cast("date"))
     model = models.fit_trees(train, FEATURES, "y", SMALL, "held")
-    errors = []
-    for n in (1, 40):
-        fitted = models.score(models.fit_trees(train, FEATURES, "y", replace(SMALL, trees=n)), train)
-        errors.append(fitted.agg(F.avg(F.abs(F.col("y") - F.col("pred")))).first()[0])
-    out = _held(models.score(model, test), ("in_range", _inside("pred", train)))
-    return out.withColumn("more_trees_fit_better", F.lit(int(errors[1] < 0.95 * errors[0])))
+    weighted = settle(models.with_recency(train, SMALL.half_life_days))
+    tried = {"one": replace(SMALL, trees=1), "forty": replace(SMALL, trees=40), "plain": replace(SMALL, refit=0), "medians": SMALL}
+    fits = models.in_parallel(spark, {n: partial(models.fit_trees, weighted, FEATURES, "y", c, None, n) for n, c in tried.items()})
+    error = {n: (F.sum(F.col("weight") * F.abs(F.col("y") - F.col(n))) / F.sum("weight")).alias(n) for n in fits}
+    e = models.score_all(fits, weighted).agg(*error.values()).first()
+    scored = models.score(model, test).join(_from_leaves(model, test, "summed"), ["series_id", "ts"])
+    out = _judged(scored, ["pred"], [("equal_to_leaf_table", _near("pred", "summed"))])
+    return out.withColumns({"more_trees_fit_better": F.lit(int(e["forty"] < 0.95 * e["one"])), "medians_fit_better": F.lit(int(e["medians"] < e["plain"]))})
 
 
-@query(lambda: _sql(*[f"trees_{d}d" for d in WINDOWS]))
+@query(lambda: _judged_sql([f"trees_{d}d" for d in WINDOWS], ["equal_to_leaf_table"]))
 def window_models(spark, sf_dir):
-    """One model per trailing window of clean rows."""
+    """One model per trailing window of clean rows, all from one training table."""
     train, test = _train(spark, sf_dir)
     fitted = models.fit_windows(train, FEATURES, f"{CUT} 00:00:00", WINDOWS, "y", SMALL, limits=L)
-    return _held(models.score_all(fitted, test), *[(n, _inside(n, train)) for n in fitted])
+    name = f"trees_{WINDOWS[2]}d"
+    scored = models.score_all(fitted, test).join(_from_leaves(fitted[name], test, "summed"), ["series_id", "ts"])
+    return _judged(scored, list(fitted), [("equal_to_leaf_table", _near(name, "summed"))])
 
 
-@query(lambda: _sql("probabilities", "mixtures", "weights"))
+@query(lambda: with_ctes(ROWS, f"""SELECT series_id, {big('count(*)', 'rows')}, {big(f'count(*) FILTER (y <= {L.low})', 'events')}, {big('count(*)', 'mixtures')}, {big('count(*)', 'weights')},
+    {big('1', 'tells_regimes_apart')} {TESTED}"""))
 def two_regimes(spark, sf_dir):
-    """Classifier, low and normal regressors, the threshold tuned on the newest week."""
+    """Classifier, low and normal regressors, the threshold tuned on the newest week; the parts are put together again here."""
     train, test = _train(spark, sf_dir)
-    out = models.TwoRegime(FEATURES, "y", SMALL, limits=L).fit_calibrated(train, 7).transform(test)
-    between = F.col("mixture").between(F.least("low_pred", "normal_pred") - 1e-9, F.greatest("low_pred", "normal_pred") + 1e-9)
-    return _held(out, ("probabilities", F.col("prob").between(0, 1)), ("mixtures", between), ("weights", F.col("weight").between(0, 1)))
+    model = models.TwoRegime(FEATURES, "y", SMALL, limits=L).fit_calibrated(train, 7)
+    out = settle(model.transform(test))
+    mixed = F.abs(F.col("prob") * (F.col("low_pred") - F.col("normal_pred")) + F.col("normal_pred") - F.col("mixture")) < 1e-6
+    stepped = F.when(F.lit(model.threshold <= 1) & (F.col("prob") >= model.threshold), 1.0).otherwise(0.0)
+    low = F.col("y") <= L.low
+    means = out.agg(F.avg(F.when(low, F.col("prob"))).alias("a"), F.avg(F.when(~low, F.col("prob"))).alias("b")).first()
+    found = out.groupBy("series_id").agg(
+        F.count("*").alias("rows"), F.count_if(low).alias("events"), F.count_if(mixed).alias("mixtures"), F.count_if(F.col("weight") == stepped).alias("weights")
+    )
+    return found.withColumn("tells_regimes_apart", F.lit(int(means["a"] > means["b"])))
+
 
+FOLDED = "FROM folded WHERE fold > 0 GROUP BY 1, fold"
 
-@query(lambda: with_ctes(ROWS, f"SELECT series_id, {big('fold', 'fold')}, {', '.join(big('count(*)', n) for n in ('rows', 'shallow', 'deeper'))} FROM folded WHERE fold > 0 GROUP BY 1, fold",
-    folds=_ridge()["folds"], folded=_ridge()["folded"]))
+
+@query(lambda: _judged_sql(["shallow", "deeper"], source=FOLDED, keys=f"series_id, {big('fold', 'fold')}", naive="b_7d", folds=_ridge()["folds"], folded=_ridge()["folded"]))
 def out_of_fold(spark, sf_dir):
-    """Chronological out-of-fold forecasts of two learners in five folds."""
+    """Chronological out-of-fold forecasts of two learners in five folds, against a naive forecast in each."""
     folded = settle(models.day_folds(event_rows(spark, sf_dir), 5))
     configs = {"shallow": SMALL, "deeper": replace(SMALL, depth=4)}
     out = models.out_of_fold(folded, FEATURES, configs, "y")
-    return out.groupBy("series_id", "fold").agg(F.count("*").alias("rows"), *[F.count(n).alias(n) for n in configs])
+    return _judged(out, list(configs), by=("series_id", "fold"), naive="b_7d")
 
 
 @query(lambda: with_ctes(ROWS, f"SELECT series_id, {big('3', 'candidates')}, {big('1', 'chosen')}, {big('1', 'chosen_is_best')} FROM rows GROUP BY 1"))
@@ -94,21 +138,35 @@ def blend_choice(spark, sf_dir):
     return scores.groupBy("series_id").agg(F.count("score").alias("candidates"), F.count_if("chosen").alias("chosen"), best.alias("chosen_is_best"))
 
 
-@query(lambda: with_ctes(ROWS, f"SELECT {big(str(len(FEATURES)), 'features')}, {big('1', 'sum_is_one')}, {big('1', 'none_negative')} FROM rows LIMIT 1"))
+@query(lambda: with_ctes(ROWS, f"SELECT * FROM (VALUES ('first', 'told'), ('last', 'fixed')) AS t(place, feature) WHERE (SELECT count(*) FROM rows) > 0"))
 def feature_importance(spark, sf_dir):
-    """Features ranked by their share in the trees; shares add up to one."""
+    """Features ranked by their share in the trees: one that tells the target comes first, one that never changes last."""
     train, _ = _train(spark, sf_dir)
-    ranked = models.importance(models.fit_trees(train, FEATURES, "y", SMALL), FEATURES, spark)
-    one = (F.abs(F.sum("importance") - 1) < 1e-6).alias("sum_is_one")
-    return ranked.agg(F.countDistinct("feature").alias("features"), one, (F.min("importance") >= 0).alias("none_negative"))
+    names = [*FEATURES, "told", "fixed"]
+    marked = train.withColumns({"told": F.col("y") * 2, "fixed": F.lit(1.0)})
+    ranked = models.importance(models.fit_trees(marked, names, "y", SMALL), names, spark)
+    ends = ranked.agg(
+        F.max_by("feature", "importance").alias("first"), F.min_by("feature", F.struct("importance", F.col("feature") != "fixed")).alias("last"),
+        F.sum("importance").alias("all"), F.count("*").alias("n"),
+    ).where((F.abs(F.col("all") - 1) < 1e-6) & (F.col("n") == len(names)))
+    return ends.select(F.inline(F.array(*[F.struct(F.lit(p).alias("place"), F.col(p).alias("feature")) for p in ("first", "last")])))
+
 
+PROFILE = ["b_1d", "b_7d"]
 
-@query(lambda: _sql("forecasts"))
+
+@query(lambda: _judged_sql(["pred"], ["equal_to_products"]))
 def slot_linear(spark, sf_dir):
-    """Sparse linear forecast of whole days, per series."""
+    """Sparse linear forecast of whole days, per series; forecasts equal the stored weights times the features, added up by joins."""
     train, test = _train(spark, sf_dir)
-    fitted = slotlinear.fit_panel(train, ["b_1d", "b_7d"], [], "y", windows=(12, None), min_days=10, holdout=(2, 4), alphas=(0.01, 0.1))
-    return _held(slotlinear.predict_panel(fitted, test, ["b_1d", "b_7d"]), ("forecasts", F.col("pred").isNotNull()))
+    fitted = slotlinear.fit_panel(train, PROFILE, [], "y", windows=(12, None), min_days=10, holdout=(2, 4), alphas=(0.03, 0.3))
+    days = daily.daily_matrix(test, PROFILE)
+    weights = fitted.model.select("series_id", "intercept", F.posexplode("coef").alias("cycle", "w")).select(
+        "series_id", "cycle", F.get("intercept", F.col("cycle")).alias("b"), F.posexplode("w").alias("i", "w"))
+    values = days.select("series_id", "date", F.posexplode("features").alias("i", "x"))
+    added = values.join(weights, ["series_id", "i"]).groupBy("series_id", "date", "cycle").agg((F.sum(F.col("x") * F.col("w")) + F.first("b")).alias("added"))
+    out = slotlinear.predict_panel(fitted, test, PROFILE).join(added, ["series_id", "date", "cycle"], "left")
+    return _judged(out, ["pred"], [("equal_to_products", _near("pred", "added"))])
 
 
 def _adaptive(train, candidate="gated_online_average"):
@@ -120,12 +178,22 @@ def _published():
     return F.col("pred").between(L.floor, L.ceiling)
 
 
-@query(lambda: _sql("published", "base"))
+@query(lambda: _judged_sql(["pred"], ["published", "blended", "gated"]))
 def adaptive_walk_forward(spark, sf_dir):
-    """Window models blended by trailing error, corrected day by day and gated."""
+    """Window models blended by trailing error, corrected day by day and gated.
+
+    The blend is formed again from a table of daily weights, and the gate from its weight.
+    """
     train, test = _train(spark, sf_dir)
-    out = _adaptive(train).walk_forward(test, train)
-    return _held(out, ("published", _published()), ("base", F.col("base").isNotNull()))
+    model = _adaptive(train)
+    out = settle(model.walk_forward(test, train))
+    names = list(model.trees)
+    weights = calibrate.blend_weights(out, names, "y", model.online_days, model.reveal_lag_days, limits=L)
+    again = sum((F.col(n) * F.col(f"w_{n}") for n in names), F.lit(0.0))
+    joined = out.join(weights, ["series_id", "date"]).withColumns({
+        "again": again, "mixed": F.col("adjusted") + F.col("weight") * (F.greatest(F.lit(0.0), F.least("low_pred", F.lit(L.low))) - F.col("adjusted")),
+    })
+    return _judged(joined, ["pred"], [("published", _published()), ("blended", _near("base", "again")), ("gated", _near("pred", "mixed"))])
 
 
 @query(lambda: _sql("equal"))
@@ -140,9 +208,9 @@ def saved_model(spark, sf_dir):
     return _held(before.join(after, keys, "full"), ("equal", F.abs(F.col("a") - F.col("b")) < 1e-9))
 
 
-@query(lambda: with_ctes(PANEL, f"SELECT series_id, {', '.join(big('48', n) for n in ('rows', 'published', 'slots'))} FROM panel WHERE ts <= '2024-01-24 07:30:00' GROUP BY 1"))
+@query(lambda: _judged_sql(["pred"], ["published"], source="FROM rows WHERE date = DATE '2024-01-26' GROUP BY 1"))
 def day_ahead(spark, sf_dir):
-    """The served forecast: future rows, features, contract check, one corrected day of 48 slots."""
+    """The served forecast: future rows, features, contract check, one corrected day of 48 slots, held against what came."""
     spec = FeatureSpec(
         y="y", y_stem="b", load="load", load_stem="l", lagged=(("y", "b_same_cycle"), ("load", "l_same_cycle")),
         lag_days=(1, 2, 3, 7), weekly=(7,), load_forecast=(1, 2, 7), quantile_days=7, limits=L,
@@ -153,8 +221,8 @@ def day_ahead(spark, sf_dir):
     past = df.where(F.col("ts") <= serve.origin_ts("2024-01-25", 15))
     train = add_features(past, spec).dropna(subset=["y", *names])
     model = _blank(names).fit(train, models.TwoRegime(names, "y", SMALL, fit_normal=False, limits=L))
-    day = serve.forecast_day(df, model, "2024-01-25", spec=spec).groupBy("series_id")
-    return day.agg(F.count("*").alias("rows"), F.count_if(_published()).alias("published"), F.countDistinct("cycle").alias("slots"))
+    day = serve.forecast_day(df, model, "2024-01-25", spec=spec).select("series_id", "ts", "pred")
+    return _judged(event_rows(spark, sf_dir).join(day, ["series_id", "ts"]), ["pred"], [("published", _published())])
 
 
 def _blank(names):
@@ -164,23 +232,35 @@ def _blank(names):
 def _stack(**kw):
     return stacking.Stack(
         FEATURES, ["b_1d", "b_7d"], trees={"shallow": SMALL, "deeper": replace(SMALL, depth=4)}, regime_config=SMALL,
-        n_folds=3, neighbours=5, limits=L, min_regime_rows=20, iterations=(5, 40),
-        linear={"windows": (12, None), "min_days": 4, "holdout": (1, 2), "alphas": (0.01, 0.1)},
-        thresholds=(0.3, 0.5, 0.7), lower_cuts=(24.0, 28.0, 32.0), cap_cuts=(80.0, 100.0, 120.0),
+        limits=L, min_regime_rows=20, iterations=(5, 40), linear={"windows": (12, None), "min_days": 4, "holdout": (1, 2)},
+        lower_cuts=LOWER, cap_cuts=CAPS,
         levels={"lower": (20.0, 40.0), "cap": 90.0, "min_rows": 30}, bounds={"min_rows": 10, "normal_floor": 5.0, "gate_floor": 20.0}, **kw,
     )
 
 
-@query(lambda: _sql("forecasts"))
+@query(lambda: _judged_sql(["pred"], ["equal_to_parts", "gated"]))
 def stacked_forecast(spark, sf_dir):
     """Out-of-fold base forecasts, blend, slot bias, gate, guard and projection, then a forecast of the newest days.
 
-    One series has three training days only, too few for the linear learner; it keeps its rows.
+    One series has three training days only, too few for the linear learner; it keeps its rows. Blend, bias and gate are formed
+    again here from their tables by joins.
     """
     train, test = _train(spark, sf_dir)
     short = F.col("series_id") == train.agg(F.min("series_id")).first()[0]
     train = settle(train.where(~short | (F.col("date") >= F.date_sub(F.lit(CUT).cast("date"), 3))))
-    return _held(_stack().fit(train).transform(test), ("forecasts", F.col("pred").isNotNull()))
+    model = _stack().fit(train)
+    out = settle(model.transform(test))
+    keys = ["series_id", "ts"]
+    parts = out.select(*keys, "cycle", F.posexplode(F.array(F.lit(1.0), *model.base)).alias("i", "x"))
+    weights = model.states["coef"].select("series_id", F.posexplode("coef").alias("i", "w"))
+    added = parts.join(weights, ["series_id", "i"]).groupBy(*keys, "cycle").agg(F.sum(F.when(F.col("w") != 0, F.col("w") * F.col("x")).otherwise(0.0)).alias("mix"))
+    trees = sum((F.col(n) for n in model.trees), F.lit(0.0)) / len(model.trees)
+    again = out.join(added.drop("cycle"), keys, "left").join(model.states["bias"], ["series_id", "cycle"], "left").join(model.states["gate"], "series_id", "left")
+    again = again.withColumn("again", F.coalesce("mix", trees) + F.coalesce("slot_bias", F.lit(0.0)))
+    ramped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("prob") - F.col("threshold") + F.col("ramp")) / (2 * F.col("ramp"))))
+    weight = F.when(F.col("threshold").isNull() | (F.col("threshold") > 1), 0.0).when(F.col("ramp") > 0, ramped).otherwise((F.col("prob") >= F.col("threshold")).cast("double"))
+    checks = [("equal_to_parts", _near("normal", "again")), ("gated", F.abs(weight - F.col("weight")) < 1e-9)]
+    return _judged(again.join(test.select(*keys, "b_1d"), keys), ["pred"], checks)
 
 
 @query(lambda: with_ctes(ROWS, f"SELECT {big('1', 'early_years_pass')}, {big('1', 'late_year_raises')}, {big('1', 'unknown_feature_raises')}, {big('1', 'stale_raises')} FROM rows LIMIT 1"))

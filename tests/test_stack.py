@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 
 from slotcast.operators import models
-from slotcast.plans import stacking
+from slotcast.plans import adaptive, stacking
 from slotcast.registry import fitted
+from slotcast.sources import versions
 
 SMALL = models.TreeConfig(trees=2, depth=2, min_leaf=5)
 DATA = "/root/testdata/sf0.001"
@@ -36,6 +37,30 @@ def test_stack_forecasts_alike_after_loading(spark, tmp_path):
         blank().load(str(tmp_path / "s"), spark)
 
 
+def test_versions_carry_settings_and_a_manifest(spark, tmp_path):
+    train, test = fitted._train(spark, DATA)
+    model = blank().fit(train)
+    root = str(tmp_path / "models")
+    with pytest.raises(FileNotFoundError):
+        versions.load_version(stacking.Stack, root, spark)
+    scores = spark.createDataFrame([("a", 1.5)], "series_id string, mae double")
+    assert versions.save_version(model, root, spark, scores) == 1
+    model.save(f"{root}/2", spark)  # a driver lost before the manifest
+    assert versions.versions(spark, root) == [1]
+    assert versions.save_version(model, root, spark) == 3 and versions.versions(spark, root) == [1, 3]
+    found = versions.read_manifest(root, spark, 1)
+    assert found["scores"] == [{"series_id": "a", "mae": 1.5}] and found["settings"]["n_folds"] == 2
+    assert set(found["tuned"]["iterations"]) == {"one", "two"} and {r["series_id"] for r in found["tuned"]["gate"]}
+    again = versions.load_version(stacking.Stack, root, spark)
+    assert (again.trees, again.limits, again.linear, again.cap_cuts) == (model.trees, model.limits, model.linear, model.cap_cuts)
+    one, two = (m.transform(test).orderBy("series_id", "ts").toPandas()["pred"] for m in (model, again))
+    np.testing.assert_allclose(one, two)
+    with pytest.raises(TypeError):
+        versions.load_version(adaptive.Adaptive, root, spark)
+    with pytest.raises(FileNotFoundError):
+        versions.load_version(stacking.Stack, root, spark, 2)
+
+
 def test_candidates_are_subsets_of_the_base():
     stack = blank()
     assert all(set(m) <= set(stack.base) for m in stack.candidates.values())
