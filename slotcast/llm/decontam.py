@@ -168,12 +168,13 @@ WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCD
                   '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
      v AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                   '[^\\x20\\x09-\\x0D]+') AS w FROM benchmark),
-     d AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s
-           FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
-     b AS (SELECT DISTINCT item_id, array_to_string(w[i : i + 4], ' ') AS s
-           FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM v)),
+     q AS (SELECT DISTINCT least(5, len(w)) AS q FROM v WHERE len(w) > 0),
+     d AS (SELECT DISTINCT doc_id, q, array_to_string(w[i : i + q - 1], ' ') AS s
+           FROM (SELECT doc_id, w, q, unnest(range(1, len(w) - q + 2)) AS i FROM w CROSS JOIN q)),
+     b AS (SELECT DISTINCT item_id, q, array_to_string(w[i : i + q - 1], ' ') AS s
+           FROM (SELECT item_id, w, least(5, len(w)) AS q, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM v WHERE len(w) > 0)),
      n AS (SELECT item_id, count(*) AS item_shingles FROM b GROUP BY 1),
-     p AS (SELECT doc_id, item_id, count(*) AS shared_shingles FROM d JOIN b USING (s) GROUP BY 1, 2)
+     p AS (SELECT doc_id, item_id, count(*) AS shared_shingles FROM d JOIN b USING (q, s) GROUP BY 1, 2)
 SELECT doc_id, item_id, item_shingles, shared_shingles, shared_shingles / item_shingles AS containment
 FROM p JOIN n USING (item_id) WHERE 4 * shared_shingles >= 3 * item_shingles
 """

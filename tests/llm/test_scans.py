@@ -172,6 +172,21 @@ def test_containment_equals_all_pairs(spark, docs, corpus):
     assert got == want and {item for _, item in want} >= {1, 6}
 
 
+def test_short_items_equal_sql(spark):
+    import duckdb
+
+    texts = ["Alpha beta gamma delta", "one alpha  beta\tgamma two", "alpha beta", "beta", "a b c d e f g", "x a b c d e f", "", None, "gamma beta alpha"]
+    items = ["alpha BETA gamma", "beta", "a b c d e", "a b c d e f g", "b c d", "", None, "missing words here", "gamma"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    con.register("benchmark", bench.toPandas())
+    want = set(con.sql(decontam.ORACLE).project("doc_id, item_id, item_shingles, shared_shingles").fetchall())
+    got = {(r.doc_id, r.item_id, r.item_shingles, r.shared_shingles) for r in decontam.contained_items(docs, bench).collect()}
+    assert got == want and {(0, 0), (1, 0), (3, 1)} <= {(d, i) for d, i, *_ in got}
+
+
 def test_contaminated_rows_go_and_columns_stay(spark, docs, corpus):
     items = spark.createDataFrame([(1, dict(corpus)[55])], "item_id long, text string")
     hit = {r.doc_id for r in decontam.contained_items(docs, items).collect()}
