@@ -55,6 +55,8 @@ LAST_ID = (1 << 63) - 1
 OFTEN = 16
 MOST_FREQUENT = 1 << 20
 SALTS = 64
+# entries or shingles in a batch that a task hands on
+HELD_ENTRIES = 1 << 17
 WORDS = 8
 
 
@@ -135,31 +137,33 @@ def _postings(shared):
 
     def run(batches):
         frequent = shared.value
+        names = ["token", "id", "n", "pos", "often", "share"]
+        columns, held = [[] for _ in names], 0
+
+        def out():
+            tokens, keys, sizes, places, often, shares = (np.concatenate(c) for c in columns)
+            for c in columns:
+                c.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (tokens.view(np.int64), keys, sizes, places, often, shares)], names=names)
+
         for batch in batches:
-            tokens, keys, sizes, places, often, shares = [], [], [], [], [], []
             for _, values in shingle_sets(batch.column(0)):
                 take = prefix_size(len(values))
                 at = np.minimum(np.searchsorted(frequent, values), max(len(frequent) - 1, 0))
                 hot = frequent[at] == values if len(frequent) else np.zeros(len(values), dtype=bool)
                 order = np.concatenate((np.flatnonzero(~hot), np.flatnonzero(hot)))[:take]
-                tokens.append(values[order])
-                often.append(hot[order])
-                shares.append(np.full(take, hot.mean(), dtype=np.float32))
-                keys.append(np.full(take, set_key(values)))
-                sizes.append(np.full(take, len(values), dtype=np.int32))
-                places.append(np.arange(take, dtype=np.int32))
-            if tokens:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate(tokens).view(np.int64)),
-                        pa.array(np.concatenate(keys)),
-                        pa.array(np.concatenate(sizes)),
-                        pa.array(np.concatenate(places)),
-                        pa.array(np.concatenate(often)),
-                        pa.array(np.concatenate(shares)),
-                    ],
-                    names=["token", "id", "n", "pos", "often", "share"],
-                )
+                entries = (
+                    values[order], np.full(take, set_key(values)), np.full(take, len(values), dtype=np.int32), np.arange(take, dtype=np.int32),
+                    hot[order], np.full(take, hot.mean(), dtype=np.float32),
+                )
+                for c, x in zip(columns, entries, strict=True):
+                    c.append(x)
+                held += take
+                if held >= HELD_ENTRIES:
+                    yield out()
+                    held = 0
+        if held:
+            yield out()
 
     return run
 
@@ -200,11 +204,17 @@ def _bounded(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
 
 
 def _whole_sets(batches):
+    """(id, set) of every text with words, a few MB at a time."""
+    keys, sets, held = [], [], 0
     for batch in batches:
-        keys, sets = [], []
         for _, values in shingle_sets(batch.column(0)):
             keys.append(set_key(values))
             sets.append(values.tobytes())
+            held += len(values)
+            if held >= HELD_ENTRIES:
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["id", "set"])
+                keys, sets, held = [], [], 0
+    if keys:
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["id", "set"])
 
 
