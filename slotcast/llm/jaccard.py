@@ -57,7 +57,7 @@ MOST_FREQUENT = 1 << 20
 SALTS = 64
 # entries or shingles in a batch that a task hands on
 HELD_ENTRIES = 1 << 17
-WORDS = 8
+WORDS = 16
 
 
 BITS = [f"bits{i}" for i in range(WORDS)]
