@@ -97,11 +97,13 @@ def medians(rows: DataFrame, block: range) -> DataFrame:
     return first.select("tree", "leaf", value.alias("median"))
 
 
-def refit(rows: DataFrame, values: list[list[float]], block: int) -> list[list[float]]:
-    """New leaf values, block after block of trees. ``rows`` have y, weight, leaves (array) and held (rows to choose by)."""
+def refit(rows: DataFrame, values: list[list[float]], block: int, some_held: bool = False) -> list[list[float]]:
+    """New leaf values, block after block of trees. ``rows`` have y, weight, leaves (array) and held.
+
+    With ``some_held`` the held rows judge, where there are any; they are never trained on.
+    """
     values = [list(v) for v in values]
-    some_held = not rows.where("held").isEmpty()
-    judge = F.col("held") if some_held else F.lit(True)
+    judge = F.col("held") if some_held and not rows.where("held").isEmpty() else F.lit(True)
     for start in range(0, len(values), block):
         trees = range(start, min(start + block, len(values)))
         placed = rows.withColumn("r", F.col("y") - summed(F.col("leaves"), values))

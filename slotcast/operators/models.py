@@ -30,7 +30,7 @@ from slotcast.sources.writers import load_table, save_table
 WINDOW_DAYS = (45, 60, 90, 180, 365, 730, 1460)
 MIN_WINDOW_ROWS = 256
 MIN_REGIME_ROWS = 100
-PARALLEL = 4
+PARALLEL = 8
 # trees a block in the production settings
 REFIT = 10
 
@@ -151,7 +151,7 @@ def fit_table(
         keyed = model.transform(scaled).select(
             F.col("__y").alias("y"), F.col(weight).alias("weight"), leaves.leaf_array(f"__leaves_{out}").alias("leaves"), held.alias("held")
         )
-        values = leaves.refit(settle(keyed, "leaves", paths), values, config.refit)
+        values = leaves.refit(settle(keyed, "leaves", paths), values, config.refit, validation is not None)
         drop_tables(table.sparkSession, paths)
     last = leaves.LeafValues(leavesCol=f"__leaves_{out}", outputCol=out, values=json.dumps(values), center=center, spread=spread)
     return PipelineModel([assembler(features), model, last])
