@@ -186,7 +186,10 @@ def adaptive_walk_forward(spark, sf_dir):
     """
     train, test = _train(spark, sf_dir)
     model = _adaptive(train)
-    out = settle(model.walk_forward(test, train))
+    walked = model.walk_forward(test, train)
+    # without enough low rows there is no regime model, and no gate
+    ungated = {c: F.lit(0.0) for c in ("weight", "low_pred") if c not in walked.columns}
+    out = settle(walked.withColumns(ungated) if ungated else walked)
     names = list(model.trees)
     weights = calibrate.blend_weights(out, names, "y", model.online_days, model.reveal_lag_days, limits=L)
     again = sum((F.col(n) * F.col(f"w_{n}") for n in names), F.lit(0.0))
