@@ -9,7 +9,8 @@ decided by undoing their merges along the seam. Tokens up to a position on which
 all open positions agree can never change: they are emitted and forgotten. Only positions within
 the lookahead stay.
 
-`sufficient_lookahead` computes from the merge list how far that can be at most: a chain of merges
+Slices end before the last two pieces found in them, whatever the script, so what is held besides the text
+is a slice of its pieces. `sufficient_lookahead` computes from the merge list how far that can be at most: a chain of merges
 of falling priority, each of whose right part can take in the start of the next, times the
 longest token. It is a guard: exceeding it means that the list is no proper merge list.
 
@@ -30,6 +31,8 @@ from __future__ import annotations
 import codecs
 import functools
 import hashlib
+import heapq
+import itertools
 import json
 from collections.abc import Iterator
 
@@ -45,6 +48,9 @@ SLICE = 1 << 16
 KEPT = 64
 TABLE = 800_000
 SEAMS = 500_000
+ONE = (1,)
+#: Characters from which a piece alone in its slice is fed on in parts, and the tokens of a part.
+PART = 4096
 
 
 def byte_letters() -> dict[str, int]:
@@ -78,9 +84,16 @@ class Transducer:
         self.longest = max(map(len, self.ids))
         # A token that its own merges do not give back never comes out of the merge list.
         self.usable = {t: i for t, i in self.ids.items() if i in self.parts or len(t) == 1}
+        ends: dict[bytes, set[int]] = {}
+        for t in self.usable:
+            if len(t) > 1:
+                ends.setdefault(t[-2:], {1}).add(len(t))
+        #: lengths of the tokens with these last two bytes, longest first
+        self.sizes = {end: tuple(sorted(found, reverse=True)) for end, found in ends.items()}
         self.pattern = regex.compile(PATTERN)
         self.marks = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.table: dict[str, tuple[int, str, bytes]] = {}
+        self.ids_table: dict[str, tuple[int, ...]] = {}
         self.seams: dict[tuple[int, int], bool] = {}
 
     @functools.cached_property
@@ -117,12 +130,15 @@ class Transducer:
         """Token ids of one piece, byte by byte, each emitted once no later byte can change it."""
         parent: dict[int, tuple[int, int]] = {}  # position: (parent position, last token)
         base, n, recent = 0, 0, bytearray()
+        due = 4 * self.longest
         for byte in data:
             recent.append(byte)
             if len(recent) > self.longest:
                 del recent[0]
             n += 1
-            for size in range(min(len(recent), n - base), 0, -1):
+            for size in self.sizes.get(bytes(recent[-2:]), ONE):
+                if size > n - base or size > len(recent):
+                    continue
                 token = self.usable.get(bytes(recent[len(recent) - size :]))
                 if token is None:
                     continue
@@ -135,10 +151,11 @@ class Transducer:
                 elif at in parent and self.neighbours(parent[at][1], token):
                     parent[n] = (at, token)
                     break
-            if n - base > 2 * self.longest:
+            if n - base >= due:
                 base = yield from self._emit(parent, base, n)
                 if n - base > self.lookahead:
                     raise ValueError("the merge list is not proper: its encoding is not stable within the lookahead")
+                due = n - base + 2 * self.longest
         out = []
         at = n
         while at > base:
@@ -149,27 +166,25 @@ class Transducer:
     _last: int | None = None
 
     def _emit(self, parent: dict[int, tuple[int, int]], base: int, n: int):
-        """Emit the tokens on which all positions that may still become parents agree."""
-        common: list[int] | None = None
-        for leaf in range(max(base + 1, n - self.longest + 1), n + 1):
-            if leaf not in parent:
-                continue
-            path, at = [leaf], leaf
-            while at > base:
-                at = parent[at][0]
-                path.append(at)
-            path.reverse()
-            if common is None:
-                common = path
-            else:
-                same = 0
-                while same < min(len(common), len(path)) and common[same] == path[same]:
-                    same += 1
-                common = common[:same]
-        for at in (common or [base])[1:]:
-            self._last = parent[at][1]
-            yield self._last
-        stop = common[-1] if common else base
+        """Emit the tokens on which all positions that may still become parents agree: those up to their nearest common ancestor."""
+        open_ = {leaf for leaf in range(max(base + 1, n - self.longest + 1), n + 1) if leaf in parent}
+        latest = [-leaf for leaf in open_]
+        heapq.heapify(latest)
+        while len(open_) > 1:
+            at = -heapq.heappop(latest)
+            open_.discard(at)
+            before = parent[at][0] if at > base else base
+            if before not in open_:
+                open_.add(before)
+                heapq.heappush(latest, -before)
+        stop = at = open_.pop() if open_ else base
+        tokens = []
+        while at > base:
+            at, token = parent[at]
+            tokens.append(token)
+        if tokens:
+            self._last = tokens[0]
+            yield from reversed(tokens)
         for at in [p for p in parent if p <= stop]:
             del parent[at]
         return stop
@@ -229,18 +244,42 @@ class Transducer:
         yield from ((p, None) for p in self._plain(text[at:] if at else text))
 
     def _plain(self, text: str) -> Iterator[list[str]]:
-        """Pattern pieces, read in slices that end where a piece surely begins: at a space between letters."""
-        rest, at = "", 0
-        while at < len(text) or rest:
-            window = rest + text[at : at + SLICE] if at or rest or len(text) > SLICE else text
-            at += SLICE
-            if at >= len(text):
-                yield self.pattern.findall(window)
-                return
-            seams = [m.start() + 1 for m in _SEAM.finditer(window, max(0, len(window) - 4096))]
-            safe = seams[-1] if seams else 0
-            yield self.pattern.findall(window[:safe])
-            rest = window[safe:]
+        """Pattern pieces, a slice of the text at a time.
+
+        The pattern covers every character and looks one character ahead, so more text can only change the last
+        two pieces of a slice (an apostrophe and a letter may become one): the next slice starts before them.
+        """
+        at, size = 0, len(text)
+        while size - at > SLICE:
+            stop = at + SLICE
+            found = self.pattern.findall(text, at, stop)
+            if len(found) > 2:
+                at = stop - len(found.pop()) - len(found.pop())
+            else:
+                found = [self.pattern.match(text, at).group()]
+                at += len(found[0])
+            yield found
+        if at < size:
+            yield self.pattern.findall(text, at)
+
+    def encode(self, text: str) -> list[int]:
+        """Token ids of a text, short pieces by way of a bounded table."""
+        out: list[int] = []
+        known = self.ids_table
+        for pieces, special in self.pieces(text):
+            if special is not None:
+                out.append(special)
+                continue
+            for piece in pieces:
+                ids = known.get(piece)
+                if ids is None:
+                    ids = tuple(self.piece(piece))
+                    if len(piece) <= KEPT:
+                        if len(known) >= TABLE:
+                            known.clear()
+                        known[piece] = ids
+                out += ids
+        return out
 
     def ids_of(self, text: str) -> Iterator[int]:
         for pieces, special in self.pieces(text):
@@ -257,17 +296,22 @@ class Transducer:
             yield decoder.decode(self.bytes_of[i])
         yield decoder.decode(b"", final=True)
 
+    def entries(self, pieces: list[str]) -> Iterator[list[tuple[int, str, bytes]]]:
+        """Entries of pieces; a piece that fills a slice alone comes in parts."""
+        known, entry = self.table.get, self.entry
+        if len(pieces) == 1 and len(pieces[0]) > PART:
+            for ids in itertools.batched(self.piece(pieces[0]), PART):
+                yield [(len(ids), ",".join(map(str, ids)), b"".join(self.bytes_of[i] for i in ids))]
+        else:
+            yield [known(p) or entry(p) for p in pieces]
+
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of tokens, hash of the ids, hash of the decoded text; both hashes are fed slice by slice."""
         n, ids_hash, text_hash = 0, hashlib.sha256(), hashlib.sha256()
         decoder = codecs.getincrementaldecoder("utf-8")("replace")
-        known, entry = self.table.get, self.entry
         for pieces, special in self.pieces(text):
-            if special is None:
-                entries = [known(p) or entry(p) for p in pieces]
-            else:
-                entries = [(1, str(special), self.bytes_of[special])]
-            if entries:
+            parts = self.entries(pieces) if special is None else [[(1, str(special), self.bytes_of[special])]]
+            for entries in parts:
                 ids_hash.update((("," if n else "") + ",".join([e[1] for e in entries])).encode())
                 text_hash.update(decoder.decode(b"".join([e[2] for e in entries])).encode())
                 n += sum([e[0] for e in entries])
@@ -275,9 +319,6 @@ class Transducer:
         return n, ids_hash.hexdigest(), text_hash.hexdigest()
 
 
-_SEAM = regex.compile(r"\p{L} (?=\p{L})")
-
-
 def sufficient_lookahead(t: Transducer) -> int:
     """Bytes beyond a boundary after which it is settled.
 
@@ -328,6 +369,6 @@ def tokenize(docs: DataFrame, vocabulary: str, *, text="text", ids="token_ids")
 
     def encode(column: pa.Array) -> pa.Array:
         t = load(vocabulary)
-        return pa.array([list(t.ids_of(x.as_py() or "")) for x in column], pa.list_(pa.int32()))
+        return pa.array([t.encode(x.as_py() or "") for x in column], pa.list_(pa.int32()))
 
     return docs.withColumn(ids, F.arrow_udf(encode, "array<int>")(F.col(text)))

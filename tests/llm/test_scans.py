@@ -88,6 +88,21 @@ def test_stream_keeps_only_the_lookahead():
     assert list(t.stream(iter(b"x" * 3000))) == [i for i in t.ids_of("x" * 3000)] and t.lookahead > 0
 
 
+def test_long_texts_without_blanks_are_read_in_slices():
+    tokenizers = pytest.importorskip("tokenizers")
+    library = tokenizers.Tokenizer.from_file(vocabulary())
+    t = bpe.load(vocabulary())
+    rng = random.Random(8)
+    odd = ["漢字" * 50_000, "it's we'll" * 15_000, "0" * 150_000, " " * 140_000 + "a", "\n \n" * 40_000, "q" * 65_535 + "'ve" + "!" * 70_000]
+    odd += ["".join(rng.choices(["ab", " ", "  ", "\n", "'", "'s", "'ll", "1", "!", "é", "漢", "<|endoftext|>"], k=70_000)) for _ in range(6)]
+    for text in odd:
+        want = library.encode(text, add_special_tokens=False).ids
+        assert t.encode(text) == want
+        assert t.digest(text)[::2] == (len(want), hashlib.sha256(text.encode()).hexdigest())
+        long = [sum(map(len, found)) for found, _ in t.pieces(text) if len(found) > 1]
+        assert max(long, default=0) <= bpe.SLICE
+
+
 def test_decoder_replaces_broken_bytes():
     t = bpe.load(vocabulary())
     lead = t.ids["é".encode()[:1]]
