@@ -23,7 +23,7 @@ ignored.
 
 from __future__ import annotations
 
-
+import bisect
 import functools
 import html
 import math
@@ -37,11 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # HTML's own element classes.
-SKIPPED = frozenset("script style noscript template svg math iframe object canvas audio video head select option textarea button".split())
+SKIPPED = frozenset("script style noscript template annotation iframe object canvas audio video head select option textarea button".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup"
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle semantics svg g text tspan"
+    " a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup"
     " time tt u var wbr".split()
 )
 CLOSES_P = frozenset(
@@ -55,108 +56,192 @@ PAGES, EPOCHS = 600, 12
 #: Leaves that go through the network at once, and pages whose leaves are held at once.
 TOGETHER, SLICE = 4096, 256
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# a tag up to its `>` without a `<` on the way, so that all attempts together read a page once
+_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"<>]*\"|'[^'<>]*')*)>")
+_NAME = re.compile(r"<(/?)([A-Za-z][^\s/>\"'<]*)")
+_SIGN = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 
+@functools.lru_cache(maxsize=1 << 17)
+def _place(word: str, places: int) -> int:
+    return zlib.crc32(word.encode()) % places
+
+
+class Node:
+    """An open tag with its class, id and role words; it shares the tags around it, so a path costs one node a tag."""
+
+    __slots__ = ("above", "name", "words", "mask")
+
+    def __init__(self, above: Node | None, name: str, words: tuple[str, ...]):
+        self.above, self.name, self.words = above, name, words
+        self.mask = above.mask if above else 0  # hashed places of the whole path
+        for word in (name, *words):
+            self.mask |= 1 << _place(word, TAG_PLACES)
+
+
 @dataclass
 class Leaf:
-    path: tuple[str, ...]  # tag names and their class, id and role words, from the root
+    node: Node | None
     text: str
     linked: int  # characters inside links
 
+    @property
+    def path(self) -> tuple[str, ...]:
+        """Tag names and their class, id and role words, from the root."""
+        tags, at = [], self.node
+        while at:
+            tags.append((at.name, *at.words))
+            at = at.above
+        return tuple(w for tag in reversed(tags) for w in tag)
+
+
+_P_STOPS = ("div", "article", "section", "main", "td", "body")
+_LI_STOPS = ("ul", "ol", "menu")
+
 
 @dataclass
 class _Scan:
-    stack: list[tuple[str, tuple[str, ...]]] = field(default_factory=list)
+    stack: list[Node] = field(default_factory=list)
+    depths: dict[str, list[int]] = field(default_factory=dict)  # places in the stack by name
+    blocks: list[int] = field(default_factory=list)  # places of tags that are not inline
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     leaves: list[Leaf] = field(default_factory=list)
-    path: tuple[str, ...] = ()
+    node: Node | None = None
 
     def flush(self) -> None:
-        text = " ".join(html.unescape("".join(self.parts)).split())
-        if text:
-            self.leaves.append(Leaf(self.path, text, min(self.linked, len(text))))
-        self.parts, self.linked = [], 0
+        if self.parts:
+            text = " ".join(html.unescape("".join(self.parts)).split())
+            if text:
+                self.leaves.append(Leaf(self.node, text, min(self.linked, len(text))))
+            self.parts, self.linked = [], 0
+
+    def depth(self, name: str) -> int:
+        found = self.depths.get(name)
+        return found[-1] if found else -1
 
     def open(self, name: str, words: tuple[str, ...]) -> None:
-        if name not in INLINE:
+        inline = name in INLINE
+        if not inline:
             self.flush()
-            if name in CLOSES_P:
-                self.close("p", {"div", "article", "section", "main", "td", "body"}, quiet=True)
-            if name == "li":
-                self.close("li", {"ul", "ol", "menu"}, quiet=True)
+            if name in CLOSES_P and self.depth("p") > max(map(self.depth, _P_STOPS)):
+                self._cut(self.depth("p"))
+            if name == "li" and self.depth("li") > max(map(self.depth, _LI_STOPS)):
+                self._cut(self.depth("li"))
         if name not in VOID:
-            self.stack.append((name, words))
-        self._renew()
-
-    def close(self, name: str, stops: set[str] | None = None, quiet: bool = False) -> None:
-        for depth in range(len(self.stack) - 1, -1, -1):
-            at = self.stack[depth][0]
-            if at == name:
-                if name not in INLINE or any(n not in INLINE for n, _ in self.stack[depth:]):
-                    self.flush()
-                del self.stack[depth:]
-                break
-            if stops and at in stops:
-                break
-            if name in INLINE and at not in INLINE:
-                break  # an inline end tag does not reach out of its block
-        else:
-            if not quiet and name not in INLINE:
-                self.flush()
-        self._renew()
+            self.depths.setdefault(name, []).append(len(self.stack))
+            if not inline:
+                self.blocks.append(len(self.stack))
+            self.stack.append(Node(self.stack[-1] if self.stack else None, name, words))
+
+    def close(self, name: str) -> None:
+        depth, inline = self.depth(name), name in INLINE
+        if not inline:
+            self.flush()
+        # an inline end tag does not reach out of its block
+        if depth >= 0 and not (inline and self.blocks and self.blocks[-1] > depth):
+            self._cut(depth)
 
-    def _renew(self) -> None:
-        if not self.parts:
-            self.path = tuple(w for name, words in self.stack for w in (name, *words))
+    def _cut(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            self.depths[self.stack.pop().name].pop()
+        while self.blocks and self.blocks[-1] >= depth:
+            self.blocks.pop()
 
     def add(self, text: str) -> None:
         if not self.parts:
-            self._renew()
+            self.node = self.stack[-1] if self.stack else None
         self.parts.append(text)
-        if any(n == "a" for n, _ in self.stack):
+        if self.depths.get("a"):
             self.linked += len(" ".join(text.split()))
 
 
+class _Tags:
+    """Ends of tags whose attributes hold `<` or odd quotes. Signs met on a way that found no end are known to lead nowhere."""
+
+    def __init__(self, page: str):
+        self.page, self.signs, self.lost = page, None, set()
+
+    def end(self, at: int) -> int:
+        """Place of the `>` that ends attributes starting at `at`, outside quotes; -1 without one."""
+        if self.signs is None:
+            self.signs = [m.start() for m in _SIGN.finditer(self.page)]
+            nearest, self.partner = {}, [-1] * len(self.signs)
+            for i in range(len(self.signs) - 1, -1, -1):
+                sign = self.page[self.signs[i]]
+                self.partner[i] = nearest.get(sign, -1)
+                nearest[sign] = i
+        i, way = bisect.bisect_left(self.signs, at), []
+        while 0 <= i < len(self.signs) and i not in self.lost:
+            if self.page[self.signs[i]] == ">":
+                return self.signs[i]
+            way.append(i)
+            i = self.partner[i] + 1 or -1
+        self.lost.update(way)
+        return -1
+
+
 def leaves(page: str) -> list[Leaf]:
-    """Leaf blocks of a page in order."""
-    scan, at, n = _Scan(), 0, len(page)
-    while at < n:
-        found = _TOKEN.search(page, at)
-        end = found.start() if found else n
-        if end > at:
-            scan.add(page[at:end])
-        if not found:
+    """Leaf blocks of a page in order. One cursor goes through the page; work and memory are linear in its length."""
+    scan, tags, at, n = _Scan(), _Tags(page), 0, len(page)
+    last_end, unclosed = page.rfind(">"), set()
+    text_from = 0
+    while True:
+        start = page.find("<", at)
+        if start < 0:
             break
-        at = found.end()
-        name = (found.group(2) or "").lower()
+        found = _TAG.match(page, start)
+        if found:
+            closing, name, rest = found.groups()
+            at = found.end()
+        elif page.startswith("<!--", start):
+            closing, name, rest = "", "", ""
+            at = page.find("-->", start + 4) + 3
+            at = at if at > 2 else n
+        else:
+            head = _NAME.match(page, start)
+            other = page.startswith(("<!", "<?"), start)
+            end = -1 if start > last_end else tags.end(head.end()) if head else page.find(">", start) if other else -1
+            if end < 0:
+                at = start + 1  # a sign of the text
+                continue
+            closing, name, rest = (head.group(1), head.group(2), page[head.end() : end]) if head else ("", "", "")
+            at = end + 1
+        if start > text_from:
+            scan.add(page[text_from:start])
+        text_from = at
+        name = name.lower()
         if not name:
             continue
-        if found.group(1):
+        if closing:
             scan.close(name)
             continue
+        alone = rest.rstrip().endswith("/")
         if name in SKIPPED or name in RAW:
-            if not found.group(3).rstrip().endswith("/"):
-                stop = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                at = stop.end() if stop else (n if name in RAW else at)
+            if not alone:
+                stop = None if name in unclosed else _end_tag(name).search(page, at)
+                if stop is None:
+                    unclosed.add(name)
+                at = text_from = stop.end() if stop else (n if name in RAW else at)
             continue
         words: list[str] = []
-        for a in _ATTRIBUTE.finditer(found.group(3)):
+        for a in _ATTRIBUTE.finditer(rest) if rest else ():
             value = a.group(2) or a.group(3) or a.group(4) or ""
-            words += [f"{a.group(1).lower()}:{w}" for w in _WORD.findall(value.lower())[:8]]
+            words += [f"{a.group(1).lower()}:{w}" for w in _WORD.findall(value.lower())]
         scan.open(name, tuple(words))
-        if found.group(3).rstrip().endswith("/") and name not in VOID:
+        if alone and name not in VOID:
             scan.close(name)
+    if n > text_from:
+        scan.add(page[text_from:])
     scan.flush()
     return scan.leaves
 
 
-@functools.lru_cache(maxsize=1 << 17)
-def _place(word: str, places: int) -> int:
-    return zlib.crc32(word.encode()) % places
+@functools.lru_cache(maxsize=64)
+def _end_tag(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}\s*>", re.I)
 
 
 #: Kinds of bytes: 1 capital, 2 digit, 3 sign, 4 blank, 0 other.
@@ -171,9 +256,10 @@ def vectors(page: list[Leaf]) -> np.ndarray:
     """One row per leaf: tag path, words, shapes."""
     n = len(page)
     out = np.zeros((n, TAG_PLACES + WORD_PLACES + SHAPES), dtype=np.float32)
+    masks = b"".join([(leaf.node.mask if leaf.node else 0).to_bytes(TAG_PLACES // 8, "little") for leaf in page])
+    out[:, :TAG_PLACES] = np.unpackbits(np.frombuffer(masks, np.uint8), bitorder="little").reshape(n, TAG_PLACES)
     for i, leaf in enumerate(page):
         row = out[i]
-        row[[_place(word, TAG_PLACES) for word in leaf.path[-24:]]] = 1
         words = _WORD.findall(leaf.text.lower())
         row[[TAG_PLACES + _place(word, WORD_PLACES) for word in set(words)]] = 1 / (1 + len(words)) ** 0.5
         size = len(leaf.text)
