@@ -52,7 +52,7 @@ CLOSES_P = frozenset(
 TAG_PLACES, WORD_PLACES, SHAPES = 192, 192, 12
 HIDDEN = 24
 SAMPLE = 200
-PAGES, EPOCHS = 600, 12
+PAGES, EPOCHS = 800, 12
 #: Leaves that go through the network at once, and pages whose leaves are held at once.
 TOGETHER, SLICE = 4096, 256
 
@@ -371,8 +371,8 @@ class Labeller:
         return grad
 
 
-def train(pages: list[tuple[list[Leaf], np.ndarray]], *, epochs: int = EPOCHS, rate: float = 4e-3, batch: int = 16, seed: int = 11) -> Labeller:
-    """Adam over batches of pages of similar length."""
+def train(pages: list[tuple[list[Leaf], np.ndarray]], *, epochs: int = EPOCHS, rate: float = 6e-3, batch: int = 8, seed: int = 11) -> Labeller:
+    """Adam over batches of pages of similar length, with steps that shrink to nothing."""
     model, rng = Labeller(), np.random.default_rng(seed)
     pages = sorted(((vectors(p), y) for p, y in pages if p), key=lambda p: len(p[1]))
     blocks = [pages[i : i + batch] for i in range(0, len(pages), batch)]
@@ -391,7 +391,7 @@ def train(pages: list[tuple[list[Leaf], np.ndarray]], *, epochs: int = EPOCHS, r
             for k, g in model.gradients(x, y, mask).items():
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.99 * second[k] + 0.01 * g**2
-                model.p[k] -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-7)
+                model.p[k] -= rate * (1 - step / (epochs * len(blocks) + 1)) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-7)
     return model
 
 
@@ -407,6 +407,7 @@ _PARTS = {
     "footer": "footer site-footer copyright bottom colophon",
     "body": "article content post entry main-text story post-body",
 }
+_LAYOUT = "container wrapper row col grid flex inner outer page layout block box p-4 mx-auto w-full md:flex".split()
 _SAYINGS = {
     "nav": "Home|About us|Contact|News|Products|Blog|Archive|Login|Next page|Previous",
     "header": "The Daily Site|Welcome|Search this site|Your trusted source",
@@ -467,6 +468,40 @@ def compose(texts: list[str], rng: np.random.Generator) -> tuple[str, str]:
         }[kind]()
         return start + inner + end
 
+    def words(most: int) -> str:
+        return " ".join(sentence().split()[: rng.integers(1, most)]) or "-"
+
+    def data() -> tuple[str, list[str]]:
+        """A table, a list, terms or code within the article, and its lines."""
+        kind, lines = rng.integers(5), []
+
+        def line(text: str) -> str:
+            lines.append(text)
+            return MARK + html.escape(text)
+
+        def cell() -> str:
+            return line(words(5) if rng.random() < 0.5 else f"{rng.integers(10000) / 10 ** rng.integers(4):g}")
+
+        if kind < 2:
+            width = rng.integers(2, 5)
+            rows = ["".join(f"<{tag}>{cell()}</{tag}>" for _ in range(width)) for tag in ["th", *["td"] * rng.integers(2, 10)]]
+            return f"<table{named('body')}>" + "".join(f"<tr>{r}</tr>" for r in rows) + "</table>", lines
+        if kind == 2:
+            name = ("ul", "ol")[rng.integers(2)]
+            return f"<{name}>" + "".join(f"<li>{line(words(12))}</li>" for _ in range(rng.integers(2, 9))) + f"</{name}>", lines
+        if kind == 3:
+            return "<dl>" + "".join(f"<dt>{line(words(4))}</dt><dd>{line(words(12))}</dd>" for _ in range(rng.integers(2, 6))) + "</dl>", lines
+        code = "; ".join(f"{words(3)}({rng.integers(99)}) = {words(3)}" for _ in range(rng.integers(1, 6)))
+        return f"<pre><code>{line(' '.join(code.split()))}</code></pre>", lines
+
+    def wrapped(inner: str) -> str:
+        """Page-wide containers with classes that say nothing of the content."""
+        for _ in range(rng.integers(0, 5) if rng.random() < 0.4 else 0):
+            made = ("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(1, 8))) for _ in range(rng.integers(0, 7)))
+            classes = " ".join([_LAYOUT[c] for c in rng.integers(0, len(_LAYOUT), rng.integers(1, 4))] + list(made))
+            inner = f'<div class="{classes}">{inner}</div>'
+        return inner
+
     main, body = [], []
     paragraphs = [p for p in texts[rng.integers(len(texts))].split("\n") if p.strip()]
     if rng.random() < 0.4:
@@ -502,11 +537,15 @@ def compose(texts: list[str], rng: np.random.Generator) -> tuple[str, str]:
             body.append(f"<p>{marked}</p>")
         if rng.random() < 0.04:
             body.append(part("ad"))
-    start, end = tag("body", "article" if rng.random() < 0.7 else "main", 0.65)
+        if rng.random() < 0.05:
+            made, lines = data()
+            body.append(made)
+            main += lines
+    start, end = tag("body", "article" if rng.random() < 0.7 else "main", 0.65) if rng.random() < 0.96 else ("", "")
     pick = lambda kind, p: part(kind) if rng.random() < p else ""
     before = [pick("notice", 0.3), pick("header", 0.4), pick("nav", 0.8), pick("ad", 0.5), pick("aside", 0.2), pick("form", 0.15)]
     after = [pick("comments", 0.35), pick("aside", 0.3), pick("form", 0.25), pick("ad", 0.25), pick("nav", 0.15), pick("footer", 0.85), pick("notice", 0.1)]
-    page = f"<html><head><title>{html.escape(sentence())}</title></head><body>" + "".join(before) + start + "".join(body) + end + "".join(after) + "</body></html>"
+    page = f"<html><head><title>{html.escape(sentence())}</title></head><body>" + wrapped("".join(before) + wrapped(start + "".join(body) + end) + "".join(after)) + "</body></html>"
     return page, "\n".join(main)
 
 

@@ -84,6 +84,48 @@ def test_leaves():
         hb.leaves(broken)
 
 
+LONG = {
+    "nested": lambda n: "<div class='a b c'>x" * n,
+    "unclosed": lambda n: "<a " * n,
+    "quoted signs": lambda n: "<a \"x>\" " * n,
+    "open quotes": lambda n: "<a '" * n,
+    "declarations": lambda n: "<!a" * n,
+    "skipped": lambda n: "<select>a" * n,
+    "inline ends": lambda n: "<i><div>" + "<b>" * n + "</i>" * n,
+    "strange ends": lambda n: "<div>" * n + "</p>" * n,
+}
+
+
+@pytest.mark.parametrize("kind", LONG)
+def test_work_is_linear_in_the_page(kind):
+    """Counted in calls, not seconds: twice the page is about twice the work."""
+    import sys
+
+    def work(n):
+        calls = 0
+
+        def count(frame, event, arg):
+            nonlocal calls
+            calls += event in ("call", "c_call")
+
+        page = LONG[kind](n)
+        hb.leaves(page)  # fills the tables of hashed words
+        sys.setprofile(count)
+        hb.leaves(page)
+        sys.setprofile(None)
+        return calls
+
+    assert work(4000) < 2.2 * work(2000) + 100
+
+
+def test_paths_are_whole_and_formulas_stay():
+    deep = "".join(f"<div class='{' '.join(f'w{chr(97 + i)}{chr(97 + j)}' for j in range(12))}'>" for i in range(20)) + "<nav><p>x"
+    (leaf,) = hb.leaves(deep)
+    assert len(leaf.path) == 20 * 13 + 2 and "class:wal" in leaf.path and leaf.path[0] == "div"
+    assert hb.vectors([leaf])[0, hb._place("class:wal", hb.TAG_PLACES)] == 1
+    assert [x.text for x in hb.leaves("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> and<svg><text>y</text></svg>")] == ["so x=2 andy"]
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(0)
     model = hb.Labeller(width=5, hidden=3)
@@ -123,6 +165,41 @@ def test_labels_of_new_pages(model):
     assert right / total > 0.97
 
 
+MENU = "<nav><ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li></ul></nav>"
+FOOT = "<footer><p>Copyright 2024 Example Ltd.</p><a href=/p>Privacy</a></footer>"
+MET = "The committee met on Tuesday to discuss the results of the survey, and agreed that the plan would be revised before the spring."
+ASKED = "Several members asked for figures by region, since the totals hide large differences between the coast and the hills."
+ROWS = [(f"Area {i}", str(i * 3.5)) for i in range(1, 8)]
+#: Pages written by hand, in layouts that `compose` does not copy, and the blocks of their articles.
+BY_HAND = {
+    "table": (
+        f"{MENU}<article><h1>Survey results</h1><p>{MET}</p><table>" + "".join(f"<tr><td>{a}</td><td>{b}</td></tr>" for a, b in ROWS) + f"</table><p>{ASKED}</p></article>{FOOT}",
+        ["Survey results", MET, *[x for row in ROWS for x in row], ASKED],
+    ),
+    "lists": (
+        f"{MENU}<main><h1>Survey results</h1><p>{MET}</p><ol><li>Collect the forms</li><li>Count the answers twice</li></ol><dl><dt>Share</dt>"
+        f"<dd>Part of all answers in a region</dd></dl><p>{ASKED}</p></main><aside><h3>Most read</h3><ul><li><a href=/1>Storm warning</a></li></ul></aside>{FOOT}",
+        ["Survey results", MET, "Collect the forms", "Count the answers twice", "Share", "Part of all answers in a region", ASKED],
+    ),
+    "code and comments": (
+        f"{MENU}<div class=post><h1>Reading files</h1><p>{MET}</p><pre><code>for line in open(name): print(line)</code></pre><p>{ASKED}</p></div>"
+        f"<div class=comments><h3>2 comments</h3><div><p>Great post, thanks! I learned a lot.</p></div></div>{FOOT}",
+        ["Reading files", MET, "for line in open(name): print(line)", ASKED],
+    ),
+    "nested": (
+        f"<div class='aa bb cc dd ee ff'><div class='gg hh ii jj kk ll'><div class='mm nn oo pp'>{MENU}<div class='flex grid'><article class='content w-full'>"
+        f"<h1>Survey results</h1><p>{MET}</p><p>{ASKED}</p></article></div>{FOOT}</div></div></div>",
+        ["Survey results", MET, ASKED],
+    ),
+}
+
+
+def test_pages_written_by_hand(model):
+    labeller, _ = model
+    got = {kind: hb.main_text(f"<html><body>{page}</body></html>", labeller).split("\n") for kind, (page, _) in BY_HAND.items()}
+    assert got == {kind: want for kind, (_, want) in BY_HAND.items()}
+
+
 def test_main_text_of_tables(spark, model):
     labeller, _ = model
     page = (
