@@ -47,6 +47,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 SLICE = 1 << 16
 KEPT = 64
 TABLE = 800_000
+IDS_TABLE = 100_000
 SEAMS = 500_000
 ONE = (1,)
 #: Characters from which a piece alone in its slice is fed on in parts, and the tokens of a part.
@@ -275,7 +276,7 @@ class Transducer:
                 if ids is None:
                     ids = tuple(self.piece(piece))
                     if len(piece) <= KEPT:
-                        if len(known) >= TABLE:
+                        if len(known) >= IDS_TABLE:
                             known.clear()
                         known[piece] = ids
                 out += ids
@@ -367,8 +368,12 @@ def digests(docs: DataFrame, vocabulary: str, *, doc_id="doc_id", text="text") -
 def tokenize(docs: DataFrame, vocabulary: str, *, text="text", ids="token_ids") -> DataFrame:
     """`docs` with an array of token ids in place of a column of that name or as a new one."""
 
-    def encode(column: pa.Array) -> pa.Array:
+    def encode(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         t = load(vocabulary)
-        return pa.array([t.encode(x.as_py() or "") for x in column], pa.list_(pa.int32()))
+        try:
+            for column in columns:
+                yield pa.array([t.encode(x.as_py() or "") for x in column], pa.list_(pa.int32()))
+        finally:
+            load.cache_clear()  # the worker goes on to other stages, without these tables
 
     return docs.withColumn(ids, F.arrow_udf(encode, "array<int>")(F.col(text)))
