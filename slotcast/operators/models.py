@@ -334,6 +334,15 @@ class TwoRegime:
         drop_tables(df.sparkSession, paths)
         return self
 
+    def fit_one(self, df: DataFrame) -> "TwoRegime":
+        """In place of `fit` where it raises `TooFewRows`: one regressor of all rows.
+
+        The low regime has probability 0 and the same forecast, and the gate is shut.
+        """
+        self.models = {"normal": fit_trees(df, self.features, self.y, self.config, out="normal_pred")}
+        self.threshold, self.ramp = 1.1, 0.0
+        return self
+
     def fit_calibrated(self, df: DataFrame, calibration_days: int = 365, min_counts=(512, 96, 100, 20)) -> "TwoRegime":
         """Choose the gate threshold on the last ``calibration_days``, then refit on everything.
 
@@ -358,7 +367,10 @@ class TwoRegime:
     def transform(self, df: DataFrame) -> DataFrame:
         """Adds ``prob``, ``low_pred``, with a normal regressor ``normal_pred`` and ``mixture``, and ``weight``."""
         out = score_all(self.models, df)
-        out = out.withColumn("prob", vector_to_array("__probs")[1]).drop("__probs", "__raw", "__called")
+        if "classifier" in self.models:
+            out = out.withColumn("prob", vector_to_array("__probs")[1]).drop("__probs", "__raw", "__called")
+        else:
+            out = out.withColumns({"prob": F.lit(0.0), "low_pred": F.col("normal_pred")})
         if self.fit_normal:
             out = out.withColumn("mixture", soft_mixture("prob", "normal_pred", "low_pred"))
         return out.withColumn("weight", gate_weight("prob", self.threshold, self.ramp))
@@ -370,12 +382,13 @@ class TwoRegime:
     def save(self, path: str, spark: SparkSession) -> None:
         for name, m in self.models.items():
             m.write().overwrite().save(f"{path}/{name}")
-        save_table(spark.createDataFrame([(self.threshold, self.ramp)], "threshold double, ramp double"), f"{path}/gate")
+        gate = [(self.threshold, self.ramp, list(self.models))]
+        save_table(spark.createDataFrame(gate, "threshold double, ramp double, models array<string>"), f"{path}/gate")
 
     def load(self, path: str, spark: SparkSession) -> "TwoRegime":
-        names = ["classifier", "low"] + (["normal"] if self.fit_normal else [])
+        gate = load_table(spark, f"{path}/gate", {"threshold", "ramp"}).first().asDict()
+        names = gate.get("models") or ["classifier", "low"] + (["normal"] if self.fit_normal else [])
         models = {n: PipelineModel.load(f"{path}/{n}") for n in names}
-        gate = load_table(spark, f"{path}/gate", {"threshold", "ramp"}).first()
         return replace(self, models=models, threshold=gate["threshold"], ramp=gate["ramp"])
 
 

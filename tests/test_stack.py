@@ -2,6 +2,7 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from slotcast.operators import models
 from slotcast.plans import adaptive, stacking
@@ -81,3 +82,26 @@ def test_more_trees_fit_better(spark):
         scored = models.score(models.fit_trees(train, fitted.FEATURES, "y", replace(SMALL, trees=n)), train)
         errors.append(scored.selectExpr("avg(abs(y - pred)) AS e").first()["e"])
     assert errors[1] < 0.9 * errors[0]
+
+
+def rows_of_one_regime(spark):
+    """Two series of 16 days, with features, that never come near the low limit."""
+    wave = 60 + 20 * F.sin(F.col("cycle") * 0.13)
+    noise = {c: wave + F.pmod(F.xxhash64("id", F.lit(c)), F.lit(100)) / 10.0 for c in ("y", "b_1d", "b_2d", "b_3d", "b_7d")}
+    ts = F.lit("2024-01-08").cast("timestamp_ntz") + F.make_dt_interval(mins=(F.col("slot") * 30).cast("int"))
+    at = spark.range(2 * 16 * 48).select("id", F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("series_id"), F.floor(F.col("id") / 2).alias("slot"))
+    at = at.select("id", "series_id", ts.alias("ts"), (F.col("slot") % 48).cast("int").alias("cycle"))
+    return at.withColumns({"date": F.col("ts").cast("date"), **noise}).drop("id")
+
+
+def test_one_regime_has_one_forecast_and_a_shut_gate(spark, tmp_path):
+    rows = rows_of_one_regime(spark)
+    regime = models.TwoRegime(fitted.FEATURES, "y", SMALL, min_rows=20, limits=fitted.L)
+    with pytest.raises(models.TooFewRows):
+        regime.fit_calibrated(rows, 3)
+    regime.fit_one(rows).save(str(tmp_path / "r"), spark)
+    for m in (regime, models.TwoRegime(fitted.FEATURES, "y", SMALL, limits=fitted.L).load(str(tmp_path / "r"), spark)):
+        got = m.transform(rows).toPandas()
+        assert len(got) == 2 * 16 * 48 and (got["weight"] == 0).all() and (got["prob"] == 0).all()
+        np.testing.assert_allclose(got["mixture"], got["normal_pred"])
+        assert np.abs(got["mixture"] - got["y"]).mean() < 20
