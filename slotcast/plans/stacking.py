@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from slotcast.functions.regime import gate_blend, gate_weight, is_clean, project_states
 from slotcast.limits import Limits
 from slotcast.operators import blend, shape, similar, tuning
-from slotcast.operators.models import REFIT, STACK_TREES, TreeConfig, TwoRegime, best_iteration, day_folds, fit_folds, fit_trees, in_parallel, score_all, trees_of
+from slotcast.operators.models import REFIT, STACK_TREES, TooFewRows, TreeConfig, TwoRegime, best_iteration, day_folds, fit_folds, fit_trees, in_parallel, score_all, trees_of
 from slotcast.operators.slotlinear import SlotLinear, fit_panel, predict_panel
 from slotcast.sources.shared import settle
 from slotcast.sources.writers import load_table, save_table
@@ -34,7 +34,9 @@ class Stack:
     """Base learners, blend and shape rules.
 
     No row is lost: a series or day without a blend, as a learner had too few days for it, has
-    the mean of the tree forecasts instead, and rules without a state leave it as it is.
+    the mean of the tree forecasts instead, and rules without a state leave it as it is. Where one of the regimes
+    has too few rows there is no regime model: ``prob`` and ``low_pred`` are missing, and without rows that have them
+    the gate is not tuned and stays shut.
 
     ``candidates`` maps a name to the base forecasts it blends; the set with the lowest
     clean error on the newest rows is used, per series.
@@ -80,7 +82,11 @@ class Stack:
 
     def _components(self, train: DataFrame, df: DataFrame, models, regime, linear) -> DataFrame:
         """Every base forecast of ``df`` as a column; ``train`` holds the days to compare with."""
-        out = regime.transform(score_all(models, df)).drop("weight", "mixture")
+        out = score_all(models, df)
+        if regime is None:
+            out = out.withColumns(dict.fromkeys(("prob", "low_pred"), F.lit(None).cast("double")))
+        else:
+            out = regime.transform(out).drop("weight", "mixture")
         out = predict_panel(linear, out, self.profile, self.scalar, "slot_linear")
         near = similar.similar_days(train, df, self.profile, self.scalar, self.y, self.neighbours)
         return out.join(near.withColumnRenamed("pred", "similar_day"), ["series_id", "date", "cycle"], "left")
@@ -99,10 +105,17 @@ class Stack:
         kept = ["series_id", "ts", "date", "cycle", "fold", self.y, *self.base, "prob", "low_pred"]
         return reduce(DataFrame.unionByName, [p.select(*kept) for p in parts])
 
-    def _fold_regime(self, folded: DataFrame, k: int) -> TwoRegime:
+    def _fit_regime(self, df: DataFrame, validation: str | None = None) -> TwoRegime | None:
+        """The regime model, if both regimes have enough rows."""
+        try:
+            return self._new_regime().fit(df, validation)
+        except TooFewRows:
+            return None
+
+    def _fold_regime(self, folded: DataFrame, k: int) -> TwoRegime | None:
         """The regime model of earlier folds, stopped early by fold ``k``."""
         held = folded.where(F.col("fold") <= k).withColumn("__held", F.col("fold") == k)
-        return self._new_regime().fit(held, "__held")
+        return self._fit_regime(held, "__held")
 
     def _coefs(self, rows: DataFrame) -> DataFrame:
         """Per series and candidate: weights over all base forecasts, 0 for those not in it.
@@ -130,7 +143,7 @@ class Stack:
         spark = df.sparkSession
         self.models = in_parallel(spark, {n: partial(fit_trees, self.train, self.features, self.y, c, out=n) for n, c in final.items()})
         self.slot_linear = fit_panel(self.train, self.profile, self.scalar, self.y, **self.linear)
-        self.regime = self._new_regime().fit(self.train)
+        self.regime = self._fit_regime(self.train)
         return self
 
     def _tune(self, oof: DataFrame) -> None:
@@ -177,7 +190,8 @@ class Stack:
         """``weight`` and the gated ``pred`` from ``normal``."""
         weight = gate_weight("prob", F.col("threshold"), F.col("ramp"))
         j = df.join(gate, "series_id", "left").withColumn("weight", F.coalesce(weight, F.lit(0.0)))
-        return j.withColumn("pred", gate_blend("normal", "low_pred", "weight", self.limits)).drop("threshold", "ramp")
+        blended = F.when(F.col("weight") > 0, gate_blend("normal", "low_pred", "weight", self.limits)).otherwise(F.col("normal"))
+        return j.withColumn("pred", blended).drop("threshold", "ramp")
 
     @staticmethod
     def _choose_guard(df: DataFrame, guard: DataFrame) -> DataFrame:
@@ -204,18 +218,20 @@ class Stack:
         pairs = ("thresholds", "ramps", "lower_cuts", "cap_cuts", "iterations")
         return {k: getattr(self, k) for k in plain} | {k: list(getattr(self, k)) for k in pairs} | {
             "trees": {n: asdict(c) for n, c in self.trees.items()}, "regime_config": asdict(self.regime_config), "limits": asdict(self.limits),
+            "has_regime": self.regime is not None,
         }
 
     def tuned(self) -> dict:
         """What the fit chose, by table; the weights, gates, cuts and guards of at most ``SHOWN`` series."""
         shown = {n: [r.asDict() for r in t.orderBy("series_id").limit(SHOWN).collect()] for n, t in self.states.items() if n not in ("bias", "bounds")}
-        return shown | {"iterations": {n: len(trees_of(m).trees) for n, m in self.models.items()}, "threshold": self.regime.threshold}
+        return shown | {"iterations": {n: len(trees_of(m).trees) for n, m in self.models.items()}, "threshold": self.regime and self.regime.threshold}
 
     def save(self, path: str, spark: SparkSession) -> None:
         """Learners as Spark ML directories, everything tuned as tables, the settings last."""
         for n, m in self.models.items():
             m.write().overwrite().save(f"{path}/trees/{n}")
-        self.regime.save(f"{path}/regime", spark)
+        if self.regime is not None:
+            self.regime.save(f"{path}/regime", spark)
         save_table(self.slot_linear.model, f"{path}/linear")
         save_table(self.train, f"{path}/train")
         for n, t in self.states.items():
@@ -229,11 +245,12 @@ class Stack:
         for k in ("thresholds", "ramps", "lower_cuts", "cap_cuts", "iterations"):
             s[k] = tuple(s[k])
         s |= {"trees": {n: TreeConfig(**c) for n, c in s["trees"].items()}, "regime_config": TreeConfig(**s["regime_config"]), "limits": Limits(**s["limits"])}
+        regime = s.pop("has_regime", True)
         out = cls(**s)
         out.linear = {k: tuple(v) if isinstance(v, list) else v for k, v in out.linear.items()}
         out.states = {n: load_table(spark, f"{path}/state/{n}", {"series_id", *cols}) for n, cols in STATES.items()}
         out.models = {n: PipelineModel.load(f"{path}/trees/{n}") for n in out.trees}
-        out.regime = out._new_regime().load(f"{path}/regime", spark)
+        out.regime = out._new_regime().load(f"{path}/regime", spark) if regime else None
         out.slot_linear = SlotLinear(model=load_table(spark, f"{path}/linear", {"coef", "intercept"}))
         out.train = load_table(spark, f"{path}/train", {"series_id", "ts", out.y})
         return out

@@ -94,6 +94,19 @@ def rows_of_one_regime(spark):
     return at.withColumns({"date": F.col("ts").cast("date"), **noise}).drop("id")
 
 
+def test_stack_without_low_rows_keeps_the_gate_shut(spark, tmp_path):
+    rows = rows_of_one_regime(spark)
+    day = F.lit("2024-01-22").cast("date")
+    model = blank().fit(rows.where(F.col("date") < day))
+    assert model.regime is None and model.tuned()["threshold"] is None
+    model.save(str(tmp_path / "s"), spark)
+    test = rows.where(F.col("date") >= day)
+    one, two = (m.transform(test).orderBy("series_id", "ts").toPandas() for m in (model, blank().load(str(tmp_path / "s"), spark)))
+    assert len(one) == 2 * 2 * 48 and one["pred"].notna().all() and (one["weight"] == 0).all()
+    assert np.abs(one["pred"] - one["y"]).mean() < 10
+    np.testing.assert_allclose(one["pred"], two["pred"])
+
+
 def test_one_regime_has_one_forecast_and_a_shut_gate(spark, tmp_path):
     rows = rows_of_one_regime(spark)
     regime = models.TwoRegime(fitted.FEATURES, "y", SMALL, min_rows=20, limits=fitted.L)
