@@ -24,7 +24,8 @@ Skipping. The two skips of set-relation joins are applied to whole lists and blo
 Sets that are close without being linked, as many copies with many edits are, pass these skips. Their
 difference is bounded from below by parity sketches: every token flips one of `64 * WORDS` bits of its
 set, so two sets differ in at least as many tokens as their sketches differ in bits. The join on a
-token drops a pair whose difference is thus too large before it becomes a row.
+token drops a pair whose difference is thus too large before it becomes a row. Entries carry the tokens before theirs, so
+of all lists that a pair shares only that of its first common token gives a row.
 
 Candidates are bounded once more by the exact overlap of their prefixes, then verified on whole sets,
 which are the only sets ever moved.
@@ -253,8 +254,8 @@ def _hub_pairs(members: DataFrame) -> DataFrame:
     return near.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
 
 
-def _open_pairs(members: DataFrame, known: DataFrame, done: DataFrame, sketches: DataFrame, paths: list[str]) -> DataFrame:
-    """Pairs of members of a list that are in different components and not compared yet.
+def _open_rows(members: DataFrame, known: DataFrame, sketches: DataFrame, prefixes: DataFrame, paths: list[str]) -> DataFrame:
+    """Members of a list that are in different components and may link, id_ and id, once for all lists that both are in.
 
     The hub has been compared with all of its list, so lists of two entries are closed.
     """
@@ -264,14 +265,22 @@ def _open_pairs(members: DataFrame, known: DataFrame, done: DataFrame, sketches:
     groups = placed.groupBy("token", "component").agg(F.count("*").alias("size"))
     main = groups.groupBy("token").agg(F.max(F.struct("size", "component")).alias("main"), F.count("*").alias("groups"))
     main = settle(main.where("groups > 1").select("token", F.col("main.component").alias("main")), "main", paths)
-    placed = settle(placed.join(main, "token").join(sketches, "id"), "open", paths)
-    left = placed.where("component != main").select("token", *[F.col(c).alias(f"{c}_") for c in ("id", "n", "pos", "component", *BITS)])
+    before = F.slice("tokens", 1, F.array_position("tokens", F.col("token")).cast("int") - 1)
+    placed = placed.join(main, "token").join(sketches, "id").join(prefixes.select("id", "tokens"), "id")
+    placed = settle(placed.withColumn("before", before).drop("tokens"), "open", paths)
+    left = placed.where("component != main").select("token", *[F.col(c).alias(f"{c}_") for c in ("id", "n", "pos", "component", "before", *BITS)])
     near = _may_link(F.col("n_"), F.col("n"), F.col("pos_"), F.col("pos"))
     apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}_"))) for b in BITS), F.lit(0))
     near = near & (apart <= F.col("n_") + F.col("n") - 2 * needed(F.col("n_"), F.col("n")))
     once = (F.col("component") == F.col("main")) | (F.col("id_") < F.col("id"))
-    found = left.join(placed, "token").where((F.col("component_") != F.col("component")) & once & near)
-    pairs = found.select(F.least("id_", "id").alias("a"), F.greatest("id_", "id").alias("b")).distinct()
+    # the bounds hold at the first common token, and its list has both
+    first = ~F.arrays_overlap("before_", "before")
+    return left.join(placed, "token").where((F.col("component_") != F.col("component")) & once & near & first).select("id_", "id")
+
+
+def _open_pairs(rows: DataFrame, done: DataFrame) -> DataFrame:
+    """Pairs of `_open_rows` that are not compared yet."""
+    pairs = rows.select(F.least("id_", "id").alias("a"), F.greatest("id_", "id").alias("b")).distinct()
     return pairs.join(done, ["a", "b"], "left_anti")
 
 
@@ -286,7 +295,8 @@ def _linked(source: DataFrame, paths: list[str]) -> DataFrame:
     rows = profiles.where("n > 0").groupBy("id").agg(F.min(F.struct("doc", "part")).alias("row")).select("id", "row.doc", "row.part")
     rows = settle(rows, "rows", paths)
     lists = _lists(source, paths)
-    prefixes = lists.groupBy("id", "n").agg(F.collect_set("token").alias("tokens"))
+    # in the order of tokens
+    prefixes = lists.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).getField("token").alias("tokens"))
     prefixes = settle(prefixes, "prefixes", paths)
     release(spark)
     members = _members(lists, paths)
@@ -295,7 +305,8 @@ def _linked(source: DataFrame, paths: list[str]) -> DataFrame:
     known = settle(components(links, paths), "known", paths)
     sketches = profiles.where("n > 0").select("id", *BITS).dropDuplicates(["id"])
     release(spark)
-    open_pairs = settle(_bounded(_open_pairs(members, known, hub_pairs.select("a", "b"), sketches, paths), prefixes), "open_pairs", paths)
+    open_rows = _open_rows(members, known, sketches, prefixes, paths)
+    open_pairs = settle(_bounded(_open_pairs(open_rows, hub_pairs.select("a", "b")), prefixes), "open_pairs", paths)
     more = _verified(source, open_pairs, rows, paths)
     edges = links.unionAll(more)
     release(spark)

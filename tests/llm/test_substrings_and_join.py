@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -56,6 +57,30 @@ def test_keep_first_keeps_columns_and_one_of_each_group(spark, docs, corpus):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(want)
 
 
+def test_pairs_of_many_shared_lists_are_one_row(spark, monkeypatch):
+    """Copies with too many edits to link to the hub share most of their lists; some link to each other."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 70):
+        words = list(base)
+        for at in rng.sample(range(10, 110, 10), rng.randrange(4, 9)):
+            words[at] = "other"
+        rows.append((i, " ".join(words)))
+    found, open_rows = [], jaccard._open_rows
+
+    def watched(*args):
+        out = open_rows(*args)
+        found.extend(tuple(sorted(r)) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(jaccard, "_open_rows", watched)
+    want = {i: c for i, (_, c) in brute_components(rows).items()}
+    got = {r.doc_id: r.component_id for r in jaccard.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+    assert len(found) > 20 and len(found) == len(set(found))
+
+
 def linked_keys():
     """Null ids and shared ids of different texts, some linked to smaller ids, some to each other, some alone; repeated and empty rows."""
     def words(tag, n, edits=0):
