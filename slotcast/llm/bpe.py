@@ -28,8 +28,11 @@ scanned; nothing is shuffled.
 
 from __future__ import annotations
 
+import array
 import codecs
+import ctypes
 import functools
+import gc
 import hashlib
 import heapq
 import itertools
@@ -365,15 +368,41 @@ def digests(docs: DataFrame, vocabulary: str, *, doc_id="doc_id", text="text") -
     )
 
 
-def tokenize(docs: DataFrame, vocabulary: str, *, text="text", ids="token_ids") -> DataFrame:
-    """`docs` with an array of token ids in place of a column of that name or as a new one."""
+def hand_back() -> None:
+    """Give freed memory back to the system; a worker's allocators keep it for its next tasks, which may never need as much."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # a C library without it
+
+
+def id_lists(t: Transducer, column: pa.Array) -> pa.Array:
+    """Token ids of every text; they are held once, at four bytes each."""
+    ids, ends = array.array("i"), [0]
+    for x in column:
+        ids.extend(t.encode(x.as_py() or ""))
+        ends.append(len(ids))
+    values = pa.Array.from_buffers(pa.int32(), len(ids), [None, pa.py_buffer(ids)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
+
+def encoder(vocabulary: str):
+    """Columns of texts to columns of token ids."""
 
     def encode(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        t = load(vocabulary)
         try:
             for column in columns:
-                yield pa.array([t.encode(x.as_py() or "") for x in column], pa.list_(pa.int32()))
+                yield id_lists(load(vocabulary), column)
         finally:
-            load.cache_clear()  # the worker goes on to other stages, without these tables
+            # the worker goes on to other stages, without these tables and their memory
+            load.cache_clear()
+            hand_back()
+
+    return encode
+
 
-    return docs.withColumn(ids, F.arrow_udf(encode, "array<int>")(F.col(text)))
+def tokenize(docs: DataFrame, vocabulary: str, *, text="text", ids="token_ids") -> DataFrame:
+    """`docs` with an array of token ids in place of a column of that name or as a new one."""
+    return docs.withColumn(ids, F.arrow_udf(encoder(vocabulary), "array<int>")(F.col(text)))
